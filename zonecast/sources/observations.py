@@ -1,0 +1,80 @@
+"""Observation scans (S1, S2, S4, S7) with explicit schemas and NA normalisation."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from zonecast.schema import CSV_SCHEMA, OBS_SCHEMA
+
+# Text tokens read as missing (pandas' default NA set, case-insensitive subset).
+NA_TOKENS = ["", "NA", "N/A", "NAN", "NULL", "NONE", "<NA>", "-NAN", "#N/A", "N/A N/A",
+             "#NA", "-1.#IND", "1.#IND", "-1.#QNAN", "1.#QNAN", "-NaN", "nan", "n/a"]
+_NA_UPPER = sorted({t.upper() for t in NA_TOKENS})
+
+
+def na_to_null(c: Column) -> Column:
+    """NULL for any NA token (after trimming spaces), else the value unchanged."""
+    return F.when(F.upper(F.trim(c)).isin(_NA_UPPER), F.lit(None)).otherwise(c)
+
+
+def nan_to_null(c: Column) -> Column:
+    """Spark treats NaN as a value; the engine keeps one missing marker (NULL)."""
+    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
+def read_observations_csv(spark: SparkSession, path: str, with_target: bool = True) -> DataFrame:
+    """CSV with header; numeric columns coerced (NULL when unparsable)."""
+    raw = (spark.read.schema(CSV_SCHEMA).option("header", True)
+           .option("mode", "PERMISSIVE").csv(path))
+    cols = {c: na_to_null(F.col(c)) for c in raw.columns}
+    out = raw.select(
+        F.col("Index").alias("row_id"),
+        cols["geohash"].alias("geohash"),
+        F.col("day"),
+        cols["timestamp"].alias("timestamp"),
+        cols["RoadType"].alias("RoadType"),
+        nan_to_null(F.expr("try_cast(NumberofLanes AS DOUBLE)")).alias("NumberofLanes"),
+        cols["LargeVehicles"].alias("LargeVehicles"),
+        cols["Landmarks"].alias("Landmarks"),
+        nan_to_null(F.expr("try_cast(Temperature AS DOUBLE)")).alias("Temperature"),
+        cols["Weather"].alias("Weather"),
+        nan_to_null(F.expr("try_cast(demand AS DOUBLE)")).alias("demand"),
+    )
+    return out if with_target else out.drop("demand")
+
+
+def read_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    if fmt == "csv":
+        return read_observations_csv(spark, path)
+    df = spark.read.parquet(path)
+    for f in OBS_SCHEMA.fields:
+        if f.name in df.columns and isinstance(f.dataType, T.DoubleType):
+            df = df.withColumn(f.name, nan_to_null(F.col(f.name).cast("double")))
+    return df
+
+
+def read_optional(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """A missing input is ``None`` rather than an error."""
+    try:
+        df = read_observations(spark, path, fmt)
+        df.schema  # forces path resolution
+        return df
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+
+
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """Submission / OOF CSV with inferred-free typed columns."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+
+def literal_observations(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Observations from literal rows (a form, a request list)."""
+    names = [f.name for f in OBS_SCHEMA.fields]
+    tuples = [tuple(r.get(n) for n in names) for r in rows]
+    return spark.createDataFrame(tuples, OBS_SCHEMA)
