@@ -1,6 +1,6 @@
 from zonecast.sources.adapter import (observations, obs_dup, obs_score, obs_train,
                                      oracle_obs_cte, read_table)
-from zonecast.sources.observations import (literal_observations, read_observations,
+from zonecast.sources.readers import (literal_observations, read_observations,
                                           read_observations_csv, read_optional,
                                           read_submission)
 
