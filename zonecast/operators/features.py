@@ -30,3 +30,11 @@ def engineer(df: DataFrame, enc: ZoneEncoding | None = None, fit: bool = False,
     out = with_weather_features(out)
     out = with_interactions(out)
     return out, enc
+
+
+def finish_features(df: DataFrame) -> DataFrame:
+    """Columns that follow the zone encoding (ratio uses ``geo_mean_demand``)."""
+    out = with_road_features(df)
+    out = with_ratio(out)
+    out = with_weather_features(out)
+    return with_interactions(out)
