@@ -19,7 +19,8 @@ def demand_class(demand: Column) -> Column:
 
 def risk_pct(demand: Column) -> Column:
     """min(100, int(500 * demand)); int() truncates toward zero, no lower bound."""
-    return F.least(F.lit(RISK_CAP), (demand * RISK_SCALE).cast("int"))
+    # least() skips NULLs, so guard: a missing demand has no risk score
+    return F.when(demand.isNotNull(), F.least(F.lit(RISK_CAP), (demand * RISK_SCALE).cast("int")))
 
 
 def pct_delta(new: Column, base: Column) -> Column:

@@ -98,19 +98,25 @@ class ZoneEncoding:
 
 
 def fit_encoding(train: DataFrame) -> ZoneEncoding:
-    """F18b fit: statistics of ``train`` (cleaned observations)."""
-    parts = cut_lineage(zone_partials(train))
+    """F18b fit: statistics of ``train`` (cleaned observations).
+
+    Jobs: zone partials (cached, one pass over ``train``), exact zone and
+    global medians, the distributed rank, and one scalar read-back; prefix
+    and global means are rolled up from the partials."""
+    parts = zone_partials(train).persist()
     med = exact_quantiles(train.where(F.col("geohash").isNotNull()), "demand", ["geohash"],
                           {"geo_median_demand": 0.5})
     zones = parts.join(med, "geohash", "left")
-    zones = cut_lineage(zone_rank(zones).select(
+    zones = zone_rank(zones).select(
         "geohash", "geo_mean_demand", "geo_std_demand", "geo_median_demand",
-        "geo_freq", "geo_rank"))
-    prefixes = cut_lineage(prefix_stats(train, partials=parts))
-    g = global_stats(train).first()
-    agg = zones.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx")).first()
-    return ZoneEncoding(zones, prefixes, g["global_mean"], g["global_median"],
-                        int(agg["n"]), float(agg["mx"] or 1.0), prefixes.count())
+        "geo_freq", "geo_rank").persist()
+    prefixes = prefix_stats(train, partials=parts).persist()
+    gmed = exact_quantiles(train, "demand", [], {"global_median": 0.5}).first()
+    agg = parts.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx"),
+                    (F.sum("sum_demand") / F.sum("geo_freq")).alias("gmean")).first()
+    n = int(agg["n"])
+    return ZoneEncoding(zones, prefixes, agg["gmean"], gmed["global_median"] if gmed else None,
+                        n, float(agg["mx"] or 1.0), 3 * n)
 
 
 def apply_encoding(df: DataFrame, enc: ZoneEncoding, density_scope: str = "fitted") -> DataFrame:

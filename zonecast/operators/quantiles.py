@@ -39,15 +39,18 @@ def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str,
     for k in keys:  # group-by drops NULL keys
         base = base.where(F.col(k).isNotNull())
 
-    sizes = cut_lineage(base.groupBy(*keys_).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
-    n_groups = sizes.count()
-    n_large = sizes.where(F.col("__n") > small).count()
+    sizes = base.groupBy(*keys_).agg(
+        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    # one decision job: are there groups too large for a single bounded task?
+    head = sizes.agg(F.count("*").alias("g"),
+                     F.count(F.when(F.col("__n") > small, 1)).alias("big")).first()
+    n_groups, n_large = int(head["g"]), int(head["big"])
 
     pct = F.percentile(F.col("__v"), F.array(*[F.lit(float(probs[n])) for n in names]))
     if n_large == 0:
         small_base = base
     else:
+        sizes = cut_lineage(sizes)
         small_keys = sizes.where(F.col("__n") <= small).select(*keys_)
         small_base = base.join(maybe_broadcast(small_keys, n_groups - n_large), keys_, "inner")
     small_res = (small_base.groupBy(*keys_).agg(pct.alias("__q"))

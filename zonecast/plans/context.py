@@ -62,9 +62,10 @@ class Context:
     def medians(self) -> cleaning.Medians:
         return cleaning.fit_medians(cleaning.dedup(self.train_raw))
 
-    @property
+    @cached_property
     def train_clean(self) -> DataFrame:
-        return cleaning.clean(cleaning.dedup(self.train_raw), self.medians)
+        """Reused by every fit and summary: kept (memory, then disk) once built."""
+        return cleaning.clean(cleaning.dedup(self.train_raw), self.medians).persist()
 
     @property
     def labelled_clean(self) -> DataFrame:

@@ -314,7 +314,8 @@ def oracle_sql() -> dict[str, str]:
     s["demand_category"] = f"""{BASE} SELECT row_id, round(demand, {R}) AS demand,
         CASE WHEN demand < 0.05 THEN 'LOW' WHEN demand < 0.15 THEN 'MEDIUM'
              WHEN demand IS NOT NULL THEN 'HIGH' END AS category,
-        CAST(least(100, trunc(demand * 500)) AS INTEGER) AS risk_pct FROM ct"""
+        CASE WHEN demand IS NOT NULL THEN CAST(least(100, trunc(demand * 500)) AS INTEGER) END AS risk_pct
+        FROM ct"""
     zcols = (f"geohash, {r('m', 'geo_mean_demand')}, {r('s', 'geo_std_demand')}, "
              f"{r('md', 'geo_median_demand')}, c AS geo_freq")
     s["zone_stats"] = f"{BASE} SELECT {zcols}, rk AS geo_rank FROM zr"
