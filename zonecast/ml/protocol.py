@@ -59,8 +59,22 @@ class FittedEnsemble:
         return sorted(zip(feature_names(), imp), key=lambda t: -t[1])
 
     def save(self, path: str) -> None:
+        """K4/K5: encoder tables and one PipelineModel per member."""
+        self.encoding.save(f"{path}/encoding")
+        self.prep.write().overwrite().save(f"{path}/prep")
         for m in MEMBERS:
-            self.pipeline(m).write().overwrite().save(f"{path}/{m}")
+            self.members[m].write().overwrite().save(f"{path}/member_{m}")
+
+    @staticmethod
+    def load(spark, path: str) -> "FittedEnsemble":
+        """Artefacts written by ``save``; a missing one is an error."""
+        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+        loaders = {"cat": GBTRegressionModel, "lgb": GBTRegressionModel,
+                   "xgb": RandomForestRegressionModel}
+        enc = ZoneEncoding.load(spark, f"{path}/encoding")
+        prep = PipelineModel.load(f"{path}/prep")
+        return FittedEnsemble(enc, prep, {m: loaders[m].load(f"{path}/member_{m}")
+                                          for m in MEMBERS})
 
 
 @dataclass

@@ -50,6 +50,13 @@ class Medians:
         r = df.first()
         return Medians(r["Temperature"], int(r["NumberofLanes"]))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.to_df(spark).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Medians":
+        return Medians.from_df(spark.read.parquet(path))
+
 
 def fit_medians(train: DataFrame) -> Medians:
     """Both medians in one exact-quantile pass over a stacked view.

@@ -96,6 +96,25 @@ class ZoneEncoding:
     def transform(self, df: DataFrame, density_scope: str = "fitted") -> DataFrame:
         return apply_encoding(df, self, density_scope)
 
+    def save(self, path: str) -> None:
+        """K4: zone and prefix tables as parquet, scalars as a one-row table."""
+        spark = self.zones.sparkSession
+        self.zones.write.mode("overwrite").parquet(f"{path}/zones")
+        self.prefixes.write.mode("overwrite").parquet(f"{path}/prefixes")
+        spark.createDataFrame(
+            [(self.global_mean, self.global_median, self.n_zones, self.max_freq, self.n_prefixes)],
+            "global_mean double, global_median double, n_zones long, max_freq double, "
+            "n_prefixes long").write.mode("overwrite").parquet(f"{path}/scalars")
+
+    @staticmethod
+    def load(spark, path: str) -> "ZoneEncoding":
+        """The fitted encoder back from ``save``."""
+        r = spark.read.parquet(f"{path}/scalars").first()
+        return ZoneEncoding(spark.read.parquet(f"{path}/zones"),
+                            spark.read.parquet(f"{path}/prefixes"), r["global_mean"],
+                            r["global_median"], int(r["n_zones"]), float(r["max_freq"]),
+                            int(r["n_prefixes"]))
+
 
 def fit_encoding(train: DataFrame) -> ZoneEncoding:
     """F18b fit: statistics of ``train`` (cleaned observations).

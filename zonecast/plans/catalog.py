@@ -111,6 +111,17 @@ def q_align_schema(spark, sf):
     return rounded(cleaning.align_schema(context(spark, sf).score_clean, cols))
 
 
+def q_preview(spark, sf):
+    """Head-10 preview in row order."""
+    return rounded(context(spark, sf).train_clean.orderBy("row_id").limit(10))
+
+
+def q_shape_report(spark, sf):
+    """V5: rows and columns of the cleaned training table."""
+    from zonecast.operators.validation import shape_report
+    return shape_report(context(spark, sf).train_clean)
+
+
 # --- row-wise features ---------------------------------------------------------
 
 def q_time_features(spark, sf):

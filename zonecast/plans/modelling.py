@@ -151,6 +151,33 @@ def q_scenario_incident_scores(spark, sf):
     return rounded(out.withColumn("delta_pct", d).withColumn("status", delta_status(d)))
 
 
+def q_model_roundtrip(spark, sf):
+    """K4/K5 then S5/S6: save medians, encoder and members, load them back and
+    score the scoring rows with the loaded artefacts."""
+    from zonecast.ml.protocol import FittedEnsemble
+    from zonecast.session import scratch_dir
+    e = experiment(spark, sf)
+    path = scratch_dir(spark, "models")
+    e.ctx.medians.save(spark, f"{path}/train_medians")
+    e.final.save(f"{path}/models")
+    med = cleaning.Medians.load(spark, f"{path}/train_medians")
+    loaded = FittedEnsemble.load(spark, f"{path}/models")
+    s = loaded.score(cleaning.clean(e.ctx.score_raw, med))
+    return rounded(s.select(F.col("row_id").alias("Index"),
+                            F.col("pred_ensemble_blend").alias("demand")))
+
+
+def q_submission_csv(spark, sf):
+    """K1 then S4: the submission written as CSV (part files) and read back."""
+    from zonecast.session import scratch_dir
+    from zonecast.sources import sinks
+    from zonecast.sources.readers import read_submission
+    path = scratch_dir(spark, "submission")
+    sinks.write_submission(experiment(spark, sf).scored, path, "pred_ensemble_blend")
+    back = read_submission(spark, path)
+    return back.select(F.col("Index").cast("long"), F.col("demand").cast("double"))
+
+
 def q_stream_score(spark, sf):
     from zonecast.streaming.scoring import score_stream_once
     e = experiment(spark, sf)

@@ -271,6 +271,8 @@ def oracle_sql() -> dict[str, str]:
         - count(RoadType) - count(NumberofLanes) - count(lanes_text) - count(LargeVehicles)
         - count(Landmarks) - count(Temperature) - count(Weather) - count(demand) AS BIGINT)
         AS total_missing FROM ct"""
+    s["preview"] = f"{BASE} SELECT {_round_clean_cols()} FROM ct ORDER BY row_id LIMIT 10"
+    s["shape_report"] = f"{BASE} SELECT count(*) AS rows, 12 AS columns FROM ct"
     s["split_by_day"] = (f"{BASE} SELECT row_id, day, CASE WHEN day <= 24 THEN 'train' "
                          f"ELSE 'holdout' END AS split FROM lc")
     s["align_schema"] = (f"{BASE} SELECT row_id, round(coalesce(Temperature, 0), {R}) AS Temperature, "
