@@ -126,14 +126,15 @@ def fit_encoding(train: DataFrame) -> ZoneEncoding:
     med = exact_quantiles(train.where(F.col("geohash").isNotNull()), "demand", ["geohash"],
                           {"geo_median_demand": 0.5})
     zones = parts.join(med, "geohash", "left")
-    zones = zone_rank(zones).select(
+    zones = cut_lineage(zone_rank(zones).select(
         "geohash", "geo_mean_demand", "geo_std_demand", "geo_median_demand",
-        "geo_freq", "geo_rank").persist()
-    prefixes = prefix_stats(train, partials=parts).persist()
+        "geo_freq", "geo_rank"))
+    prefixes = cut_lineage(prefix_stats(train, partials=parts))
     gmed = exact_quantiles(train, "demand", [], {"global_median": 0.5}).first()
     agg = parts.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx"),
                     (F.sum("sum_demand") / F.sum("geo_freq")).alias("gmean")).first()
     n = int(agg["n"])
+    parts.unpersist()
     return ZoneEncoding(zones, prefixes, agg["gmean"], gmed["global_median"] if gmed else None,
                         n, float(agg["mx"] or 1.0), 3 * n)
 
