@@ -96,33 +96,40 @@ def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
             model_frame(hold, extra=["fold"]))
 
 
+def _fit_fold(f: int, train: DataFrame, val: DataFrame, hold: DataFrame, cfg: MemberConfig):
+    """One fold: fit the preprocessing and the three members on the fold's
+    training rows, predict its validation rows and the holdout rows."""
+    tr_f = train.where(F.col("fold") == f)
+    prep_f = preprocessor().fit(tr_f)
+    bins = max_bins(prep_f)
+    tr = prep_f.transform(tr_f).persist()
+    va = prep_f.transform(val.where(F.col("fold") == f))
+    ho = prep_f.transform(hold.where(F.col("fold") == f))
+    for m in MEMBERS:
+        model = fit_member(m, tr, cfg, bins, validation=va)
+        va = model.transform(va)
+        ho = model.transform(ho)
+    cols = ["row_id", "demand", "fold"] + [f"pred_{m}" for m in MEMBERS]
+    out = cut_lineage(va.select(*cols)), cut_lineage(ho.select(*cols))
+    tr.unpersist()
+    return out
+
+
 def cross_validate(cv_rows: DataFrame, holdout: DataFrame, cfg: MemberConfig, k: int = 5,
-                   seed: int = 42) -> CVResult:
+                   seed: int = 42, parallel_folds: int | None = None) -> CVResult:
+    """Folds are independent, so their jobs are submitted concurrently (one
+    driver thread per fold); Spark interleaves their tasks on the executors."""
+    from concurrent.futures import ThreadPoolExecutor
     cv = assign_folds(cv_rows, k, seed)
-    train, val, hold = _fold_frames(cv, holdout, k)
-    train = cut_lineage(train)
-    val_parts, hold_parts = [], []
-    for f in range(k):
-        prep_f = preprocessor().fit(train.where(F.col("fold") == f))
-        bins = max_bins(prep_f)
-        tr = prep_f.transform(train.where(F.col("fold") == f)).persist()
-        va = prep_f.transform(val.where(F.col("fold") == f))
-        ho = prep_f.transform(hold.where(F.col("fold") == f))
-        for m in MEMBERS:
-            model = fit_member(m, tr, cfg, bins, validation=va)
-            va = model.transform(va)
-            ho = model.transform(ho)
-        tr.unpersist()
-        cols = ["row_id", "demand", "fold"] + [f"pred_{m}" for m in MEMBERS]
-        val_parts.append(va.select(*cols))
-        hold_parts.append(ho.select(*cols))
-    oof = val_parts[0]
-    for p in val_parts[1:]:
-        oof = oof.unionByName(p)
+    train, val, hold = (cut_lineage(x) for x in _fold_frames(cv, holdout, k))
+    with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
+        parts = list(pool.map(lambda f: _fit_fold(f, train, val, hold, cfg), range(k)))
+    oof = parts[0][0]
+    hp = parts[0][1]
+    for v, h in parts[1:]:
+        oof = oof.unionByName(v)
+        hp = hp.unionByName(h)
     oof = cut_lineage(_blends(oof))
-    hp = hold_parts[0]
-    for p in hold_parts[1:]:
-        hp = hp.unionByName(p)
     holdout_mean = cut_lineage(_blends(hp.groupBy("row_id").agg(
         F.first("demand").alias("demand"),
         *[F.avg(f"pred_{m}").alias(f"pred_{m}") for m in MEMBERS])))
@@ -152,7 +159,12 @@ def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | Non
     x = prep.transform(frame).persist()
     final_cfg = MemberConfig(rounds=final_rounds or cfg.rounds, patience=None,
                              max_depth=cfg.max_depth, step=cfg.step)
-    members = {m: fit_member(m, x, final_cfg, max_bins(prep)) for m in MEMBERS}
+    from concurrent.futures import ThreadPoolExecutor
+    bins = max_bins(prep)
+    with ThreadPoolExecutor(max_workers=len(MEMBERS)) as pool:
+        fitted = dict(zip(MEMBERS, pool.map(lambda m: fit_member(m, x, final_cfg, bins),
+                                            MEMBERS)))
+    members = {m: fitted[m] for m in MEMBERS}
     x.unpersist()
     return FittedEnsemble(enc, prep, members)
 
