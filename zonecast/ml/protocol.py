@@ -159,12 +159,8 @@ def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | Non
     x = prep.transform(frame).persist()
     final_cfg = MemberConfig(rounds=final_rounds or cfg.rounds, patience=None,
                              max_depth=cfg.max_depth, step=cfg.step)
-    from concurrent.futures import ThreadPoolExecutor
     bins = max_bins(prep)
-    with ThreadPoolExecutor(max_workers=len(MEMBERS)) as pool:
-        fitted = dict(zip(MEMBERS, pool.map(lambda m: fit_member(m, x, final_cfg, bins),
-                                            MEMBERS)))
-    members = {m: fitted[m] for m in MEMBERS}
+    members = {m: fit_member(m, x, final_cfg, bins) for m in MEMBERS}
     x.unpersist()
     return FittedEnsemble(enc, prep, members)
 
