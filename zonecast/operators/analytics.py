@@ -94,7 +94,9 @@ def arg_best(df: DataFrame, key: str, value: str = "demand", largest: bool = Tru
              digits: int = 9) -> DataFrame:
     """A15 idxmax/idxmin over group means; ties -> smallest key (first in key order)."""
     m = mean_by(df, key, value, "m")
-    order = F.round("m", digits).desc() if largest else F.round("m", digits).asc()
+    # compare means at ``digits`` places (via DECIMAL, so float noise cannot split a tie)
+    rm = F.round(F.col("m").cast("decimal(38,12)"), digits)
+    order = rm.desc() if largest else rm.asc()
     return m.orderBy(order, F.col(key).asc()).limit(1)
 
 

@@ -290,14 +290,13 @@ def q_zone_map(spark, sf):
 
 
 def q_heatmap_road_hour(spark, sf):
-    # cell means of 5-decimal demands can be exact decimal ties at digit 10
-    return rounded(A.pivot_mean(_an(spark, sf), "RoadType", "hour", list(range(24)), "h"), 8)
+    return rounded(A.pivot_mean(_an(spark, sf), "RoadType", "hour", list(range(24)), "h"))
 
 
 def q_heatmap_road_lanes(spark, sf):
     df = _an(spark, sf)
     lanes = A.distinct_values(df, "NumberofLanes")
-    return rounded(A.pivot_mean(df, "RoadType", "NumberofLanes", lanes, "lanes_"), 8)
+    return rounded(A.pivot_mean(df, "RoadType", "NumberofLanes", lanes, "lanes_"))
 
 
 def q_zone_kpis(spark, sf):

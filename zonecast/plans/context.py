@@ -28,10 +28,11 @@ def context(spark: SparkSession, sf_dir: str) -> "Context":
 
 
 def round_half_away(c, digits: int):
-    """round(x * 10^d) / 10^d, half away from zero: the same double any SQL
-    engine that rounds this way returns, including at exact decimal ties."""
-    m = float(10 ** digits)
-    return F.round(c * F.lit(m)) / F.lit(m)
+    """Round through DECIMAL(38,12): snapping to 12 places first absorbs the
+    last-bit noise of floating sums (which differs between engines and between
+    partitionings), then rounding half-up to ``digits`` decides exact decimal
+    ties the same way everywhere (no -0.0 either)."""
+    return F.round(c.cast("decimal(38,12)"), digits).cast("double")
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:

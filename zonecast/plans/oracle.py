@@ -123,9 +123,13 @@ def _encode(src: str) -> str:
     CROSS JOIN gs g"""
 
 
+def rd(x: str, digits: int = R) -> str:
+    """Round through DECIMAL(38,12) (same rule as the Spark side)."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
 def r(x: str, name: str, digits: int = R) -> str:
-    # "+ 0.0" turns a rounded -0.0 into 0.0
-    return f"(round(CAST({x} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)) AS {name}"
+    return f"{rd(x, digits)} AS {name}"
 
 
 OBS_COLS = ("row_id, geohash, day, timestamp, RoadType, NumberofLanes, lanes_text, LargeVehicles, "
@@ -134,11 +138,11 @@ OBS_COLS = ("row_id, geohash, day, timestamp, RoadType, NumberofLanes, lanes_tex
 
 def _round_clean_cols() -> str:
     return ("row_id, geohash, day, timestamp, RoadType, NumberofLanes, lanes_text, LargeVehicles, "
-            "Landmarks, round(Temperature, 9) AS Temperature, Weather, round(demand, 9) AS demand")
+            f"Landmarks, {rd('Temperature')} AS Temperature, Weather, {rd('demand')} AS demand")
 
 
 def _mean_by(key: str, src: str = "an") -> str:
-    return (f"{BASE} SELECT {key}, round(avg(demand), {R}) AS mean_demand FROM {src} "
+    return (f"{BASE} SELECT {key}, {rd('avg(demand)')} AS mean_demand FROM {src} "
             f"WHERE {key} IS NOT NULL GROUP BY {key}")
 
 
@@ -231,29 +235,29 @@ def _events() -> str:
 
 def oracle_sql() -> dict[str, str]:
     s: dict[str, str] = {}
-    raw = ("row_id, geohash, day, timestamp, RoadType, round(NumberofLanes, 9) AS NumberofLanes, "
-           "lanes_text, LargeVehicles, Landmarks, round(Temperature, 9) AS Temperature, Weather, "
-           "round(demand, 9) AS demand, is_train")
+    raw = (f"row_id, geohash, day, timestamp, RoadType, {rd('NumberofLanes')} AS NumberofLanes, "
+           f"lanes_text, LargeVehicles, Landmarks, {rd('Temperature')} AS Temperature, Weather, "
+           f"{rd('demand')} AS demand, is_train")
     s["scan_observations"] = f"WITH obs AS ({adapter_sql()}) SELECT {raw} FROM obs"
     s["dedup"] = (f"WITH obs AS ({adapter_sql()}) SELECT DISTINCT {raw} FROM "
                   f"(SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE row_id % 29 = 0)")
-    s["train_medians"] = f"{BASE} SELECT round(t_med, {R}) AS Temperature, l_med AS NumberofLanes FROM med"
+    s["train_medians"] = f"{BASE} SELECT {rd('t_med')} AS Temperature, l_med AS NumberofLanes FROM med"
     s["coerce_numeric"] = (f"WITH obs AS ({adapter_sql()}) SELECT row_id, lanes_text, "
-                           f"round(TRY_CAST(lanes_text AS DOUBLE), 9) AS lanes_value FROM obs")
+                           f"{rd('TRY_CAST(lanes_text AS DOUBLE)')} AS lanes_value FROM obs")
     s["impute"] = f"""{BASE} SELECT row_id, geohash, day, timestamp,
         coalesce(RoadType, 'Unknown') AS RoadType,
         CAST(trunc(coalesce(NumberofLanes, CAST(l_med AS DOUBLE))) AS INTEGER) AS NumberofLanes,
         lanes_text, coalesce(LargeVehicles, 'Unknown') AS LargeVehicles,
         coalesce(Landmarks, 'Unknown') AS Landmarks,
-        round(coalesce(Temperature, t_med), {R}) AS Temperature,
-        coalesce(Weather, 'Unknown') AS Weather, round(demand, {R}) AS demand
+        {rd('coalesce(Temperature, t_med)')} AS Temperature,
+        coalesce(Weather, 'Unknown') AS Weather, {rd('demand')} AS demand
       FROM tr CROSS JOIN med"""
     s["standardize"] = f"""WITH obs AS ({adapter_sql()}) SELECT row_id, {_strip('geohash')} AS geohash,
         day, {_strip('timestamp')} AS timestamp, {_strip('RoadType')} AS RoadType,
-        round(NumberofLanes, 9) AS NumberofLanes,
+        {rd('NumberofLanes')} AS NumberofLanes,
         lanes_text, {_strip('LargeVehicles')} AS LargeVehicles, {_strip('Landmarks')} AS Landmarks,
-        round(Temperature, 9) AS Temperature, {_strip('Weather')} AS Weather,
-        round(demand, 9) AS demand, is_train FROM obs"""
+        {rd('Temperature')} AS Temperature, {_strip('Weather')} AS Weather,
+        {rd('demand')} AS demand, is_train FROM obs"""
     s["clean_train"] = f"{BASE} SELECT {_round_clean_cols()} FROM ct"
     s["impute_score"] = f"{BASE} SELECT {_round_clean_cols()} FROM cs"
     s["impute_score_local"] = f"""WITH obs AS ({adapter_sql()}),
@@ -275,9 +279,9 @@ def oracle_sql() -> dict[str, str]:
     s["shape_report"] = f"{BASE} SELECT count(*) AS rows, 12 AS columns FROM ct"
     s["split_by_day"] = (f"{BASE} SELECT row_id, day, CASE WHEN day <= 24 THEN 'train' "
                          f"ELSE 'holdout' END AS split FROM lc")
-    s["align_schema"] = (f"{BASE} SELECT row_id, round(coalesce(Temperature, 0), {R}) AS Temperature, "
+    s["align_schema"] = (f"{BASE} SELECT row_id, {rd('coalesce(Temperature, 0)')} AS Temperature, "
                          f"coalesce(NumberofLanes, 0) AS NumberofLanes, "
-                         f"round(coalesce(demand, 0), {R}) AS demand, 0 AS absent_feature FROM cs")
+                         f"{rd('coalesce(demand, 0)')} AS demand, 0 AS absent_feature FROM cs")
     h, mi = _hour("ts"), _minute("ts")
     s["time_features"] = f"""WITH obs AS ({adapter_sql()}),
       t AS (SELECT row_id, day, {_strip('timestamp')} AS ts FROM obs),
@@ -313,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
                              f"CAST(1 AS DOUBLE) AS geo_freq, 1 AS geo_rank, CAST(1 AS DOUBLE) AS geo_density, "
                              f"{r('0.0 / greatest(CAST(NumberofLanes AS DOUBLE), 1.0)', 'congestion_capacity_ratio')} "
                              f"FROM ct")
-    s["demand_category"] = f"""{BASE} SELECT row_id, round(demand, {R}) AS demand,
+    s["demand_category"] = f"""{BASE} SELECT row_id, {rd('demand')} AS demand,
         CASE WHEN demand < 0.05 THEN 'LOW' WHEN demand < 0.15 THEN 'MEDIUM'
              WHEN demand IS NOT NULL THEN 'HIGH' END AS category,
         CASE WHEN demand IS NOT NULL THEN CAST(least(100, trunc(demand * 500)) AS INTEGER) END AS risk_pct
@@ -358,8 +362,8 @@ def oracle_sql() -> dict[str, str]:
     s["weather_mean"] = _mean_by("Weather")
     s["road_mean"] = _mean_by("RoadType")
     s["lane_mean"] = _mean_by("NumberofLanes")
-    s["weather_summary"] = (f"{BASE} SELECT Weather, round_even(avg(demand), 5) AS mean_demand, "
-                            f"round_even(stddev_samp(demand), 5) AS std_demand, count(demand) AS n "
+    s["weather_summary"] = (f"{BASE} SELECT Weather, {rd('round_even(avg(demand), 5)')} AS mean_demand, "
+                            f"{rd('round_even(stddev_samp(demand), 5)')} AS std_demand, count(demand) AS n "
                             f"FROM an WHERE Weather IS NOT NULL GROUP BY Weather")
     s["peak_contrast"] = (f"{BASE} SELECT is_peak_hour, {r('avg(demand)', 'mean_demand')}, "
                           f"CASE WHEN is_peak_hour = 1 THEN 'Peak Rush Hours' ELSE 'Off-Peak Hours' END "
@@ -375,10 +379,10 @@ def oracle_sql() -> dict[str, str]:
                 f"FROM an WHERE geohash IS NOT NULL GROUP BY geohash")
     s["zone_map"] = (f"{BASE}, zm AS ({zone_map}) SELECT geohash, {r('mean_demand', 'mean_demand')}, "
                      f"lanes, {r('lat', 'lat')}, {r('lon', 'lon')} FROM zm WHERE lat IS NOT NULL")
-    hcols = ", ".join(f"round(coalesce(avg(demand) FILTER (WHERE hour = {i}), 0.0), 8) AS h{i}"
+    hcols = ", ".join(f"{rd(f'coalesce(avg(demand) FILTER (WHERE hour = {i}), 0.0)')} AS h{i}"
                       for i in range(24))
     s["heatmap_road_hour"] = f"{BASE} SELECT RoadType, {hcols} FROM an WHERE RoadType IS NOT NULL GROUP BY RoadType"
-    lcols = ", ".join(f"round(coalesce(avg(demand) FILTER (WHERE NumberofLanes = {i}), 0.0), 8) "
+    lcols = ", ".join(f"{rd(f'coalesce(avg(demand) FILTER (WHERE NumberofLanes = {i}), 0.0)')} "
                       f"AS lanes_{i}" for i in range(1, 6))
     s["heatmap_road_lanes"] = f"{BASE} SELECT RoadType, {lcols} FROM an WHERE RoadType IS NOT NULL GROUP BY RoadType"
     s["zone_kpis"] = (f"{BASE}, zm AS ({zone_map}) SELECT {r('max(mean_demand)', 'max_zone_mean')}, "
@@ -388,9 +392,9 @@ def oracle_sql() -> dict[str, str]:
     for kpi, key, desc in [("peak_hour", "hour", True), ("worst_zone", "geohash", True),
                            ("worst_weather", "Weather", True), ("best_weather", "Weather", False),
                            ("worst_road", "RoadType", True)]:
-        best.append(f"(SELECT '{kpi}' AS kpi, CAST({key} AS VARCHAR) AS key, round(m, {R}) AS value "
+        best.append(f"(SELECT '{kpi}' AS kpi, CAST({key} AS VARCHAR) AS key, {rd('m')} AS value "
                     f"FROM (SELECT {key}, avg(demand) AS m FROM an WHERE {key} IS NOT NULL GROUP BY {key}) "
-                    f"ORDER BY round(m, 9) {'DESC' if desc else 'ASC'}, {key} LIMIT 1)")
+                    f"ORDER BY round(CAST(m AS DECIMAL(38, 12)), 9) {'DESC' if desc else 'ASC'}, {key} LIMIT 1)")
     s["executive_summary"] = f"{BASE} " + " UNION ALL ".join(best)
     s["top_hotspots"] = (f"{BASE}, zm AS ({zone_map}) SELECT geohash, {r('mean_demand', 'mean_demand')}, "
                          f"lanes, {r('lat', 'lat')}, {r('lon', 'lon')} FROM zm WHERE lat IS NOT NULL "
@@ -433,8 +437,7 @@ def oracle_sql() -> dict[str, str]:
               FROM an CROSS JOIN p WHERE demand IS NOT NULL GROUP BY 1),
         g AS (SELECT i FROM range(0, 100) t(i))
         SELECT CAST(g.i AS INTEGER) AS i, {r('lo + g.i * step', 'x', 6)},
-          round(sum(cnt * exp(-0.5 * pow((lo + g.i * step - (lo + (b + 0.5) * width)) / h, 2)))
-                * (1.0 / (n * h * sqrt(2 * pi()))), 6) AS density
+          {rd('sum(cnt * exp(-0.5 * pow((lo + g.i * step - (lo + (b + 0.5) * width)) / h, 2))) * (1.0 / (n * h * sqrt(2 * pi())))', 6)} AS density
         FROM c CROSS JOIN g CROSS JOIN p GROUP BY g.i, lo, step, n, h"""
     s["temp_trend"] = (f"{BASE} SELECT {r('regr_slope(demand, Temperature)', 'slope', 7)}, "
                        f"{r('regr_intercept(demand, Temperature)', 'intercept', 7)} FROM an")
@@ -468,14 +471,14 @@ def oracle_sql() -> dict[str, str]:
         st AS (SELECT count(*) AS rows, count(*) - count(demand) AS missing, min(demand) AS mn,
           max(demand) AS mx, avg(demand) AS mean FROM sub),
         ex AS (SELECT count(*) AS n FROM obs WHERE NOT is_train)
-        SELECT 'rows' AS "check", round(CAST(rows AS DOUBLE), {R}) AS value,
+        SELECT 'rows' AS "check", {rd('CAST(rows AS DOUBLE)')} AS value,
           CASE WHEN rows = (SELECT n FROM ex) THEN 'PASS' ELSE 'FAIL' END AS status FROM st
         UNION ALL SELECT 'columns', 2.0, 'PASS'
         UNION ALL SELECT 'missing', CAST(missing AS DOUBLE),
           CASE WHEN missing = 0 THEN 'PASS' ELSE 'FAIL' END FROM st
-        UNION ALL SELECT 'min', round(mn, {R}), 'INFO' FROM st
-        UNION ALL SELECT 'max', round(mx, {R}), 'INFO' FROM st
-        UNION ALL SELECT 'mean', round(mean, {R}), 'INFO' FROM st"""
+        UNION ALL SELECT 'min', {rd('mn')}, 'INFO' FROM st
+        UNION ALL SELECT 'max', {rd('mx')}, 'INFO' FROM st
+        UNION ALL SELECT 'mean', {rd('mean')}, 'INFO' FROM st"""
     s["scenario_event"] = f"""{BASE}, z AS (SELECT geohash, avg(demand) AS baseline FROM an
           WHERE geohash IS NOT NULL GROUP BY geohash),
         ev AS (SELECT * FROM ({_events()}) v(event_type, attendance_k, mult)),
