@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from zonecast.functions.labels import peak_label
 from zonecast.functions.geo import geohash_latlon
+from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.quantiles import exact_quantiles
+from zonecast.session import cut_lineage
 
 
 def mean_by(df: DataFrame, key: str, value: str = "demand", name: str = "mean_demand",
@@ -46,14 +48,16 @@ def peak_contrast(df: DataFrame) -> DataFrame:
 def means_by_each(df: DataFrame, keys: list[str], value: str = "demand") -> DataFrame:
     """A10: mean per value of each key in one pass (GROUPING SETS), long form
     (attribute, value, mean)."""
+    import uuid
     sets = ", ".join(f"({k})" for k in keys)
-    df.createOrReplaceTempView("__zc_means_by_each")
+    view = f"zc_means_{uuid.uuid4().hex[:8]}"
+    df.createOrReplaceTempView(view)
     gid = " ".join([f"WHEN grouping({k}) = 0 THEN '{k}'" for k in keys])
     val = " ".join([f"WHEN grouping({k}) = 0 THEN CAST({k} AS STRING)" for k in keys])
     non_null = " OR ".join(f"{k} IS NOT NULL" for k in keys)
     return df.sparkSession.sql(
         f"SELECT CASE {gid} END AS attribute, CASE {val} END AS value, "
-        f"avg({value}) AS mean_demand FROM __zc_means_by_each "
+        f"avg({value}) AS mean_demand FROM {view} "
         f"GROUP BY GROUPING SETS ({sets}) HAVING ({non_null})")
 
 
@@ -139,7 +143,8 @@ def box_stats(df: DataFrame, key: str, value: str = "demand") -> DataFrame:
                        "hi_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     v = F.col(value)
     inside = v.between(F.col("lo_fence"), F.col("hi_fence"))
-    w = (base.join(F.broadcast(q), key)
+    q = cut_lineage(q)  # one row per key; materialised once, then size-checked
+    w = (base.join(maybe_broadcast(q), key)
          .groupBy(key)
          .agg(F.min(F.when(inside, v)).alias("lower_whisker"),
               F.max(F.when(inside, v)).alias("upper_whisker"),

@@ -38,3 +38,9 @@ def finish_features(df: DataFrame) -> DataFrame:
     out = with_ratio(out)
     out = with_weather_features(out)
     return with_interactions(out)
+
+
+def categorical_frame(df: DataFrame) -> DataFrame:
+    """The seven categorical features need no fitted statistics: derive them
+    from the row alone (time block, road x lanes, road x weather)."""
+    return finish_features(no_stats_encoding(row_features(df)))

@@ -29,7 +29,9 @@ from zonecast.operators.oof import oof_encode
 from zonecast.operators.scenarios import event_surge, incident_grid, incident_parameters, \
     explode_scenarios
 from zonecast.operators.validation import validate_submission
+from zonecast.operators.features import categorical_frame
 from zonecast.plans.context import context, rounded
+from zonecast.session import cut_lineage
 from zonecast.schema import CATEGORICAL_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,15 +242,17 @@ def q_unseen_zones(spark, sf):
 
 
 def q_category_codes(spark, sf):
-    return category_table(context(spark, sf).train_features, CATEGORICAL_FEATURES)
+    return category_table(categorical_frame(context(spark, sf).train_clean), CATEGORICAL_FEATURES)
 
 
 def q_category_codes_apply(spark, sf):
+    """Codes fitted on training rows applied to scoring rows (unseen -> -1);
+    the code table is materialised once and broadcast after one size check."""
     ctx = context(spark, sf)
-    table = category_table(ctx.train_features, CATEGORICAL_FEATURES)
-    coded = apply_codes(ctx.score_features.select("row_id", *CATEGORICAL_FEATURES), table,
-                        CATEGORICAL_FEATURES)
-    return coded
+    table = cut_lineage(category_table(categorical_frame(ctx.train_clean), CATEGORICAL_FEATURES))
+    n = table.count()
+    rows = categorical_frame(ctx.score_clean).select("row_id", *CATEGORICAL_FEATURES)
+    return apply_codes(rows, table, CATEGORICAL_FEATURES, n_rows=n)
 
 
 # --- analytics --------------------------------------------------------------------

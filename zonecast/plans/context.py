@@ -68,11 +68,11 @@ class Context:
         """Reused by every fit and summary: kept (memory, then disk) once built."""
         return cleaning.clean(cleaning.dedup(self.train_raw), self.medians).persist()
 
-    @property
+    @cached_property
     def labelled_clean(self) -> DataFrame:
         """Every adapter row (all carry demand), cleaned with the train medians:
         the table the time-aware split (train days / holdout days) runs on."""
-        return cleaning.clean(cleaning.dedup(self.obs.drop("is_train")), self.medians)
+        return cleaning.clean(cleaning.dedup(self.obs.drop("is_train")), self.medians).persist()
 
     @property
     def score_clean(self) -> DataFrame:
