@@ -65,3 +65,20 @@ def test_stream_equals_batch(spark):
     assert batch.keys() == stream.keys()
     for k, v in batch.items():
         assert stream[k] == pytest.approx(v, abs=1e-12)
+
+
+def test_literal_request_rows(spark, fitted):
+    from zonecast.ml.protocol import score_requests
+    from zonecast.operators import cleaning
+    from zonecast.sources.readers import literal_observations
+    rows = [{"row_id": 0, "geohash": "qp0007", "day": 48, "timestamp": "08:30",
+             "RoadType": "Highway", "NumberofLanes": 2.0, "LargeVehicles": "Allowed",
+             "Landmarks": "No", "Temperature": 22.0, "Weather": "Sunny"},
+            {"row_id": 1, "geohash": "zzzzzz", "day": 49, "timestamp": "bad",
+             "RoadType": None, "NumberofLanes": None, "LargeVehicles": None,
+             "Landmarks": None, "Temperature": None, "Weather": None}]
+    req = cleaning.clean(literal_observations(spark, rows), cleaning.Medians(20.0, 2))
+    got = {r["row_id"]: r for r in score_requests(req, fitted).collect()}
+    assert all(got[i]["pred_ensemble_blend"] is not None for i in (0, 1))
+    none = score_requests(req, None).collect()
+    assert all(r["pred_ensemble_blend"] is None for r in none)

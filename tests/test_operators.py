@@ -178,3 +178,13 @@ def test_hash_sample_is_deterministic(spark):
     a = [r[0] for r in A.hash_sample(df, 50).collect()]
     b = [r[0] for r in A.hash_sample(df.repartition(5), 50).collect()]
     assert a == b and len(a) == 50
+
+
+def test_drop_strict_and_string_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "a long, b string, c double")
+    assert cleaning.drop_strict(df, ["b"]).columns == ["a", "c"]
+    with pytest.raises(KeyError):
+        cleaning.drop_strict(df, ["zz"])
+    assert cleaning.string_columns(df) == ["b"]
+    aligned = cleaning.align_schema(df, ["c", "missing", "a"])
+    assert aligned.columns == ["c", "missing", "a"] and aligned.first()["missing"] == 0

@@ -170,3 +170,15 @@ def oof_table(cv: CVResult) -> DataFrame:
     return cv.oof.select(F.col("row_id").alias("Index"), F.col("demand").alias("demand_true"),
                          "pred_cat", "pred_lgb", "pred_xgb", "pred_ensemble_blend",
                          "pred_ensemble_trio")
+
+
+def score_requests(cleaned_requests: DataFrame, ensemble: "FittedEnsemble | None") -> DataFrame:
+    """M7: score request rows (a form, an API batch); without fitted artefacts
+    every prediction is NULL rather than an error."""
+    if ensemble is None:
+        return cleaned_requests.select(
+            "row_id", *[F.lit(None).cast("double").alias(f"pred_{m}") for m in MEMBERS],
+            F.lit(None).cast("double").alias("pred_ensemble_blend"),
+            F.lit(None).cast("double").alias("pred_ensemble_trio"))
+    return ensemble.score(cleaned_requests).select(
+        "row_id", *[f"pred_{m}" for m in MEMBERS], "pred_ensemble_blend", "pred_ensemble_trio")
