@@ -188,3 +188,13 @@ def test_drop_strict_and_string_columns(spark):
     assert cleaning.string_columns(df) == ["b"]
     aligned = cleaning.align_schema(df, ["c", "missing", "a"])
     assert aligned.columns == ["c", "missing", "a"] and aligned.first()["missing"] == 0
+
+
+def test_grouped_row_number_matches_window(spark):
+    from zonecast.operators.ranking import grouped_row_number
+    df = spark.range(0, 400).select((F.col("id") % 3).alias("g"), F.col("id"),
+                                    (F.col("id") % 17).alias("m")).repartition(5)
+    order = [F.col("m").desc(), F.col("id").asc()]
+    got = grouped_row_number(df, "g", order, "rn").select("g", "id", "rn")
+    exp = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("rn"))
+    assert sorted(got.collect()) == sorted(exp.collect())

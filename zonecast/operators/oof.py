@@ -8,12 +8,14 @@ encoded once per fold (k copies), as the per-fold models score them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import geo_prefix
 from zonecast.operators.encoding import PREFIX_LEVELS, global_stats, prefix_stats, zone_stats
 from zonecast.operators.folds import explode_training_folds
+from zonecast.operators.joins import maybe_broadcast
+from zonecast.operators.ranking import grouped_row_number
 from zonecast.session import cut_lineage
 
 
@@ -21,10 +23,10 @@ def fold_encoders(cv_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Dat
     """(zones, prefixes, globals) keyed by fold."""
     ex = explode_training_folds(cv_rows, k)
     zones = zone_stats(ex, ["fold"])
-    # rank within a fold: the window holds one fold's zones (bounded by zone count)
-    w = Window.partitionBy("fold").orderBy(F.col("geo_mean_demand").desc_nulls_last(),
-                                           F.col("geohash"))
-    zones = cut_lineage(zones.withColumn("geo_rank", F.row_number().over(w).cast("int")))
+    # rank within a fold, distributed (no single task holds a fold's zone table)
+    zones = cut_lineage(grouped_row_number(
+        zones, "fold", [F.col("geo_mean_demand").desc_nulls_last(), F.col("geohash").asc()],
+        "geo_rank"))
     prefixes = cut_lineage(prefix_stats(ex, ["fold"], partials=zones))
     glob = global_stats(ex, ["fold"])
     counts = zones.groupBy("fold").agg(F.count("*").alias("n_zones"),
@@ -40,13 +42,14 @@ def encode_with_folds(df: DataFrame, zones: DataFrame, prefixes: DataFrame,
                      F.col("geo_std_demand").alias("__zstd"),
                      F.col("geo_median_demand").alias("__zmed"),
                      F.col("geo_freq").alias("__zfreq"), F.col("geo_rank").alias("__zrank"))
-    out = df.join(F.broadcast(z), ["fold", "geohash"], "left")
+    n_z = zones.count()  # checkpointed table: a cheap count for the size check
+    out = df.join(maybe_broadcast(z, n_z), ["fold", "geohash"], "left")
     for n in PREFIX_LEVELS:
         p = prefixes.where(F.col("level") == n).select(
             "fold", F.col("prefix").alias("__pk"), F.col("prefix_mean").alias(f"__p{n}"))
         out = (out.withColumn("__pk", geo_prefix(F.col("geohash"), n))
-               .join(F.broadcast(p), ["fold", "__pk"], "left").drop("__pk"))
-    out = out.join(F.broadcast(glob), "fold", "left")
+               .join(maybe_broadcast(p, 3 * n_z), ["fold", "__pk"], "left").drop("__pk"))
+    out = out.join(F.broadcast(glob), "fold", "left")  # one row per fold
     out = out.withColumns({
         "geo_mean_demand": F.coalesce("__zmean", "__p5", "__p4", "__p3", "global_mean"),
         "geo_std_demand": F.coalesce(F.col("__zstd"), F.lit(0.0)),

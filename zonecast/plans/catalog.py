@@ -24,6 +24,7 @@ from zonecast.operators.categories import apply_codes, category_table
 from zonecast.operators.encoding import (apply_encoding, global_stats, no_stats_encoding,
                                          prefix_stats, unseen_zones, zone_rank, zone_stats)
 from zonecast.operators.folds import assign_folds
+from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.metrics import regression_metrics
 from zonecast.operators.oof import oof_encode
 from zonecast.operators.scenarios import event_surge, incident_grid, incident_parameters, \
@@ -225,11 +226,11 @@ def q_fallback_levels(spark, sf):
                                                    "geo_prefix_3")
     z = enc.zones.where(F.col("geo_mean_demand").isNotNull()).select(
         "geohash", F.lit(1).alias("__z"))
-    df = df.join(F.broadcast(z), "geohash", "left")
+    df = df.join(maybe_broadcast(z, enc.n_zones), "geohash", "left")
     for n in (5, 4, 3):
         p = enc.prefixes.where(F.col("level") == n).select(
             F.col("prefix").alias(f"geo_prefix_{n}"), F.lit(1).alias(f"__p{n}"))
-        df = df.join(F.broadcast(p), f"geo_prefix_{n}", "left")
+        df = df.join(maybe_broadcast(p, enc.n_prefixes), f"geo_prefix_{n}", "left")
     level = (F.when(F.col("__z").isNotNull(), "exact").when(F.col("__p5").isNotNull(), "p5")
              .when(F.col("__p4").isNotNull(), "p4").when(F.col("__p3").isNotNull(), "p3")
              .otherwise("global"))
