@@ -97,6 +97,13 @@ def q_score_members(spark, sf):
                             risk_pct(b).alias("risk_pct")))
 
 
+def q_submission_profile(spark, sf):
+    """A16 on the submission: min, max, mean, exact median, std of predictions."""
+    from zonecast.operators.analytics import describe
+    s = experiment(spark, sf).scored.select(F.col("pred_ensemble_blend").alias("demand"))
+    return rounded(describe(s, "demand"))
+
+
 def q_validate_model_submission(spark, sf):
     e = experiment(spark, sf)
     sub = e.scored.select(F.col("row_id").alias("Index"), F.col("pred_ensemble_blend").alias("demand"))
