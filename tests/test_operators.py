@@ -198,3 +198,20 @@ def test_grouped_row_number_matches_window(spark):
     got = grouped_row_number(df, "g", order, "rn").select("g", "id", "rn")
     exp = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("rn"))
     assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_encoder_statistics_same_on_refinement_path(spark, monkeypatch):
+    """A hot zone (a third of all rows) through the bucket-refinement path gives
+    the same fitted statistics as the direct path."""
+    import zonecast.operators.quantiles as Q
+    rows = [("qp0hot", float((i * 37) % 101) / 100) for i in range(300)]
+    rows += [(f"qp0{i % 9}", float((i * 13) % 29) / 50) for i in range(600)]
+    train = spark.createDataFrame(rows, "geohash string, demand double")
+    direct = fit_encoding(train)
+    d = {r["geohash"]: r for r in direct.zones.collect()}
+    monkeypatch.setattr(Q, "SMALL_GROUP", 20)
+    refined = fit_encoding(train)
+    for r in refined.zones.collect():
+        assert r["geo_median_demand"] == pytest.approx(d[r["geohash"]]["geo_median_demand"], abs=1e-12)
+        assert r["geo_rank"] == d[r["geohash"]]["geo_rank"]
+    assert refined.global_median == pytest.approx(direct.global_median, abs=1e-12)

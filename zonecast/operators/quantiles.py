@@ -25,11 +25,14 @@ from zonecast.operators.joins import maybe_broadcast
 from zonecast.session import cut_lineage
 
 _G = "__zq_group"
+# Largest group handed to Spark's exact percentile in one task.
+SMALL_GROUP = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str, float],
-                    small: int = 100_000, bins: int = 4096, max_rounds: int = 24) -> DataFrame:
+                    small: int | None = None, bins: int = 4096, max_rounds: int = 24) -> DataFrame:
     """``keys`` + one column per entry of ``probs`` (name -> probability)."""
+    small = SMALL_GROUP if small is None else small
     names = list(probs)
     keys_ = list(keys) if keys else [_G]
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("__v"))
