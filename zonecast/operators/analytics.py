@@ -218,5 +218,7 @@ def trend_line(trend: DataFrame, points: int = 100) -> DataFrame:
 
 def hash_sample(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
     """Deterministic sample of at most n rows (same rows on every run and
-    partitioning): the n smallest xxhash64(key, seed) values."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    partitioning): the n smallest values of a seeded permutation of the key.
+    Per-partition top-n then an n-row merge (TakeOrderedAndProject)."""
+    from zonecast.operators.folds import mix
+    return df.orderBy(mix(F.col(key), seed), F.col(key)).limit(n)

@@ -11,9 +11,13 @@ _PRIME = 1_000_003
 _MULT = 7919
 
 
+def mix(row_id: Column, seed: int = 42) -> Column:
+    """Deterministic permutation of row ids (mod a prime), reproducible in SQL."""
+    return F.pmod(F.pmod(row_id, F.lit(_PRIME)) * F.lit(_MULT) + F.lit(seed), F.lit(_PRIME))
+
+
 def fold_of(row_id: Column, k: int = 5, seed: int = 42) -> Column:
-    mixed = F.pmod(F.pmod(row_id, F.lit(_PRIME)) * F.lit(_MULT) + F.lit(seed), F.lit(_PRIME))
-    return F.pmod(mixed, F.lit(k)).cast("int")
+    return F.pmod(mix(row_id, seed), F.lit(k)).cast("int")
 
 
 def assign_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "row_id") -> DataFrame:

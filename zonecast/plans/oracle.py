@@ -448,6 +448,9 @@ def oracle_sql() -> dict[str, str]:
         SELECT CAST(i AS INTEGER) AS i, {r('x_min + i * ((x_max - x_min) / 99)', 'x', 7)},
           {r('slope * (x_min + i * ((x_max - x_min) / 99)) + intercept', 'y', 7)}
         FROM t CROSS JOIN range(0, 100) g(i)"""
+    s["sample_rows"] = (f"{BASE} SELECT row_id, {r('Temperature', 'Temperature')}, "
+                        f"{r('demand', 'demand')} FROM ct "
+                        f"ORDER BY ((row_id % 1000003) * 7919 + 42) % 1000003, row_id LIMIT 1000")
     s["kfold_assign"] = (f"{BASE} SELECT row_id, CAST(((row_id % 1000003) * 7919 + 42) % 1000003 % 5 "
                          f"AS INTEGER) AS fold FROM lc WHERE day <= 24")
     s["oof_target_encode"] = (f"{BASE}, {_oof()} SELECT row_id, fold, split, "
