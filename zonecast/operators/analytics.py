@@ -107,13 +107,15 @@ def arg_best(df: DataFrame, key: str, value: str = "demand", largest: bool = Tru
 def describe(df: DataFrame, value: str = "demand", keys: list[str] | None = None) -> DataFrame:
     """Min, max, mean, exact median, sample std."""
     keys = keys or []
-    kk = keys or ["__all"]
-    t = df if keys else df.withColumn("__all", F.lit(0))
-    basic = t.groupBy(*kk).agg(F.min(value).alias("min"), F.max(value).alias("max"),
-                               F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    med = exact_quantiles(t, value, kk, {"median": 0.5})
-    out = basic.join(med, kk, "left")
-    return out if keys else out.drop("__all")
+    aggs = [F.min(value).alias("min"), F.max(value).alias("max"),
+            F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")]
+    med = exact_quantiles(df, value, keys, {"median": 0.5})
+    if keys:
+        return df.groupBy(*keys).agg(*aggs).join(med, keys, "left")
+    # one global row: the scalars are attached to the median row (no join)
+    b = df.agg(*aggs).first()
+    return med.select(*[F.lit(b[c]).cast("double").alias(c) for c in ("min", "max", "mean", "std")],
+                      "median")
 
 
 def safe_corr(x: Column, y: Column) -> Column:

@@ -68,12 +68,13 @@ def prefix_stats(train: DataFrame, keys: list[str] | None = None,
 
 def global_stats(train: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A3: global mean and (exact) median of demand, optionally per ``keys``."""
-    kk = keys or ["__all"]
-    t = train if keys else train.withColumn("__all", F.lit(0))
-    mean = t.groupBy(*kk).agg(F.avg("demand").alias("global_mean"))
-    med = exact_quantiles(t, "demand", kk, {"global_median": 0.5})
-    out = mean.join(med, kk, "left")
-    return out if keys else out.drop("__all")
+    med = exact_quantiles(train, "demand", keys or [], {"global_median": 0.5})
+    if keys:
+        mean = train.groupBy(*keys).agg(F.avg("demand").alias("global_mean"))
+        return mean.join(med, keys, "left")
+    # one global row: the mean is a scalar attached to the median row (no join)
+    m = train.agg(F.avg("demand")).first()[0]
+    return med.select(F.lit(m).cast("double").alias("global_mean"), "global_median")
 
 
 def zone_rank(stats: DataFrame) -> DataFrame:
