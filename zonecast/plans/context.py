@@ -59,14 +59,19 @@ class Context:
     def score_raw(self) -> DataFrame:
         return sources.obs_score(self.spark, self.sf_dir)
 
+    @cached_property
+    def train_dedup(self) -> DataFrame:
+        """Deduplicated training rows, shared by the median fit and the cleaning."""
+        return cleaning.dedup(self.train_raw).persist()
+
     @cached_property
     def medians(self) -> cleaning.Medians:
-        return cleaning.fit_medians(cleaning.dedup(self.train_raw))
+        return cleaning.fit_medians(self.train_dedup)
 
     @cached_property
     def train_clean(self) -> DataFrame:
         """Reused by every fit and summary: kept (memory, then disk) once built."""
-        return cleaning.clean(cleaning.dedup(self.train_raw), self.medians).persist()
+        return cleaning.clean(self.train_dedup, self.medians).persist()
 
     @cached_property
     def labelled_clean(self) -> DataFrame:
