@@ -215,3 +215,19 @@ def test_encoder_statistics_same_on_refinement_path(spark, monkeypatch):
         assert r["geo_median_demand"] == pytest.approx(d[r["geohash"]]["geo_median_demand"], abs=1e-12)
         assert r["geo_rank"] == d[r["geohash"]]["geo_rank"]
     assert refined.global_median == pytest.approx(direct.global_median, abs=1e-12)
+
+
+def test_impute_coerces_text_numbers(spark):
+    df = spark.createDataFrame([(1, "12.5", "3"), (2, "warm", "n/a"), (3, None, "2.9")],
+                               "row_id long, Temperature string, NumberofLanes string")
+    out = {r["row_id"]: r for r in cleaning.impute(df, cleaning.Medians(20.0, 4)).collect()}
+    assert out[1]["Temperature"] == 12.5 and out[1]["NumberofLanes"] == 3
+    assert out[2]["Temperature"] == 20.0 and out[2]["NumberofLanes"] == 4
+    assert out[3]["Temperature"] == 20.0 and out[3]["NumberofLanes"] == 2   # truncation
+
+
+def test_medians_on_text_columns(spark):
+    df = spark.createDataFrame([("10", "2"), ("x", "4"), ("30", "zz"), (None, "3")],
+                               "Temperature string, NumberofLanes string")
+    m = cleaning.fit_medians(df)
+    assert m.temperature == 20.0 and m.lanes == 3

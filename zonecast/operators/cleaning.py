@@ -62,8 +62,8 @@ def fit_medians(train: DataFrame) -> Medians:
     """Both medians in one exact-quantile pass over a stacked view.
     Coercion happens before (Q3); an all-NULL lane column gives 1 lane."""
     stacked = train.selectExpr(
-        "stack(2, 'Temperature', CAST(Temperature AS DOUBLE), "
-        "'NumberofLanes', CAST(NumberofLanes AS DOUBLE)) AS (column_name, v)")
+        "stack(2, 'Temperature', try_cast(Temperature AS DOUBLE), "
+        "'NumberofLanes', try_cast(NumberofLanes AS DOUBLE)) AS (column_name, v)")
     got = {r["column_name"]: r["median"] for r in
            exact_quantiles(stacked, "v", ["column_name"], {"median": 0.5}).collect()}
     lanes = got.get("NumberofLanes")
@@ -85,9 +85,10 @@ def impute(df: DataFrame, medians: Medians | None = None) -> DataFrame:
         local = exact_quantiles(df, "Temperature", [], {"t": 0.5}).first()
         medians = Medians(local["t"] if local else None, 1)
     temp_fill = F.lit(medians.temperature).cast("double")
+    # coercion first (text junk and NaN -> NULL), then the fill
     out = df.withColumns({
-        "Temperature": F.coalesce(F.col("Temperature").cast("double"), temp_fill),
-        "NumberofLanes": F.coalesce(F.col("NumberofLanes").cast("double"),
+        "Temperature": F.coalesce(coerce_numeric("Temperature"), temp_fill),
+        "NumberofLanes": F.coalesce(coerce_numeric("NumberofLanes"),
                                     F.lit(float(medians.lanes))).try_cast("int"),
     })
     fills = {c: CATEGORY_FILL for c in CATEGORY_FILL_COLUMNS if c in out.columns}
