@@ -48,7 +48,8 @@ class FittedEnsemble:
               keep: list[str] | None = None) -> DataFrame:
         """M6/M7: features -> three members -> both blends (batch or stream);
         ``keep`` columns of the input ride along (scenario keys, zone...)."""
-        feats = finish_features(self.encoding.transform(row_features(cleaned), density_scope))
+        feats = finish_features(self.encoding.transform(row_features(cleaned, decode=False),
+                                                        density_scope))
         x = self.prep.transform(model_frame(feats, label="demand", extra=keep))
         for m in MEMBERS:
             x = self.members[m].transform(x)
@@ -153,7 +154,7 @@ def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | Non
               ) -> FittedEnsemble:
     """M5: statistics and members refit on every training row."""
     enc = fit_encoding(train_clean)
-    feats = finish_features(enc.transform(row_features(train_clean)))
+    feats = finish_features(enc.transform(row_features(train_clean, decode=False)))
     frame = cut_lineage(model_frame(feats))
     prep = preprocessor().fit(frame)
     x = prep.transform(frame).persist()

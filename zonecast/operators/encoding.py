@@ -127,9 +127,10 @@ def fit_encoding(train: DataFrame) -> ZoneEncoding:
     med = exact_quantiles(train.where(F.col("geohash").isNotNull()), "demand", ["geohash"],
                           {"geo_median_demand": 0.5})
     zones = parts.join(med, "geohash", "left")
+    lat, lon = geohash_latlon(F.col("geohash"))
     zones = cut_lineage(zone_rank(zones).select(
         "geohash", "geo_mean_demand", "geo_std_demand", "geo_median_demand",
-        "geo_freq", "geo_rank"))
+        "geo_freq", "geo_rank", lat.alias("latitude"), lon.alias("longitude")))
     prefixes = cut_lineage(prefix_stats(train, partials=parts))
     gmed = exact_quantiles(train, "demand", [], {"global_median": 0.5}).first()
     agg = parts.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx"),
@@ -145,11 +146,19 @@ def apply_encoding(df: DataFrame, enc: ZoneEncoding, density_scope: str = "fitte
     for n in PREFIX_LEVELS:
         if f"geo_prefix_{n}" not in df.columns:
             df = df.withColumn(f"geo_prefix_{n}", geo_prefix(F.col("geohash"), n))
+    has_ll = "latitude" in enc.zones.columns
+    ll = [F.col("latitude").alias("__zlat"), F.col("longitude").alias("__zlon")] if has_ll else []
     zones = maybe_broadcast(enc.zones.select(
         "geohash", F.col("geo_mean_demand").alias("__zmean"),
         F.col("geo_std_demand").alias("__zstd"), F.col("geo_median_demand").alias("__zmed"),
-        F.col("geo_freq").alias("__zfreq"), F.col("geo_rank").alias("__zrank")), enc.n_zones)
+        F.col("geo_freq").alias("__zfreq"), F.col("geo_rank").alias("__zrank"), *ll), enc.n_zones)
     out = df.join(zones, "geohash", "left")
+    if "latitude" not in df.columns:
+        # decoded once per fitted zone; the expression runs only for unseen zones
+        lat, lon = geohash_latlon(F.col("geohash"))
+        zl = (F.col("__zlat"), F.col("__zlon")) if has_ll else (F.lit(None), F.lit(None))
+        out = out.withColumns({"latitude": F.coalesce(zl[0], lat),
+                               "longitude": F.coalesce(zl[1], lon)})
     for n in PREFIX_LEVELS:
         p = maybe_broadcast(enc.prefixes.where(F.col("level") == n)
                             .select(F.col("prefix").alias(f"geo_prefix_{n}"),
@@ -170,7 +179,8 @@ def apply_encoding(df: DataFrame, enc: ZoneEncoding, density_scope: str = "fitte
     else:
         mx = max(enc.max_freq, 1.0) if enc.n_zones else 1.0
     out = out.withColumn("geo_density", F.col("geo_freq") / F.lit(float(mx)))
-    return out.drop("__zmean", "__zstd", "__zmed", "__zfreq", "__zrank", "__p5", "__p4", "__p3")
+    return out.drop("__zmean", "__zstd", "__zmed", "__zfreq", "__zrank", "__zlat", "__zlon",
+                    "__p5", "__p4", "__p3")
 
 
 def no_stats_encoding(df: DataFrame) -> DataFrame:

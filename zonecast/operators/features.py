@@ -12,18 +12,23 @@ from zonecast.functions.temporal import with_time_features
 from zonecast.operators.encoding import ZoneEncoding, fit_encoding, no_stats_encoding
 
 
-def row_features(df: DataFrame) -> DataFrame:
-    """Everything that depends on the row alone (no fitted statistics)."""
-    return with_geo_prefixes(with_geohash_latlon(with_time_features(df)))
+def row_features(df: DataFrame, decode: bool = True) -> DataFrame:
+    """Everything that depends on the row alone (no fitted statistics).  With
+    ``decode=False`` latitude/longitude are left to the zone encoding, which
+    carries them per fitted zone (decoded once per zone, not per row)."""
+    out = with_time_features(df)
+    if decode:
+        out = with_geohash_latlon(out)
+    return with_geo_prefixes(out)
 
 
 def engineer(df: DataFrame, enc: ZoneEncoding | None = None, fit: bool = False,
              density_scope: str = "fitted") -> tuple[DataFrame, ZoneEncoding | None]:
     """With ``fit`` and no ``enc`` the statistics are fitted on ``df``
     itself; with ``enc`` they are applied; with neither, placeholders (F18)."""
-    base = row_features(df)
     if enc is None and fit:
         enc = fit_encoding(df)
+    base = row_features(df, decode=enc is None)
     out = enc.transform(base, density_scope) if enc is not None else no_stats_encoding(base)
     out = with_road_features(out)
     out = with_ratio(out)
