@@ -51,3 +51,11 @@ def test_optional_scan_missing_is_none(spark, tmp_path):
     assert read_optional(spark, str(tmp_path / "absent.parquet")) is None
     spark.range(3).write.parquet(str(tmp_path / "present.parquet"))
     assert read_optional(spark, str(tmp_path / "present.parquet")).count() == 3
+
+
+def test_csv_columns_by_header_name(spark, tmp_path):
+    p = tmp_path / "reordered.csv"
+    p.write_text("demand,Index,extra,geohash,timestamp,day\n0.25,7,x,qp02z1,08:30,48\n")
+    r = read_observations_csv(spark, str(p)).first()
+    assert r["row_id"] == 7 and r["demand"] == 0.25 and r["day"] == 48
+    assert r["geohash"] == "qp02z1" and r["Temperature"] is None

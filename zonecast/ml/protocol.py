@@ -87,6 +87,8 @@ class CVResult:
 
 def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
     zones, prefixes, glob = fold_encoders(cv, k)
+    cv = cv.where(F.col("demand").isNotNull())        # a row without a label cannot train
+    holdout = holdout.where(F.col("demand").isNotNull())
     cv_rf = row_features(cv)
     train = finish_features(encode_with_folds(explode_training_folds(cv_rf, k), zones, prefixes, glob))
     val = finish_features(encode_with_folds(cv_rf, zones, prefixes, glob))
@@ -155,7 +157,7 @@ def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | Non
     """M5: statistics and members refit on every training row."""
     enc = fit_encoding(train_clean)
     feats = finish_features(enc.transform(row_features(train_clean, decode=False)))
-    frame = cut_lineage(model_frame(feats))
+    frame = cut_lineage(model_frame(feats.where(F.col("demand").isNotNull())))
     prep = preprocessor().fit(frame)
     x = prep.transform(frame).persist()
     final_cfg = MemberConfig(rounds=final_rounds or cfg.rounds, patience=None,

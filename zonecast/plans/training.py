@@ -85,13 +85,21 @@ def _main() -> None:
     ap.add_argument("--final-rounds", type=int, default=1200)
     ap.add_argument("--patience", type=int, default=50)
     ap.add_argument("--expected-rows", type=int)
+    ap.add_argument("--split-day", type=int,
+                    help="train/validate on days <= N, hold out days > N "
+                         "(default: the reference's day 48 / day 49)")
     a = ap.parse_args()
     spark = get_session()
     fmt = "csv" if a.csv else "parquet"
     if a.mode == "train":
+        if a.split_day is None:
+            days = dict(train_days=(48,), holdout_days=(49,))
+        else:
+            n = a.split_day
+            days = dict(train_days=lambda d: d <= n, holdout_days=lambda d: d > n)
         m = train_and_evaluate(spark, read_observations(spark, a.train, fmt), a.out,
                                MemberConfig(rounds=a.rounds, patience=a.patience),
-                               final_rounds=a.final_rounds)
+                               final_rounds=a.final_rounds, **days)
     else:
         m = run_inference(spark, read_observations(spark, a.test, fmt).drop("demand"),
                           a.models, a.out, a.expected_rows)

@@ -21,21 +21,6 @@ OBS_SCHEMA = T.StructType([
     T.StructField("demand", T.DoubleType()),
 ])
 
-# CSV files carry ``Index`` as key and lanes as free text.
-CSV_SCHEMA = T.StructType([
-    T.StructField("Index", T.LongType()),
-    T.StructField("geohash", T.StringType()),
-    T.StructField("day", T.IntegerType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("RoadType", T.StringType()),
-    T.StructField("NumberofLanes", T.StringType()),
-    T.StructField("LargeVehicles", T.StringType()),
-    T.StructField("Landmarks", T.StringType()),
-    T.StructField("Temperature", T.StringType()),
-    T.StructField("Weather", T.StringType()),
-    T.StructField("demand", T.StringType()),
-])
-
 ID = "row_id"
 TARGET = "demand"
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonecast.schema import CSV_SCHEMA, OBS_SCHEMA
+from zonecast.schema import OBS_SCHEMA
 
 # Text tokens read as missing (pandas' default NA set, case-insensitive subset).
 NA_TOKENS = ["", "NA", "N/A", "NAN", "NULL", "NONE", "<NA>", "-NAN", "#N/A", "N/A N/A",
@@ -26,24 +26,34 @@ def nan_to_null(c: Column) -> Column:
 
 
 def read_observations_csv(spark: SparkSession, path: str, with_target: bool = True) -> DataFrame:
-    """CSV with header; numeric columns coerced (NULL when unparsable)."""
-    raw = (spark.read.schema(CSV_SCHEMA).option("header", True)
+    """CSV with header.  Columns are matched by header *name* (order and
+    extra columns do not matter; an absent column is NULL); every field is read
+    as text, NA tokens become NULL and numbers are coerced with ``try_cast``."""
+    raw = (spark.read.option("header", True).option("inferSchema", False)
            .option("mode", "PERMISSIVE").csv(path))
-    cols = {c: na_to_null(F.col(c)) for c in raw.columns}
+    present = set(raw.columns)
+
+    def text(name: str):
+        return na_to_null(F.col(f"`{name}`")) if name in present else F.lit(None).cast("string")
+
+    def num(name: str, kind: str = "double"):
+        v = text(name).try_cast(kind)
+        return nan_to_null(v) if kind == "double" else v
+
     out = raw.select(
-        F.col("Index").alias("row_id"),
-        cols["geohash"].alias("geohash"),
-        F.col("day"),
-        cols["timestamp"].alias("timestamp"),
-        cols["RoadType"].alias("RoadType"),
-        nan_to_null(F.expr("try_cast(NumberofLanes AS DOUBLE)")).alias("NumberofLanes"),
-        cols["LargeVehicles"].alias("LargeVehicles"),
-        cols["Landmarks"].alias("Landmarks"),
-        nan_to_null(F.expr("try_cast(Temperature AS DOUBLE)")).alias("Temperature"),
-        cols["Weather"].alias("Weather"),
-        nan_to_null(F.expr("try_cast(demand AS DOUBLE)")).alias("demand"),
+        num("Index", "bigint").alias("row_id"),
+        text("geohash").alias("geohash"),
+        num("day", "int").alias("day"),
+        text("timestamp").alias("timestamp"),
+        text("RoadType").alias("RoadType"),
+        num("NumberofLanes").alias("NumberofLanes"),
+        text("LargeVehicles").alias("LargeVehicles"),
+        text("Landmarks").alias("Landmarks"),
+        num("Temperature").alias("Temperature"),
+        text("Weather").alias("Weather"),
+        num("demand").alias("demand"),
     )
-    return out if with_target else out.drop("demand")
+    return out if with_target and "demand" in present else out.drop("demand")
 
 
 def read_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
