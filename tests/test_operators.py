@@ -231,3 +231,21 @@ def test_medians_on_text_columns(spark):
                                "Temperature string, NumberofLanes string")
     m = cleaning.fit_medians(df)
     assert m.temperature == 20.0 and m.lanes == 3
+
+
+def test_pivot_missing_cells_are_zero(spark):
+    df = spark.createDataFrame([("Highway", 8, 0.2), ("Highway", 9, 0.4), ("Street", 8, 0.1),
+                                (None, 8, 0.9)], "RoadType string, hour int, demand double")
+    got = {r["RoadType"]: r for r in A.pivot_mean(df, "RoadType", "hour", [8, 9, 10], "h").collect()}
+    assert set(got) == {"Highway", "Street"}
+    assert got["Street"]["h9"] == 0.0 and got["Highway"]["h10"] == 0.0
+    assert got["Highway"]["h8"] == pytest.approx(0.2)
+
+
+def test_box_stats_whiskers(spark):
+    vals = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 100.0]
+    df = spark.createDataFrame([("Sunny", v) for v in vals], "Weather string, demand double")
+    r = A.box_stats(df, "Weather").first()
+    q1, q3 = np.quantile(vals, 0.25), np.quantile(vals, 0.75)
+    assert r["q1"] == q1 and r["q3"] == q3
+    assert r["upper_whisker"] == 8.0 and r["lower_whisker"] == 1.0 and r["n_outliers"] == 1

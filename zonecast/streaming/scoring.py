@@ -26,7 +26,8 @@ def observation_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int
               .option("pathGlobFilter", "events*.parquet")
               .option("maxFilesPerTrigger", files_per_trigger)
               .parquet(sf_dir))
-    view = "zc_events_stream"
+    import uuid
+    view = f"zc_events_stream_{uuid.uuid4().hex[:8]}"
     events.createOrReplaceTempView(view)
     return spark.sql(adapter_sql().replace("FROM events", f"FROM {view}"))
 
