@@ -21,7 +21,7 @@ from zonecast.ml.members import (MEMBERS, MemberConfig, feature_names, fit_membe
 from zonecast.operators.blend import blend
 from zonecast.operators.encoding import ZoneEncoding, fit_encoding
 from zonecast.operators.features import finish_features, row_features
-from zonecast.operators.folds import assign_folds, explode_training_folds
+from zonecast.operators.folds import assign_folds
 from zonecast.operators.metrics import regression_metrics
 from zonecast.operators.oof import encode_with_folds, fold_encoders
 from zonecast.schema import BLEND_PAIR, BLEND_TRIO
@@ -86,28 +86,40 @@ class CVResult:
 
 
 def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
+    """Per-fold (train, validation, holdout) model frames, built lazily.
+
+    Fold statistics come from one exploded aggregation (small output).  The
+    training rows of fold f are the cached row features with fold != f, tagged
+    f and encoded with f's statistics, so the (k - 1)-fold copy of the data is
+    never materialised as a whole."""
     zones, prefixes, glob = fold_encoders(cv, k)
-    cv = cv.where(F.col("demand").isNotNull())        # a row without a label cannot train
-    holdout = holdout.where(F.col("demand").isNotNull())
-    cv_rf = row_features(cv)
-    train = finish_features(encode_with_folds(explode_training_folds(cv_rf, k), zones, prefixes, glob))
-    val = finish_features(encode_with_folds(cv_rf, zones, prefixes, glob))
-    hold = finish_features(encode_with_folds(
-        row_features(holdout).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))),
-        zones, prefixes, glob))
-    return (model_frame(train, extra=["fold"]), model_frame(val, extra=["fold"]),
-            model_frame(hold, extra=["fold"]))
-
-
-def _fit_fold(f: int, train: DataFrame, val: DataFrame, hold: DataFrame, cfg: MemberConfig):
+    n_z = zones.count()
+    labelled = F.col("demand").isNotNull()       # a row without a label cannot train
+    cv_rf = row_features(cv.where(labelled)).persist()
+    hold_rf = row_features(holdout.where(labelled)).persist()
+
+    def encode(df: DataFrame) -> DataFrame:
+        return model_frame(finish_features(encode_with_folds(df, zones, prefixes, glob, n_z)),
+                           extra=["fold"])
+
+    def frames(f: int):
+        tr = encode(cv_rf.where(F.col("fold") != f).withColumn("fold", F.lit(f)))
+        va = encode(cv_rf.where(F.col("fold") == f))
+        ho = encode(hold_rf.withColumn("fold", F.lit(f)))
+        return tr, va, ho
+
+    return frames
+
+
+def _fit_fold(f: int, frames, cfg: MemberConfig):
     """One fold: fit the preprocessing and the three members on the fold's
     training rows, predict its validation rows and the holdout rows."""
-    tr_f = train.where(F.col("fold") == f)
+    tr_f, va_f, ho_f = frames(f)
     prep_f = preprocessor().fit(tr_f)
     bins = max_bins(prep_f)
     tr = prep_f.transform(tr_f).persist()
-    va = prep_f.transform(val.where(F.col("fold") == f))
-    ho = prep_f.transform(hold.where(F.col("fold") == f))
+    va = cut_lineage(prep_f.transform(va_f))
+    ho = prep_f.transform(ho_f)
     for m in MEMBERS:
         model = fit_member(m, tr, cfg, bins, validation=va)
         va = model.transform(va)
@@ -121,12 +133,13 @@ def _fit_fold(f: int, train: DataFrame, val: DataFrame, hold: DataFrame, cfg: Me
 def cross_validate(cv_rows: DataFrame, holdout: DataFrame, cfg: MemberConfig, k: int = 5,
                    seed: int = 42, parallel_folds: int | None = None) -> CVResult:
     """Folds are independent, so their jobs are submitted concurrently (one
-    driver thread per fold); Spark interleaves their tasks on the executors."""
+    driver thread per fold; ``parallel_folds=1`` trains them one at a time);
+    Spark interleaves their tasks on the executors."""
     from concurrent.futures import ThreadPoolExecutor
     cv = assign_folds(cv_rows, k, seed)
-    train, val, hold = (cut_lineage(x) for x in _fold_frames(cv, holdout, k))
+    frames = _fold_frames(cv, holdout, k)
     with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
-        parts = list(pool.map(lambda f: _fit_fold(f, train, val, hold, cfg), range(k)))
+        parts = list(pool.map(lambda f: _fit_fold(f, frames, cfg), range(k)))
     oof = parts[0][0]
     hp = parts[0][1]
     for v, h in parts[1:]:

@@ -36,13 +36,13 @@ def fold_encoders(cv_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Dat
 
 
 def encode_with_folds(df: DataFrame, zones: DataFrame, prefixes: DataFrame,
-                      glob: DataFrame) -> DataFrame:
+                      glob: DataFrame, n_zones: int | None = None) -> DataFrame:
     """Encode rows that carry a ``fold`` column with that fold's statistics."""
     z = zones.select("fold", "geohash", F.col("geo_mean_demand").alias("__zmean"),
                      F.col("geo_std_demand").alias("__zstd"),
                      F.col("geo_median_demand").alias("__zmed"),
                      F.col("geo_freq").alias("__zfreq"), F.col("geo_rank").alias("__zrank"))
-    n_z = zones.count()  # checkpointed table: a cheap count for the size check
+    n_z = zones.count() if n_zones is None else n_zones  # checkpointed: a cheap count
     out = df.join(maybe_broadcast(z, n_z), ["fold", "geohash"], "left")
     for n in PREFIX_LEVELS:
         p = prefixes.where(F.col("level") == n).select(
