@@ -34,13 +34,14 @@ def grouped_row_number(df: DataFrame, group: str, order: list[Column],
                        name: str = "row_number") -> DataFrame:
     """1-based position within ``group`` without a per-group window: number the
     whole table in (group, order) and subtract each group's starting offset
-    (one row per group, from a partial-aggregated count; meant for few groups
-    such as folds, whose offset table is broadcast)."""
+    (one row per group, from a partial-aggregated count, broadcast after a size
+    check)."""
     numbered = global_row_number(df, [F.col(group).asc()] + order, "__gn")
     counts = df.groupBy(group).agg(F.count("*").alias("__c"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("__c").over(
         Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (numbered.join(F.broadcast(starts.select(group, "__start")), group)
+    from zonecast.operators.joins import maybe_broadcast
+    return (numbered.join(maybe_broadcast(starts.select(group, "__start")), group)
             .withColumn(name, (F.col("__gn") - F.col("__start")).cast("int"))
             .drop("__gn", "__start"))
 
