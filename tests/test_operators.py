@@ -249,3 +249,25 @@ def test_box_stats_whiskers(spark):
     q1, q3 = np.quantile(vals, 0.25), np.quantile(vals, 0.75)
     assert r["q1"] == q1 and r["q3"] == q3
     assert r["upper_whisker"] == 8.0 and r["lower_whisker"] == 1.0 and r["n_outliers"] == 1
+
+
+def test_encoding_invariant_to_partitioning(spark):
+    rows = [(i, f"qp0{i % 23:02d}", float((i * 7) % 31) / 40) for i in range(700)]
+    df = spark.createDataFrame(rows, "row_id long, geohash string, demand double")
+    a = {r["geohash"]: tuple(r) for r in fit_encoding(df.coalesce(1)).zones.collect()}
+    b = {r["geohash"]: tuple(r) for r in
+         fit_encoding(df.repartition(13, "row_id").orderBy(F.rand(3))).zones.collect()}
+    assert a.keys() == b.keys()
+    for g in a:
+        for x, y in zip(a[g], b[g]):
+            assert x == pytest.approx(y, abs=1e-12) if isinstance(x, float) else x == y
+
+
+def test_all_seen_zones_never_fall_back(spark):
+    rows = [(i, f"qp0{i % 11:02d}", float(i % 5) / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, geohash string, demand double")
+    enc = fit_encoding(df)
+    out = apply_encoding(df, enc).join(enc.zones.select(
+        "geohash", F.col("geo_mean_demand").alias("z")), "geohash")
+    assert out.where(F.col("geo_mean_demand") != F.col("z")).count() == 0
+    assert out.where(F.col("geo_rank") > enc.n_zones).count() == 0
