@@ -77,10 +77,17 @@ def global_stats(train: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return med.select(F.lit(m).cast("double").alias("global_mean"), "global_median")
 
 
+def rank_order() -> list:
+    """Mean descending (NULL last), ties by geohash.  Means are compared at 12
+    decimals so that mathematically equal means (which floating sums in any
+    order may leave an ulp apart) always tie and break by geohash."""
+    return [F.col("geo_mean_demand").cast("decimal(38,12)").desc_nulls_last(),
+            F.col("geohash").asc()]
+
+
 def zone_rank(stats: DataFrame) -> DataFrame:
     """1-based rank by mean descending (NULL means last), ties by geohash."""
-    order = [F.col("geo_mean_demand").desc_nulls_last(), F.col("geohash").asc()]
-    return global_row_number(stats, order, "geo_rank")
+    return global_row_number(stats, rank_order(), "geo_rank")
 
 
 @dataclass

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import geo_prefix
-from zonecast.operators.encoding import PREFIX_LEVELS, global_stats, prefix_stats, zone_stats
+from zonecast.operators.encoding import (PREFIX_LEVELS, global_stats, prefix_stats, rank_order,
+                                         zone_stats)
 from zonecast.operators.folds import explode_training_folds
 from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.ranking import grouped_row_number
@@ -24,9 +25,7 @@ def fold_encoders(cv_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Dat
     ex = explode_training_folds(cv_rows, k)
     zones = zone_stats(ex, ["fold"])
     # rank within a fold, distributed (no single task holds a fold's zone table)
-    zones = cut_lineage(grouped_row_number(
-        zones, "fold", [F.col("geo_mean_demand").desc_nulls_last(), F.col("geohash").asc()],
-        "geo_rank"))
+    zones = cut_lineage(grouped_row_number(zones, "fold", rank_order(), "geo_rank"))
     prefixes = cut_lineage(prefix_stats(ex, ["fold"], partials=zones))
     glob = global_stats(ex, ["fold"])
     counts = zones.groupBy("fold").agg(F.count("*").alias("n_zones"),

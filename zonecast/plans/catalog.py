@@ -258,6 +258,11 @@ def q_category_codes_apply(spark, sf):
 
 # --- analytics --------------------------------------------------------------------
 
+def _tie_safe(c: str):
+    """Means compared at 12 decimals: equal means tie regardless of float noise."""
+    return F.col(c).cast("decimal(38,12)")
+
+
 def _an(spark, sf) -> DataFrame:
     return context(spark, sf).train_rows
 
@@ -325,19 +330,19 @@ def q_executive_summary(spark, sf):
 
 def q_top_hotspots(spark, sf):
     z = A.zone_map(_an(spark, sf))
-    t = (z.orderBy(F.col("mean_demand").desc(), F.col("geohash")).limit(10))
+    t = (z.orderBy(_tie_safe("mean_demand").desc(), F.col("geohash")).limit(10))
     return rounded(t.select("geohash", "mean_demand", "lanes", "lat", "lon"))
 
 
 def q_top_zones_5(spark, sf):
     df = _an(spark, sf)
     m = A.mean_by(df, "geohash")
-    return rounded(m.orderBy(F.col("mean_demand").desc(), F.col("geohash")).limit(5))
+    return rounded(m.orderBy(_tie_safe("mean_demand").desc(), F.col("geohash")).limit(5))
 
 
 def q_top_hours(spark, sf):
     m = A.mean_by(_an(spark, sf), "hour")
-    return rounded(m.orderBy(F.col("mean_demand").desc(), F.col("hour")).limit(2))
+    return rounded(m.orderBy(_tie_safe("mean_demand").desc(), F.col("hour")).limit(2))
 
 
 def q_demand_profile(spark, sf):

@@ -89,7 +89,7 @@ lc AS ({_clean_select("(SELECT DISTINCT * EXCLUDE (is_train) FROM obs)")}),
 zs AS (SELECT geohash, avg(demand) AS m, coalesce(stddev_samp(demand), 0.0) AS s,
          quantile_cont(demand, 0.5) AS md, count(demand) AS c
        FROM ct WHERE geohash IS NOT NULL GROUP BY geohash),
-zr AS (SELECT *, CAST(row_number() OVER (ORDER BY m DESC NULLS LAST, geohash) AS INTEGER) AS rk
+zr AS (SELECT *, CAST(row_number() OVER (ORDER BY CAST(m AS DECIMAL(38, 12)) DESC NULLS LAST, geohash) AS INTEGER) AS rk
        FROM zs),
 ps AS (SELECT 5 AS level, substr(geohash, 1, 5) AS prefix, avg(demand) AS pm FROM ct
          WHERE geohash IS NOT NULL GROUP BY 2
@@ -185,7 +185,7 @@ ex AS (SELECT cv.* EXCLUDE (fold), f.fold FROM cv CROSS JOIN range(0, {k}) f(fol
 fz AS (SELECT fold, geohash, avg(demand) AS m, coalesce(stddev_samp(demand), 0.0) AS s,
          quantile_cont(demand, 0.5) AS md, count(demand) AS c
        FROM ex WHERE geohash IS NOT NULL GROUP BY fold, geohash),
-fzr AS (SELECT *, CAST(row_number() OVER (PARTITION BY fold ORDER BY m DESC NULLS LAST, geohash)
+fzr AS (SELECT *, CAST(row_number() OVER (PARTITION BY fold ORDER BY CAST(m AS DECIMAL(38, 12)) DESC NULLS LAST, geohash)
           AS INTEGER) AS rk FROM fz),
 fp AS (SELECT fold, 5 AS level, substr(geohash, 1, 5) AS prefix, avg(demand) AS pm FROM ex
          WHERE geohash IS NOT NULL GROUP BY 1, 3
@@ -400,9 +400,11 @@ def oracle_sql() -> dict[str, str]:
                          f"lanes, {r('lat', 'lat')}, {r('lon', 'lon')} FROM zm WHERE lat IS NOT NULL "
                          f"ORDER BY mean_demand DESC, geohash LIMIT 10")
     s["top_zones_5"] = (f"{BASE} SELECT geohash, {r('avg(demand)', 'mean_demand')} FROM an "
-                        f"WHERE geohash IS NOT NULL GROUP BY geohash ORDER BY avg(demand) DESC, geohash LIMIT 5")
+                        f"WHERE geohash IS NOT NULL GROUP BY geohash "
+                        f"ORDER BY CAST(avg(demand) AS DECIMAL(38, 12)) DESC, geohash LIMIT 5")
     s["top_hours"] = (f"{BASE} SELECT hour, {r('avg(demand)', 'mean_demand')} FROM an "
-                      f"WHERE hour IS NOT NULL GROUP BY hour ORDER BY avg(demand) DESC, hour LIMIT 2")
+                      f"WHERE hour IS NOT NULL GROUP BY hour "
+                      f"ORDER BY CAST(avg(demand) AS DECIMAL(38, 12)) DESC, hour LIMIT 2")
     s["demand_profile"] = (f"{BASE} SELECT {r('min(demand)', 'min')}, {r('max(demand)', 'max')}, "
                            f"{r('avg(demand)', 'mean')}, {r('stddev_samp(demand)', 'std')}, "
                            f"{r('quantile_cont(demand, 0.5)', 'median')} FROM an")
