@@ -82,3 +82,19 @@ def test_literal_request_rows(spark, fitted):
     assert all(got[i]["pred_ensemble_blend"] is not None for i in (0, 1))
     none = score_requests(req, None).collect()
     assert all(r["pred_ensemble_blend"] is None for r in none)
+
+
+def test_file_stream_of_observations(spark, fitted, tmp_path):
+    from zonecast.operators import cleaning
+    from zonecast.streaming.scoring import observation_file_stream, score_observations
+    src = tmp_path / "feed"
+    obs = planted(spark, 300, seed=2).withColumn("row_id", F.col("row_id") + 5000)
+    obs.repartition(3).write.parquet(str(src))
+    med = cleaning.Medians(20.0, 2)
+    q = (score_observations(observation_file_stream(spark, str(src)), fitted, med)
+         .writeStream.format("memory").queryName("zc_feed").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["row_id"]: r["pred_ensemble_blend"] for r in spark.table("zc_feed").collect()}
+    exp = {r["row_id"]: r["pred_ensemble_blend"]
+           for r in score_observations(spark.read.parquet(str(src)), fitted, med).collect()}
+    assert got.keys() == exp.keys() and all(got[k] == pytest.approx(v) for k, v in exp.items())

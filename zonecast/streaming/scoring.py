@@ -32,6 +32,35 @@ def observation_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int
     return spark.sql(adapter_sql().replace("FROM events", f"FROM {view}"))
 
 
+def observation_file_stream(spark: SparkSession, path: str, fmt: str = "parquet",
+                            files_per_trigger: int = 100) -> DataFrame:
+    """A live feed of observation files (parquet, or CSV with header) landing in
+    ``path``; the schema is fixed up front (no inference on a stream)."""
+    from zonecast.schema import OBS_SCHEMA
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+        return reader.schema(OBS_SCHEMA).csv(path)
+    return reader.schema(OBS_SCHEMA).parquet(path)
+
+
+def score_observations(stream: DataFrame, ensemble, medians: cleaning.Medians) -> DataFrame:
+    """Any streaming (or batch) observation frame -> member and blend scores."""
+    scored = ensemble.score(cleaning.clean(stream, medians), density_scope="fitted")
+    return scored.select("row_id", "day", "pred_cat", "pred_lgb", "pred_xgb",
+                         "pred_ensemble_blend", "pred_ensemble_trio")
+
+
+def start_scoring(stream: DataFrame, ensemble, medians: cleaning.Medians, sink_dir: str,
+                  checkpoint_dir: str, every: str = "1 minute"):
+    """Long-running scoring query (micro-batch every ``every``); returns the
+    StreamingQuery.  Parquet sink + checkpoint give exactly-once files."""
+    return (score_observations(stream, ensemble, medians).writeStream
+            .format("parquet").option("path", sink_dir)
+            .option("checkpointLocation", checkpoint_dir)
+            .outputMode("append").trigger(processingTime=every).start())
+
+
 def scored_stream(spark: SparkSession, sf_dir: str, ensemble, medians: cleaning.Medians
                   ) -> DataFrame:
     obs = observation_stream(spark, sf_dir)
