@@ -24,6 +24,7 @@ from zonecast.operators.folds import assign_folds
 from zonecast.operators.oof import fold_encoders
 from zonecast.operators.validation import require_valid, validate_submission
 from zonecast.schema import CATEGORICAL_FEATURES
+from zonecast.session import materialize
 from zonecast.sources import sinks
 from zonecast.sources.readers import read_observations
 
@@ -33,10 +34,11 @@ def train_and_evaluate(spark: SparkSession, train: DataFrame, out: str, cfg: Mem
                        k: int = 5, seed: int = 42) -> DataFrame:
     """Returns the cross-validation metrics table; writes medians, fold
     statistics, category maps, OOF CSV, predictions and final models."""
-    d = cleaning.dedup(train)
+    # one dedup shuffle, written once; later passes read only the columns they use
+    d = materialize(cleaning.dedup(train), f"{out}/work/train_dedup")
     medians = cleaning.fit_medians(d)
     medians.save(spark, f"{out}/train_medians")
-    clean = cleaning.clean(d, medians).persist()
+    clean = cleaning.clean(d, medians)
     cv_rows, hold = cleaning.split_by_day(clean, train_days, holdout_days)
     zones, prefixes, glob = fold_encoders(assign_folds(cv_rows, k, seed), k)
     sinks.write_table(zones, f"{out}/fold_stats/zones", ["fold"])

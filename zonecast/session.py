@@ -67,3 +67,11 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df, path: str):
+    """Write ``df`` as a parquet table in the shared folder and read it back:
+    a lineage cut that survives executor loss and keeps column pruning for
+    every later pass (unlike an in-memory cache of all columns)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
