@@ -25,7 +25,7 @@ from zonecast.operators.folds import assign_folds
 from zonecast.operators.metrics import regression_metrics
 from zonecast.operators.oof import encode_with_folds, fold_encoders
 from zonecast.schema import BLEND_PAIR, BLEND_TRIO
-from zonecast.session import cut_lineage
+from zonecast.session import cut_lineage, materialize, scratch_dir
 
 
 def _blends(df: DataFrame) -> DataFrame:
@@ -95,8 +95,9 @@ def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
     zones, prefixes, glob = fold_encoders(cv, k)
     n_z = zones.count()
     labelled = F.col("demand").isNotNull()       # a row without a label cannot train
-    cv_rf = row_features(cv.where(labelled)).persist()
-    hold_rf = row_features(holdout.where(labelled)).persist()
+    spark = cv.sparkSession
+    cv_rf = materialize(row_features(cv.where(labelled)), scratch_dir(spark, "cv-rows"))
+    hold_rf = materialize(row_features(holdout.where(labelled)), scratch_dir(spark, "cv-holdout"))
 
     def encode(df: DataFrame) -> DataFrame:
         return model_frame(finish_features(encode_with_folds(df, zones, prefixes, glob, n_z)),
