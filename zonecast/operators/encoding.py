@@ -131,8 +131,11 @@ def fit_encoding(train: DataFrame) -> ZoneEncoding:
     global medians, the distributed rank, and one scalar read-back; prefix
     and global means are rolled up from the partials."""
     parts = zone_partials(train).persist()
+    agg = parts.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx"),
+                    (F.sum("sum_demand") / F.sum("geo_freq")).alias("gmean")).first()
+    # the per-zone counts bound the median groups: no separate sizing job
     med = exact_quantiles(train.where(F.col("geohash").isNotNull()), "demand", ["geohash"],
-                          {"geo_median_demand": 0.5})
+                          {"geo_median_demand": 0.5}, max_group=int(agg["mx"] or 0))
     zones = parts.join(med, "geohash", "left")
     lat, lon = geohash_latlon(F.col("geohash"))
     zones = cut_lineage(zone_rank(zones).select(
@@ -140,8 +143,6 @@ def fit_encoding(train: DataFrame) -> ZoneEncoding:
         "geo_freq", "geo_rank", lat.alias("latitude"), lon.alias("longitude")))
     prefixes = cut_lineage(prefix_stats(train, partials=parts))
     gmed = exact_quantiles(train, "demand", [], {"global_median": 0.5}).first()
-    agg = parts.agg(F.count("*").alias("n"), F.max("geo_freq").alias("mx"),
-                    (F.sum("sum_demand") / F.sum("geo_freq")).alias("gmean")).first()
     n = int(agg["n"])
     parts.unpersist()
     return ZoneEncoding(zones, prefixes, agg["gmean"], gmed["global_median"] if gmed else None,

@@ -30,8 +30,13 @@ SMALL_GROUP = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str, float],
-                    small: int | None = None, bins: int = 4096, max_rounds: int = 24) -> DataFrame:
-    """``keys`` + one column per entry of ``probs`` (name -> probability)."""
+                    small: int | None = None, bins: int = 4096, max_rounds: int = 24,
+                    max_group: int | None = None) -> DataFrame:
+    """``keys`` + one column per entry of ``probs`` (name -> probability).
+
+    ``max_group``: a known upper bound on the non-NULL values per group (e.g.
+    from already computed counts); when it is within ``small`` the sizing job
+    is skipped."""
     small = SMALL_GROUP if small is None else small
     names = list(probs)
     keys_ = list(keys) if keys else [_G]
@@ -44,10 +49,13 @@ def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str,
 
     sizes = base.groupBy(*keys_).agg(
         F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    # one decision job: are there groups too large for a single bounded task?
-    head = sizes.agg(F.count("*").alias("g"),
-                     F.count(F.when(F.col("__n") > small, 1)).alias("big")).first()
-    n_groups, n_large = int(head["g"]), int(head["big"])
+    if max_group is not None and max_group <= small:
+        n_groups, n_large = 0, 0
+    else:
+        # one decision job: are there groups too large for a single bounded task?
+        head = sizes.agg(F.count("*").alias("g"),
+                         F.count(F.when(F.col("__n") > small, 1)).alias("big")).first()
+        n_groups, n_large = int(head["g"]), int(head["big"])
 
     pct = F.percentile(F.col("__v"), F.array(*[F.lit(float(probs[n])) for n in names]))
     if n_large == 0:
