@@ -31,7 +31,7 @@ from zonecast.sources.readers import read_observations
 
 def train_and_evaluate(spark: SparkSession, train: DataFrame, out: str, cfg: MemberConfig,
                        train_days=(48,), holdout_days=(49,), final_rounds: int | None = None,
-                       k: int = 5, seed: int = 42) -> DataFrame:
+                       k: int = 5, seed: int = 42, parallel_folds: int | None = None) -> DataFrame:
     """Returns the cross-validation metrics table; writes medians, fold
     statistics, category maps, OOF CSV, predictions and final models."""
     # one dedup shuffle, written once; later passes read only the columns they use
@@ -44,7 +44,7 @@ def train_and_evaluate(spark: SparkSession, train: DataFrame, out: str, cfg: Mem
     sinks.write_table(zones, f"{out}/fold_stats/zones", ["fold"])
     sinks.write_table(prefixes, f"{out}/fold_stats/prefixes", ["fold"])
     sinks.write_table(glob, f"{out}/fold_stats/globals")
-    cv = cross_validate(cv_rows, hold, cfg, k, seed)
+    cv = cross_validate(cv_rows, hold, cfg, k, seed, parallel_folds)
     sinks.write_oof(oof_table(cv), f"{out}/oof_predictions_csv")
     preds = (cv.oof.select("row_id", F.lit("oof").alias("split"), "fold", "pred_cat", "pred_lgb",
                            "pred_xgb")
@@ -87,6 +87,8 @@ def _main() -> None:
     ap.add_argument("--final-rounds", type=int, default=1200)
     ap.add_argument("--patience", type=int, default=50)
     ap.add_argument("--expected-rows", type=int)
+    ap.add_argument("--parallel-folds", type=int,
+                    help="folds trained at once (default: all; 1 on a busy cluster)")
     ap.add_argument("--split-day", type=int,
                     help="train/validate on days <= N, hold out days > N "
                          "(default: the reference's day 48 / day 49)")
@@ -101,7 +103,8 @@ def _main() -> None:
             days = dict(train_days=lambda d: d <= n, holdout_days=lambda d: d > n)
         m = train_and_evaluate(spark, read_observations(spark, a.train, fmt), a.out,
                                MemberConfig(rounds=a.rounds, patience=a.patience),
-                               final_rounds=a.final_rounds, **days)
+                               final_rounds=a.final_rounds, parallel_folds=a.parallel_folds,
+                               **days)
     else:
         m = run_inference(spark, read_observations(spark, a.test, fmt).drop("demand"),
                           a.models, a.out, a.expected_rows)
