@@ -18,6 +18,7 @@ end with the page; an unmatched ``<`` is text; unmatched end tags are ignored; u
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -83,11 +84,16 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", {})
     stack = [root]
+    opened: Counter = Counter()  # open elements by tag: most searches end here, however deep the page is
 
     def end(upto: int) -> None:
+        for node in stack[upto:]:
+            opened[node.tag] -= 1
         del stack[upto:]
 
     def nearest(names, scope=frozenset()) -> int:
+        if not any(opened[n] for n in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 return i
@@ -131,6 +137,7 @@ def build(page: str) -> Node:
             at = close.end()
         else:
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -195,10 +202,11 @@ def render(root: Node, tables: int = 0) -> str:
             stack.pop()
             tag = node.tag
             if opened:
-                page.block(_blank(tag, lists))
                 if tag in LISTS:
+                    page.flush()
                     lists.pop()
-                elif tag == "li" or tag == "dd" or tag == "blockquote":
+                page.block(_blank(tag, lists))
+                if tag == "li" or tag == "dd" or tag == "blockquote":
                     page.indent.pop()
                     page.mark = ""
                 elif tag == "pre":
@@ -230,12 +238,10 @@ def render(root: Node, tables: int = 0) -> str:
             inner = [x for x in inner if isinstance(x, Node) and x.tag == "summary"]
         opened = tag in BLOCK
         if opened:
+            page.block(_blank(tag, lists))
             if tag in LISTS:
-                page.block(_blank(tag, lists))
                 lists.append([tag, _number(child.attrs.get("start"), 1) - 1])
-            else:
-                page.block(_blank(tag, lists))
-            if tag == "li":
+            elif tag == "li":
                 page.mark = "- "
                 if lists and lists[-1][0] == "ol":
                     lists[-1][1] = _number(child.attrs.get("value"), lists[-1][1] + 1)
@@ -255,9 +261,7 @@ def render(root: Node, tables: int = 0) -> str:
 
 
 def _blank(tag: str, lists: list) -> int:
-    """Blank lines around a block; lists inside lists have none."""
-    if tag in LISTS:
-        return 0 if len(lists) > (1 if lists and lists[-1] is None else 0) and lists else 1
+    """Blank lines around a block; inside lists there are none."""
     return 1 if tag in APART and not lists else 0
 
 

@@ -187,7 +187,8 @@ class _Writer:
         return r["part"], r["seq"], r["data"], r["index"], r["records"], r["ids"], self.offsets[-1]
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, file_bytes: int = FILE_BYTES,
+                  rows_at_once: int = 1000) -> tuple[str, DataFrame]:
     """Encodes ``docs`` in ascending id order into record files; returns the folder and the manifest."""
     folder = folder or scratch_dir(docs.sparkSession, "records")
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("data", pa.string()), ("index", pa.string()),
@@ -198,8 +199,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str
         width = 2 if enc.tok.get_vocab_size() <= 1 << 16 else 4
         part, rows, now = TaskContext.get().partitionId(), [], None
         for b in it:
-            for lo in range(0, b.num_rows, 1000):
-                piece = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, rows_at_once):
+                piece = b.slice(lo, rows_at_once)
                 ids = [enc.ids(t) + end for t in piece.column(1).to_pylist()]
                 if now is None:
                     _fs, at = _filesystem(folder)
