@@ -10,9 +10,9 @@ Each text's set is its distinct w-word shingles (64-bit hashes).  Two sets link
 2. Equal sets collapse to one class.  Sets that share a token with the least set of that token are
    compared with it; the components of these links are the groups of similar documents.
 3. Each group stores the union of its members' matrix tokens (one row per token and group) and of their
-   shingles (a bit map).  A query group and a group that share a token qualify if the bit maps
-   leave room for the overlap that a link needs; only qualifying groups are opened and their
-   members compared.
+   shingles (a bit map, and one of what all members share).  A query group and a group that share a
+   token qualify if the bit maps leave room for the overlap that a link needs; only qualifying
+   groups are opened and their members compared.
 4. Components of all links, least document id each.
 
 No pair of a group is listed: copies meet as one class, near copies through the least set, and
@@ -217,7 +217,8 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def group_unions(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """``label, least, total, bits``: smallest member, most shingles the union can have, and its bit map."""
+    """``label, least, most, held, every``: sizes of the smallest and largest member, and the bit maps of the
+    members' union and of what all of them share."""
 
     def maps(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -227,9 +228,9 @@ def group_unions(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
     words = MAP_BITS // 64
     rows = sets.join(labels, "f", "left").select(F.coalesce("label", "f").alias("label"), "s").mapInArrow(maps, "label long, n long, bits array<long>")
-    ors = [F.bit_or(F.col("bits")[i]).alias(f"w{i}") for i in range(words)]
-    return (rows.groupBy("label").agg(F.min("n").alias("least"), F.sum("n").alias("total"), *ors)
-            .select("label", "least", "total", F.array(*[f"w{i}" for i in range(words)]).alias("bits")))
+    maps_ = [f(F.col("bits")[i]).alias(f"{k}{i}") for k, f in (("o", F.bit_or), ("a", F.bit_and)) for i in range(words)]
+    return (rows.groupBy("label").agg(F.min("n").alias("least"), F.max("n").alias("most"), *maps_)
+            .select("label", "least", "most", *[F.array(*[f"{k}{i}" for i in range(words)]).alias(c) for k, c in (("o", "held"), ("a", "every"))]))
 
 
 def qualifying(cells: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
@@ -241,16 +242,16 @@ def qualifying(cells: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
     rows = cells.join(size, "token").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label").join(unions, "label")
-    groups = rows.groupBy("token", "i", "j").agg(F.collect_list(F.struct("own", "label", "least", "total", "bits")).alias("g"))
+    groups = rows.groupBy("token", "i", "j").agg(F.collect_list(F.struct("own", "label", "least", "most", "held", "every")).alias("g"))
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             seen: set[tuple[int, int]] = set()
             for i, j, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 v = g.values
-                own, label, least, total = (v.field(k).to_numpy(zero_copy_only=False) for k in ("own", "label", "least", "total"))
-                bits = v.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(label), -1)
-                seen.update(_room(own, label, least, total, bits, i, j, percent))
+                own, label, least, most = (v.field(k).to_numpy(zero_copy_only=False) for k in ("own", "label", "least", "most"))
+                held, every = (v.field(k).flatten().to_numpy().view(np.uint64).reshape(len(label), -1) for k in ("held", "every"))
+                seen.update(_room(own, label, least, most, held, every, i, j, percent))
             if seen:
                 a, z = zip(*seen)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
@@ -258,18 +259,18 @@ def qualifying(cells: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     return groups.select("i", "j", "g").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _room(own, label, least, total, bits, i, j, percent) -> Iterator[tuple[int, int]]:
-    """Pairs of labels whose unions can share as many shingles as a link needs.  A bit set in one map
-    alone is a shingle that the other union lacks."""
+def _room(own, label, least, most, held, every, i, j, percent) -> Iterator[tuple[int, int]]:
+    """Pairs of labels that a link may join.  A bit that all members of one group set and no member of the
+    other is a shingle that two of their members cannot share; sets a and b that link differ in at
+    most (100 - percent) / (100 + percent) * (|a| + |b|) shingles."""
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     for x in left:
         y = right[label[right] > label[x]] if i == j else right
+        y = y[100 * np.minimum(most[x], most[y]) >= percent * np.maximum(least[x], least[y])]
         if not len(y):
             continue
-        mine = total[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(1).astype(np.int64)
-        theirs = total[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(1).astype(np.int64)
-        need = percent * np.maximum(least[x], least[y])
-        for z in label[y[100 * np.minimum(mine, theirs) >= need]]:
+        apart = np.bitwise_count(every[x] & ~held[y]).sum(1).astype(np.int64) + np.bitwise_count(every[y] & ~held[x]).sum(1)
+        for z in label[y[(100 + percent) * apart <= (100 - percent) * (most[x] + most[y])]]:
             yield (int(label[x]), int(z)) if label[x] < z else (int(z), int(label[x]))
 
 
