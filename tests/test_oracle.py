@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 
-TABLES = ["events"]
+TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def _norm(v):

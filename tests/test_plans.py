@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from zonecast.ml.members import MemberConfig
 from zonecast.plans.context import context
-from zonecast.plans.training import run_inference, train_and_evaluate
+from zonecast.operators.features import categorical_frame
+from zonecast.plans.training import load_category_codes, retrain_final, run_inference, train_and_evaluate, validate_file
+from zonecast.schema import CATEGORICAL_FEATURES
 from zonecast.session import scratch_dir
 from zonecast.sources.readers import read_observations_csv, read_optional, read_submission
 
@@ -26,12 +28,24 @@ def test_train_then_infer(spark):
     oof = read_submission(spark, f"{out}/oof_predictions_csv")
     assert oof.columns == ["Index", "demand_true", "pred_cat", "pred_lgb", "pred_xgb",
                            "pred_ensemble_blend", "pred_ensemble_trio"]
+    for sub in ["fold_metrics", "dedup_report", *[f"fold_models/fold_{f}/member_{m}" for f in range(5) for m in ("cat", "lgb", "xgb")]]:
+        assert Path(out, sub).exists(), sub
+    assert spark.read.parquet(f"{out}/fold_metrics").count() == 25
     test = ctx.score_raw.drop("demand")
     checks = {r["check"]: r["status"] for r in
               run_inference(spark, test, out, f"{out}/infer", test.count()).collect()}
     assert checks["rows"] == "PASS" and checks["missing"] == "PASS" and checks["columns"] == "PASS"
     sub = read_submission(spark, f"{out}/infer/submission")
     assert sub.columns == ["Index", "demand"] and sub.count() == test.count()
+    again = {r["check"]: (r["value"], r["status"]) for r in validate_file(spark, f"{out}/infer/submission", test.count()).collect()}
+    assert again["rows"] == (float(test.count()), "PASS") and again["missing"][1] == "PASS"
+    codes = load_category_codes(spark, categorical_frame(ctx.score_clean).select("row_id", *CATEGORICAL_FEATURES), out)
+    assert codes.count() == test.count()
+    # only the final members, anew from the saved medians: the same rows give the same scores
+    retrain_final(spark, ctx.obs.drop("is_train"), out, MemberConfig(rounds=3, patience=2), final_rounds=3)
+    run_inference(spark, test, out, f"{out}/infer2", test.count())
+    both = sub.join(read_submission(spark, f"{out}/infer2/submission").withColumnRenamed("demand", "again"), "Index")
+    assert both.where(F.abs(F.col("demand") - F.col("again")) > 1e-9).count() == 0
 
 
 def test_csv_scan_na_tokens(spark, tmp_path):

@@ -21,13 +21,9 @@ def minute_of(ts: Column) -> Column:
     return F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)).try_cast("int"))
 
 
-def leading_hour(ts: Column) -> Column:
-    """Dashboard variant: the part before the first ':' only."""
-    return F.split(ts, ":").getItem(0).try_cast("int")
-
-
 def is_peak(hour: Column) -> Column:
-    return F.when(hour.isin(PEAK_HOURS), 1).otherwise(0)
+    """1 / 0; a malformed time (NULL hour) stays NULL."""
+    return F.when(hour.isin(PEAK_HOURS), 1).when(hour.isNotNull(), 0)
 
 
 def time_block(hour: Column) -> Column:
@@ -35,7 +31,7 @@ def time_block(hour: Column) -> Column:
     for lo, hi, name in TIME_BLOCKS:
         cond = (hour >= lo) & (hour < hi)
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return expr.otherwise(TIME_BLOCK_ELSE)
+    return expr.when(hour.isNotNull(), TIME_BLOCK_ELSE)
 
 
 def with_time_features(df: DataFrame, ts: str = "timestamp", day: str = "day") -> DataFrame:
@@ -49,6 +45,6 @@ def with_time_features(df: DataFrame, ts: str = "timestamp", day: str = "day") -
         "hour_cos": F.cos(angle),
         "is_peak_hour": is_peak(h),
         "day_of_week": dow,
-        "is_weekend": F.when(dow.isin(WEEKEND_DAYS), 1).otherwise(0),
+        "is_weekend": F.when(dow.isin(WEEKEND_DAYS), 1).when(dow.isNotNull(), 0),
         "time_block": time_block(h),
     })

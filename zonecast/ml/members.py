@@ -4,7 +4,7 @@ The reference blends three gradient-boosting libraries.  Here the members are
 Spark ML tree ensembles trained on the cluster:
   cat - GBTRegressor, depth 7, step 0.05
   lgb - GBTRegressor, depth 7, step 0.05, 80 % row and feature subsampling
-  xgb - RandomForestRegressor, depth 7, 80 % row and feature subsampling
+  xgb - GBTRegressor, depth 7, step 0.05, 80 % row and feature subsampling of its own draw
 Categoricals go through StringIndexer (code-point order, unseen -> extra bucket)
 so the trees split on them as categories; ``maxBins`` covers the largest one.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from zonecast.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 MEMBERS = ("cat", "lgb", "xgb")
 SEED = 42
+# Distinct values of a categorical feature that a tree member takes (its split search grows with them).
+MAX_CATEGORIES = 10_000
 
 
 @dataclass
@@ -45,7 +47,7 @@ def model_frame(df: DataFrame, label: str | None = "demand",
     return df.select(*keep, *num, *cat)
 
 
-def preprocessor(max_bins_hint: int = 64) -> Pipeline:
+def preprocessor() -> Pipeline:
     idx = StringIndexer(inputCols=CATEGORICAL_FEATURES,
                         outputCols=[f"{c}_idx" for c in CATEGORICAL_FEATURES],
                         stringOrderType="alphabetAsc", handleInvalid="keep")
@@ -59,8 +61,10 @@ def feature_names() -> list[str]:
 
 
 def max_bins(prep: PipelineModel) -> int:
-    labels = prep.stages[0].labelsArray
-    return max(32, max(len(x) for x in labels) + 2)
+    most = max(len(x) for x in prep.stages[0].labelsArray)
+    if most > MAX_CATEGORIES:
+        raise ValueError(f"a categorical feature has {most} values: the tree members take at most {MAX_CATEGORIES}")
+    return max(32, most + 2)
 
 
 def regressor(member: str, cfg: MemberConfig, bins: int, rounds: int | None = None,
@@ -68,15 +72,11 @@ def regressor(member: str, cfg: MemberConfig, bins: int, rounds: int | None = No
     n = rounds or cfg.rounds
     common = dict(featuresCol="features", labelCol=label, predictionCol=f"pred_{member}",
                   maxDepth=cfg.max_depth, maxBins=bins, seed=SEED)
-    if member == "cat":
-        return GBTRegressor(maxIter=n, stepSize=cfg.step, **common)
-    if member == "lgb":
-        return GBTRegressor(maxIter=n, stepSize=cfg.step, subsamplingRate=0.8,
-                            featureSubsetStrategy="0.8", **common)
-    if member == "xgb":
-        return RandomForestRegressor(numTrees=n, subsamplingRate=0.8,
-                                     featureSubsetStrategy="0.8", **common)
-    raise ValueError(f"unknown member {member}")
+    if member not in MEMBERS:
+        raise ValueError(f"unknown member {member}")
+    drawn = {} if member == "cat" else {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+    # each member draws its own subsamples
+    return GBTRegressor(maxIter=n, stepSize=cfg.step, **(common | {"seed": SEED + MEMBERS.index(member)}), **drawn)
 
 
 def best_rounds(errors: list[float], patience: int | None) -> int:
@@ -96,7 +96,7 @@ def fit_member(member: str, train: DataFrame, cfg: MemberConfig, bins: int,
     """Fit one member; boosted members with a validation frame are refit with the
     early-stopped round count (same seed, so the refit is the prefix)."""
     model = regressor(member, cfg, bins, label=label).fit(train)
-    if validation is not None and member in ("cat", "lgb") and cfg.patience is not None:
+    if validation is not None and cfg.patience is not None:
         errors = model.evaluateEachIteration(validation, "squared")
         keep = best_rounds(list(errors), cfg.patience)
         if keep < cfg.rounds:

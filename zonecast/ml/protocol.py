@@ -69,12 +69,10 @@ class FittedEnsemble:
     @staticmethod
     def load(spark, path: str) -> "FittedEnsemble":
         """Artefacts written by ``save``; a missing one is an error."""
-        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-        loaders = {"cat": GBTRegressionModel, "lgb": GBTRegressionModel,
-                   "xgb": RandomForestRegressionModel}
+        from pyspark.ml.regression import GBTRegressionModel
         enc = ZoneEncoding.load(spark, f"{path}/encoding")
         prep = PipelineModel.load(f"{path}/prep")
-        return FittedEnsemble(enc, prep, {m: loaders[m].load(f"{path}/member_{m}")
+        return FittedEnsemble(enc, prep, {m: GBTRegressionModel.load(f"{path}/member_{m}")
                                           for m in MEMBERS})
 
 
@@ -83,25 +81,27 @@ class CVResult:
     oof: DataFrame        # row_id, demand, fold, pred_* (validation rows)
     holdout: DataFrame    # row_id, demand, pred_* averaged over folds
     metrics: DataFrame    # split, model, r2, rmse, mae, n
+    fold_metrics: DataFrame | None = None  # fold, model, r2, rmse, mae, n of each fold's validation rows
 
 
-def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
+def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int, encoders: tuple | None = None):
     """Per-fold (train, validation, holdout) model frames, built lazily.
 
     Fold statistics come from one exploded aggregation (small output).  The
     training rows of fold f are the cached row features with fold != f, tagged
     f and encoded with f's statistics, so the (k - 1)-fold copy of the data is
     never materialised as a whole."""
-    zones, prefixes, glob = fold_encoders(cv, k)
+    zones, prefixes, glob = encoders or fold_encoders(cv, k)
     n_z = zones.count()
     labelled = F.col("demand").isNotNull()       # a row without a label cannot train
     spark = cv.sparkSession
     cv_rf = materialize(row_features(cv.where(labelled)), scratch_dir(spark, "cv-rows"))
-    hold_rf = materialize(row_features(holdout.where(labelled)), scratch_dir(spark, "cv-holdout"))
+    keyed = holdout.where(labelled).withColumn("__key", F.monotonically_increasing_id())  # written once, so it stays
+    hold_rf = materialize(row_features(keyed), scratch_dir(spark, "cv-holdout"))
 
     def encode(df: DataFrame) -> DataFrame:
         return model_frame(finish_features(encode_with_folds(df, zones, prefixes, glob, n_z)),
-                           extra=["fold"])
+                           extra=["fold"] + [c for c in df.columns if c == "__key"])
 
     def frames(f: int):
         tr = encode(cv_rf.where(F.col("fold") != f).withColumn("fold", F.lit(f)))
@@ -112,58 +112,67 @@ def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int):
     return frames
 
 
-def _fit_fold(f: int, frames, cfg: MemberConfig):
+def _fit_fold(f: int, frames, cfg: MemberConfig, save_to: str | None = None):
     """One fold: fit the preprocessing and the three members on the fold's
-    training rows, predict its validation rows and the holdout rows."""
+    training rows, predict its validation rows and the holdout rows; with ``save_to`` the
+    fold's preprocessing and members are kept there."""
     tr_f, va_f, ho_f = frames(f)
     prep_f = preprocessor().fit(tr_f)
     bins = max_bins(prep_f)
     tr = prep_f.transform(tr_f).persist()
     va = cut_lineage(prep_f.transform(va_f))
     ho = prep_f.transform(ho_f)
+    if save_to:
+        prep_f.write().overwrite().save(f"{save_to}/fold_{f}/prep")
     for m in MEMBERS:
         model = fit_member(m, tr, cfg, bins, validation=va)
+        if save_to:
+            model.write().overwrite().save(f"{save_to}/fold_{f}/member_{m}")
         va = model.transform(va)
         ho = model.transform(ho)
     cols = ["row_id", "demand", "fold"] + [f"pred_{m}" for m in MEMBERS]
-    out = cut_lineage(va.select(*cols)), cut_lineage(ho.select(*cols))
+    spark = va.sparkSession
+    out = (materialize(va.select(*cols), scratch_dir(spark, "cv-oof")),
+           materialize(ho.select("__key", *cols), scratch_dir(spark, "cv-holdout-scores")))
     tr.unpersist()
     return out
 
 
 def cross_validate(cv_rows: DataFrame, holdout: DataFrame, cfg: MemberConfig, k: int = 5,
-                   seed: int = 42, parallel_folds: int | None = None) -> CVResult:
-    """Folds are independent, so their jobs are submitted concurrently (one
-    driver thread per fold; ``parallel_folds=1`` trains them one at a time);
-    Spark interleaves their tasks on the executors."""
+                   seed: int = 42, parallel_folds: int = 1, encoders: tuple | None = None,
+                   save_to: str | None = None) -> CVResult:
+    """``parallel_folds`` above 1 submits the jobs of that many folds at once (each caches its training
+    rows).  ``encoders``: fold statistics that are already fitted; ``save_to``: keeps every fold's models."""
     from concurrent.futures import ThreadPoolExecutor
     cv = assign_folds(cv_rows, k, seed)
-    frames = _fold_frames(cv, holdout, k)
-    with ThreadPoolExecutor(max_workers=parallel_folds or k) as pool:
-        parts = list(pool.map(lambda f: _fit_fold(f, frames, cfg), range(k)))
+    frames = _fold_frames(cv, holdout, k, encoders)
+    with ThreadPoolExecutor(max_workers=parallel_folds) as pool:
+        parts = list(pool.map(lambda f: _fit_fold(f, frames, cfg, save_to), range(k)))
     oof = parts[0][0]
     hp = parts[0][1]
     for v, h in parts[1:]:
         oof = oof.unionByName(v)
         hp = hp.unionByName(h)
-    oof = cut_lineage(_blends(oof))
-    holdout_mean = cut_lineage(_blends(hp.groupBy("row_id").agg(
-        F.first("demand").alias("demand"),
-        *[F.avg(f"pred_{m}").alias(f"pred_{m}") for m in MEMBERS])))
-    return CVResult(oof, holdout_mean, _metrics(oof, holdout_mean))
+    spark = cv.sparkSession
+    oof = materialize(_blends(oof), scratch_dir(spark, "oof"))
+    # a row is averaged over the folds by its own key, so repeated ids stay apart
+    holdout_mean = materialize(_blends(hp.groupBy("__key").agg(
+        F.first("row_id").alias("row_id"), F.first("demand").alias("demand"),
+        *[F.avg(f"pred_{m}").alias(f"pred_{m}") for m in MEMBERS]).drop("__key")), scratch_dir(spark, "holdout"))
+    by_fold = regression_metrics(_long(oof, "fold"), keys=["fold", "model"])
+    return CVResult(oof, holdout_mean, _metrics(oof, holdout_mean), by_fold)
 
 
-def _metrics(oof: DataFrame, hold: DataFrame) -> DataFrame:
+def _long(df: DataFrame, *keep: str) -> DataFrame:
+    """One row per model: ``keep``, demand, model, prediction."""
     models = list(MEMBERS) + ["ensemble_blend", "ensemble_trio"]
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction")) for m in models])
+    return df.select(*keep, "demand", F.explode(arr).alias("p")).select(*keep, "demand", "p.model", "p.prediction")
 
-    def longify(df, split):
-        arr = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("prediction"))
-                        for m in models])
-        return df.select("demand", F.explode(arr).alias("p")).select(
-            F.lit(split).alias("split"), "demand", "p.model", "p.prediction")
 
-    return regression_metrics(longify(oof, "oof").unionByName(longify(hold, "holdout")),
-                              keys=["split", "model"])
+def _metrics(oof: DataFrame, hold: DataFrame) -> DataFrame:
+    both = _long(oof).withColumn("split", F.lit("oof")).unionByName(_long(hold).withColumn("split", F.lit("holdout")))
+    return regression_metrics(both, keys=["split", "model"])
 
 
 def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | None = None
@@ -171,7 +180,8 @@ def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | Non
     """M5: statistics and members refit on every training row."""
     enc = fit_encoding(train_clean)
     feats = finish_features(enc.transform(row_features(train_clean, decode=False)))
-    frame = cut_lineage(model_frame(feats.where(F.col("demand").isNotNull())))
+    frame = materialize(model_frame(feats.where(F.col("demand").isNotNull())),
+                        scratch_dir(train_clean.sparkSession, "model-frame"))
     prep = preprocessor().fit(frame)
     x = prep.transform(frame).persist()
     final_cfg = MemberConfig(rounds=final_rounds or cfg.rounds, patience=None,

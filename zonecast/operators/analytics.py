@@ -18,7 +18,7 @@ from zonecast.functions.labels import peak_label
 from zonecast.functions.geo import geohash_latlon
 from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.quantiles import exact_quantiles
-from zonecast.session import cut_lineage
+from zonecast.session import cut_lineage, materialize, scratch_dir
 
 
 def mean_by(df: DataFrame, key: str, value: str = "demand", name: str = "mean_demand",
@@ -81,10 +81,16 @@ def pivot_mean(df: DataFrame, row_key: str, col_key: str, values: list, prefix:
     return p.select(row_key, *renamed)
 
 
-def distinct_values(df: DataFrame, col: str) -> list:
+# Columns that a pivot may have; more distinct values are an error, not a truncated header.
+MAX_PIVOT = 1000
+
+
+def distinct_values(df: DataFrame, col: str, at_most: int = MAX_PIVOT) -> list:
     """Sorted distinct non-NULL values of a low-cardinality column (pivot header)."""
-    return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
-            .orderBy(col).collect()]
+    found = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(at_most + 1).collect()]
+    if len(found) > at_most:
+        raise ValueError(f"{col} has more than {at_most} distinct values: too many for pivot columns")
+    return sorted(found)
 
 
 def zone_kpis(zmap: DataFrame) -> DataFrame:
@@ -104,6 +110,21 @@ def arg_best(df: DataFrame, key: str, value: str = "demand", largest: bool = Tru
     return m.orderBy(order, F.col(key).asc()).limit(1)
 
 
+def best_of_each(df: DataFrame, wanted: list[tuple[str, str, bool]], value: str = "demand", digits: int = 9) -> DataFrame:
+    """A15 for several keys in one pass over the table: ``wanted`` holds (name, key column, largest);
+    returns ``kpi, key, value``.  Ties go to the smallest key."""
+    means = means_by_each(df, list(dict.fromkeys(k for _, k, _ in wanted)), value)
+    means = materialize(means, scratch_dir(df.sparkSession, "group-means"))  # one row a key value
+    out = None
+    for name, key, largest in wanted:
+        rm = F.round(F.col("mean_demand").cast("decimal(38,12)"), digits)
+        tie = F.col("value").cast(df.schema[key].dataType).asc()
+        one = (means.where((F.col("attribute") == key) & F.col("value").isNotNull()).orderBy(rm.desc_nulls_last() if largest else rm.asc_nulls_last(), tie)
+               .limit(1).select(F.lit(name).alias("kpi"), F.col("value").alias("key"), F.col("mean_demand").alias("value")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def describe(df: DataFrame, value: str = "demand", keys: list[str] | None = None) -> DataFrame:
     """Min, max, mean, exact median, sample std."""
     keys = keys or []
@@ -127,12 +148,14 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 def correlation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Correlation matrix in one aggregation pass, long form (a, b, r)."""
-    pairs = [(a, b) for a in cols for b in cols]
+    # the matrix is symmetric: each pair is computed once and mirrored
+    half = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     aggs = [safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-            for i, (a, b) in enumerate(pairs)]
+            for i, (a, b) in enumerate(half)]
     wide = df.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (a, b, r)")
+    cells = [(a, b, i) for i, (a, b) in enumerate(half)] + [(b, a, i) for i, (a, b) in enumerate(half) if a != b]
+    stack = ", ".join(f"'{a}', '{b}', `{i}`" for a, b, i in cells)
+    return wide.selectExpr(f"stack({len(cells)}, {stack}) AS (a, b, r)")
 
 
 def box_stats(df: DataFrame, key: str, value: str = "demand") -> DataFrame:
@@ -168,8 +191,11 @@ def histogram(df: DataFrame, value: str = "demand", bins: int = 50) -> DataFrame
     b = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
     h = (df.where(F.col(value).isNotNull()).groupBy(b.alias("bin"))
          .agg(F.count("*").alias("n")))
-    return h.select("bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("bin_lo"),
-                    (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_hi"), "n")
+    # every bin has a row, empty ones count 0
+    grid = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return grid.join(h, "bin", "left").select(
+        "bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("bin_lo"),
+        (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def kde(df: DataFrame, value: str = "demand", grid: int = 100, fine_bins: int = 4096) -> DataFrame:

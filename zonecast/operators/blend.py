@@ -12,7 +12,7 @@ def normalized_weights(models: list[str], weights: dict[str, float] | None) -> d
     """Uniform when absent; weights not summing to 1 (isclose) are divided by the
     sum of *all* supplied weights; a member without a weight gets 0."""
     if not models:
-        raise ValueError("Predictions dict cannot be empty.")
+        raise ValueError("a blend needs at least one member")
     if weights is None:
         weights = {m: 1.0 / len(models) for m in models}
     total = sum(weights.values())

@@ -22,10 +22,12 @@ def dedup(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def dedup_report(df: DataFrame) -> tuple[DataFrame, int]:
-    """C1 with its dropped-row count (two counting jobs)."""
-    d = dedup(df)
-    return d, df.count() - d.count()
+def dedup_report(df: DataFrame) -> DataFrame:
+    """C1's counts in one pass: ``rows``, ``kept`` and ``dropped``."""
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"))
+    n = row.groupBy("r").agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("kept"),
+                 F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"))
 
 
 def coerce_numeric(c) -> "F.Column":
@@ -71,11 +73,6 @@ def fit_medians(train: DataFrame) -> Medians:
     return Medians(got.get("Temperature"), lanes_int)
 
 
-def median_table(df: DataFrame) -> DataFrame:
-    """C2/C3 as a one-row DataFrame (Temperature double, NumberofLanes int)."""
-    return fit_medians(df).to_df(df.sparkSession)
-
-
 def impute(df: DataFrame, medians: Medians | None = None) -> DataFrame:
     """C5-C8.  With ``medians`` (training or scoring with fitted values) fill
     Temperature/lanes from them; without, fall back to this frame's Temperature

@@ -200,11 +200,6 @@ def no_stats_encoding(df: DataFrame) -> DataFrame:
 
 
 def unseen_zones(df: DataFrame, enc_zones: DataFrame) -> DataFrame:
-    """Rows whose zone has no fitted statistics (left anti join)."""
-    return df.join(enc_zones.select("geohash"), "geohash", "left_anti")
-
-
-def decode_zones(zones: DataFrame) -> DataFrame:
-    """Decode each distinct zone once (instead of once per observation)."""
-    lat, lon = geohash_latlon(F.col("geohash"))
-    return zones.withColumns({"latitude": lat, "longitude": lon})
+    """Rows whose zone has no fitted mean: unknown to the encoder, or seen without any label (left anti join)."""
+    known = enc_zones.where(F.col("geo_mean_demand").isNotNull()).select("geohash")
+    return df.join(maybe_broadcast(known), "geohash", "left_anti")

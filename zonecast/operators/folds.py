@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A multiplicative permutation of residues modulo a prime: a deterministic,
-# partition-independent shuffle of row ids that any SQL engine can reproduce.
-_PRIME = 1_000_003
-_MULT = 7919
-
 
 def mix(row_id: Column, seed: int = 42) -> Column:
-    """Deterministic permutation of row ids (mod a prime), reproducible in SQL."""
-    return F.pmod(F.pmod(row_id, F.lit(_PRIME)) * F.lit(_MULT) + F.lit(seed), F.lit(_PRIME))
+    """60 bits of the MD5 of ``seed:row_id``: a shuffle of the ids that does not depend on partitions,
+    is unrelated for different seeds and that any SQL engine can reproduce.  A NULL id mixes as
+    ``seed:`` so that its row is assigned too."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def fold_of(row_id: Column, k: int = 5, seed: int = 42) -> Column:

@@ -17,13 +17,14 @@ from zonecast.operators.encoding import (PREFIX_LEVELS, global_stats, prefix_sta
 from zonecast.operators.folds import explode_training_folds
 from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.ranking import grouped_row_number
-from zonecast.session import cut_lineage
+from zonecast.session import cut_lineage, materialize, scratch_dir
 
 
 def fold_encoders(cv_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(zones, prefixes, globals) keyed by fold."""
     ex = explode_training_folds(cv_rows, k)
-    zones = zone_stats(ex, ["fold"])
+    # written once: the ranking, its counts and every later join read the finished statistics
+    zones = materialize(zone_stats(ex, ["fold"]), scratch_dir(cv_rows.sparkSession, "fold-zones"))
     # rank within a fold, distributed (no single task holds a fold's zone table)
     zones = cut_lineage(grouped_row_number(zones, "fold", rank_order(), "geo_rank"))
     prefixes = cut_lineage(prefix_stats(ex, ["fold"], partials=zones))

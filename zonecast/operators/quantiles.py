@@ -5,15 +5,13 @@ Semantics: linear interpolation between order statistics at position
 Spark ``percentile``, DuckDB ``quantile_cont``).
 
 Plan:
-* one skew-safe aggregate gives each group's size, min and max;
+* one skew-safe aggregate gives each group's size;
 * groups with at most ``small`` values use Spark's exact ``percentile``
   (its per-group buffer is then bounded by ``small``);
-* larger groups (a hot zone, the global median) are narrowed by bucket
-  refinement: each round counts values per (group, interval, bucket) with
-  partial aggregation, finds the bucket holding each wanted rank, and repeats on
-  that bucket until it is a single value or holds at most ``small`` values,
-  which are then sorted in one bounded task.  Rounds are few (each shrinks an
-  interval by ``bins``) and every pass only keeps rows inside live intervals.
+* larger groups (a hot zone, the global median) are refined by rank on the ordered bit
+  pattern of the values, four passes of 16 bits each, whatever the values are.
+
+Both ways give the same answer on every input; the size only decides which is cheaper.
 """
 
 from __future__ import annotations
@@ -22,16 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.operators.joins import maybe_broadcast
-from zonecast.session import cut_lineage
+from zonecast.session import materialize, scratch_dir
 
 _G = "__zq_group"
 # Largest group handed to Spark's exact percentile in one task.
 SMALL_GROUP = 100_000
+_LOW = (1 << 63) - 1
 
 
 def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str, float],
-                    small: int | None = None, bins: int = 4096, max_rounds: int = 24,
-                    max_group: int | None = None) -> DataFrame:
+                    small: int | None = None, max_group: int | None = None) -> DataFrame:
     """``keys`` + one column per entry of ``probs`` (name -> probability).
 
     ``max_group``: a known upper bound on the non-NULL values per group (e.g.
@@ -48,7 +46,7 @@ def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str,
         base = base.where(F.col(k).isNotNull())
 
     sizes = base.groupBy(*keys_).agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        F.count("*").alias("__n"))
     if max_group is not None and max_group <= small:
         n_groups, n_large = 0, 0
     else:
@@ -61,92 +59,67 @@ def exact_quantiles(df: DataFrame, value: str, keys: list[str], probs: dict[str,
     if n_large == 0:
         small_base = base
     else:
-        sizes = cut_lineage(sizes)
+        sizes = materialize(sizes, scratch_dir(df.sparkSession, "quantile-sizes"))
         small_keys = sizes.where(F.col("__n") <= small).select(*keys_)
         small_base = base.join(maybe_broadcast(small_keys, n_groups - n_large), keys_, "inner")
     small_res = (small_base.groupBy(*keys_).agg(pct.alias("__q"))
                  .select(*keys_, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)]))
     if n_large:
-        small_res = small_res.unionByName(_large_quantiles(base, sizes, keys_, probs, names,
-                                                           small, bins, max_rounds, n_large))
+        small_res = small_res.unionByName(_large_quantiles(base, sizes, keys_, probs, names, small, n_large))
     if not keys:
         small_res = small_res.drop(_G)
     return small_res
 
 
-def _large_quantiles(base, sizes, keys_, probs, names, small, bins, max_rounds, n_large):
-    large = sizes.where(F.col("__n") > small)
-    prob_arr = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(probs[n])).alias("p"))
+def _ordered_key(v) -> "F.Column":
+    """A long that orders as the double does: the IEEE bits, negative values turned over."""
+    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(_LOW)))
+
+
+def _from_key(k) -> "F.Column":
+    bits = F.when(k >= 0, k).otherwise(k.bitwiseXOR(F.lit(_LOW)))
+    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def _large_quantiles(base, sizes, keys_, probs, names, small, n_large):
+    """Ranks of the groups above ``small``, found 16 bits of the ordered bit pattern at a time.
+
+    Four passes settle any double, infinities included; each counts values per (group, prefix, next
+    16 bits) with partial aggregation, so no task holds a group.  The state between passes (one row a
+    group and rank) is written, so plans and size estimates do not grow from pass to pass."""
+    spark = base.sparkSession
+    large = maybe_broadcast(sizes.where(F.col("__n") > small).select(*keys_, "__n"), n_large)
+    prob_arr = F.array(*[F.struct(F.lit(i).alias("__pi"), F.lit(float(probs[n])).alias("p"))
                          for i, n in enumerate(names)])
-    targets = (large.select(*keys_, "__n", F.explode(prob_arr).alias("t"))
-               .select(*keys_, F.col("t.pi").alias("pi"),
-                       ((F.col("__n") - 1) * F.col("t.p")).alias("pos"))
-               .withColumn("r0", F.floor("pos").cast("long"))
-               .withColumn("r1", F.ceil("pos").cast("long")))
-    targets = cut_lineage(targets)
-    ranks = (targets.select(*keys_, F.explode(F.array_distinct(F.array("r0", "r1"))).alias("rank"))
-             .distinct()
-             .join(large.select(*keys_, "__lo", "__hi"), keys_)
-             .select(*keys_, "rank", F.col("__lo").alias("lo"), F.col("__hi").alias("hi"),
-                     F.lit(0).cast("long").alias("below"),
-                     F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).alias("x")))
-    state = cut_lineage(ranks)
-    interval_keys = keys_ + ["lo", "hi", "below"]
-    for _ in range(max_rounds):
-        active = state.where(F.col("x").isNull())
-        n_active = active.count()
-        if n_active == 0:
-            break
-        done = state.where(F.col("x").isNotNull())
-        intervals = active.select(*interval_keys).distinct()
-        rows = (base.join(maybe_broadcast(intervals, n_active), keys_)
-                .where(F.col("__v").between(F.col("lo"), F.col("hi"))))
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("__v") - F.col("lo")) / width * bins),
-                         F.lit(bins - 1)).cast("int")
-        hist = (rows.withColumn("b", bucket)
-                .groupBy(*interval_keys, "b")
-                .agg(F.count("*").alias("c"), F.min("__v").alias("bmin"),
-                     F.max("__v").alias("bmax")))
-        w = (Window.partitionBy(*interval_keys).orderBy("b")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        hist = hist.withColumn("cb", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        start = F.col("below") + F.col("cb")
-        step = (active.drop("x").join(hist, interval_keys)
-                .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("c")))
-                .select(*keys_, "rank", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                        start.alias("below"), "c"))
-        step = cut_lineage(step)
-        # a bucket with a single value resolves directly; a small bucket is sorted
-        single = step.where(F.col("lo") == F.col("hi")).select(
-            *keys_, "rank", "lo", "hi", "below", F.col("lo").alias("x"))
-        few = step.where((F.col("lo") != F.col("hi")) & (F.col("c") <= small))
-        few_iv = few.select(*interval_keys).distinct()
-        n_few = few_iv.count()
-        if n_few:
-            sorted_vals = (base.join(maybe_broadcast(few_iv, n_few), keys_)
-                           .where(F.col("__v").between(F.col("lo"), F.col("hi")))
-                           .groupBy(*interval_keys)
-                           .agg(F.sort_array(F.collect_list("__v")).alias("vals")))
-            few_done = (few.drop("c").join(sorted_vals, interval_keys)
-                        .select(*keys_, "rank", "lo", "hi", "below",
-                                F.element_at("vals", (F.col("rank") - F.col("below") + 1)
-                                             .cast("int")).alias("x")))
-        else:
-            few_done = single.limit(0)
-        again = step.where((F.col("lo") != F.col("hi")) & (F.col("c") > small)).select(
-            *keys_, "rank", "lo", "hi", "below", F.lit(None).cast("double").alias("x"))
-        state = cut_lineage(done.unionByName(single).unionByName(few_done).unionByName(again))
-    else:
-        raise RuntimeError("exact_quantiles did not converge")
-    xs = state.select(*keys_, "rank", "x")
-    x0 = xs.withColumnRenamed("rank", "r0").withColumnRenamed("x", "x0")
-    x1 = xs.withColumnRenamed("rank", "r1").withColumnRenamed("x", "x1")
-    q = (targets.join(x0, keys_ + ["r0"]).join(x1, keys_ + ["r1"])
-         .withColumn("q", F.when(F.col("r0") == F.col("r1"), F.col("x0"))
-                     .otherwise((F.col("r1") - F.col("pos")) * F.col("x0")
-                                + (F.col("pos") - F.col("r0")) * F.col("x1"))))
-    return q.groupBy(*keys_).agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(n)
+    pos = (F.col("__n") - 1) * F.col("__t.p")
+    targets = (sizes.where(F.col("__n") > small).select(*keys_, "__n", F.explode(prob_arr).alias("__t"))
+               .select(*keys_, F.col("__t.__pi").alias("__pi"), pos.alias("__pos"), F.floor(pos).cast("long").alias("__r0"),
+                       F.ceil(pos).cast("long").alias("__r1")))
+    targets = materialize(targets, scratch_dir(spark, "quantile-targets"))
+    keyed = base.join(large.drop("__n"), keys_).select(*keys_, _ordered_key(F.col("__v")).alias("__k"))
+    keyed = materialize(keyed, scratch_dir(spark, "quantile-keys"))
+    state = (targets.select(*keys_, F.explode(F.array_distinct(F.array("__r0", "__r1"))).alias("__rank")).distinct()
+             .select(*keys_, "__rank", F.lit(0).cast("long").alias("__prefix"), F.lit(0).cast("long").alias("__below")))
+    for shift in (48, 32, 16, 0):
+        prefix = F.lit(0).cast("long") if shift == 48 else F.shiftright("__k", shift + 16)
+        rows = keyed.select(*keys_, prefix.alias("__prefix"), F.shiftright("__k", shift).alias("__b"))
+        live = state.select(*keys_, "__prefix").distinct()
+        hist = rows.join(maybe_broadcast(live), keys_ + ["__prefix"]).groupBy(*keys_, "__prefix", "__b").agg(F.count("*").alias("__c"))
+        w = Window.partitionBy(*keys_, "__prefix").orderBy("__b")  # at most 2^16 rows
+        hist = hist.withColumn("__cb", F.sum("__c").over(w) - F.col("__c"))
+        start = F.col("__below") + F.col("__cb")
+        state = (state.join(hist, keys_ + ["__prefix"]).where((F.col("__rank") >= start) & (F.col("__rank") < start + F.col("__c")))
+                 .select(*keys_, "__rank", F.col("__b").alias("__prefix"), start.alias("__below")))
+        state = materialize(state, scratch_dir(spark, "quantile-state"))
+    xs = state.select(*keys_, "__rank", _from_key(F.col("__prefix")).alias("__x"))
+    xs = materialize(xs, scratch_dir(spark, "quantile-values"))
+    x0 = xs.withColumnRenamed("__rank", "__r0").withColumnRenamed("__x", "__x0")
+    x1 = xs.withColumnRenamed("__rank", "__r1").withColumnRenamed("__x", "__x1")
+    between = (F.col("__r1") - F.col("__pos")) * F.col("__x0") + (F.col("__pos") - F.col("__r0")) * F.col("__x1")
+    q = (targets.join(x0, keys_ + ["__r0"]).join(x1, keys_ + ["__r1"])
+         .withColumn("__q", F.when((F.col("__r0") == F.col("__r1")) | (F.col("__x0") == F.col("__x1")), F.col("__x0")).otherwise(between)))
+    return q.groupBy(*keys_).agg(*[F.max(F.when(F.col("__pi") == i, F.col("__q"))).alias(n)
                                    for i, n in enumerate(names)])
 
 

@@ -44,8 +44,3 @@ def grouped_row_number(df: DataFrame, group: str, order: list[Column],
     return (numbered.join(maybe_broadcast(starts.select(group, "__start")), group)
             .withColumn(name, (F.col("__gn") - F.col("__start")).cast("int"))
             .drop("__gn", "__start"))
-
-
-def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """Ordered top-k: per-partition top-k then a k-row merge (TakeOrderedAndProject)."""
-    return df.orderBy(*order).limit(k)

@@ -73,8 +73,3 @@ def incident_parameters(df: DataFrame, lanes: str = "NumberofLanes",
 def incident_grid(max_severity: int = 5) -> list[dict]:
     return [{"incident": t, "severity": s} for t in INCIDENT_TYPES
             for s in range(1, max_severity + 1)]
-
-
-def with_delta(df: DataFrame, sim: str, base: str) -> DataFrame:
-    d = pct_delta(F.col(sim), F.col(base))
-    return df.withColumn("delta_pct", d).withColumn("status", delta_status(F.col("delta_pct")))

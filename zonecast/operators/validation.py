@@ -42,9 +42,9 @@ def require_valid(sub: DataFrame, expected_columns: list[str] | None = None,
     """Raising variant used after inference (columns exact, no missing)."""
     expected_columns = expected_columns or EXPECTED_SUBMISSION_COLUMNS
     if list(sub.columns) != list(expected_columns):
-        raise ValueError(f"Unexpected submission columns: {sub.columns}")
+        raise ValueError(f"a submission has the columns {expected_columns}, not {sub.columns}")
     if not sub.where(F.col(value).isNull() | F.isnan(value)).isEmpty():
-        raise ValueError("Submission contains missing demand predictions.")
+        raise ValueError(f"column {value} has rows without a prediction")
 
 
 def shape_report(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from zonecast.operators import analytics as A
 from zonecast.operators import cleaning
 from zonecast.operators.blend import blend
 from zonecast.operators.categories import apply_codes, category_table
-from zonecast.operators.encoding import (apply_encoding, global_stats, no_stats_encoding,
+from zonecast.operators.encoding import (ZoneEncoding, apply_encoding, global_stats, no_stats_encoding,
                                          prefix_stats, unseen_zones, zone_rank, zone_stats)
 from zonecast.operators.folds import assign_folds
 from zonecast.operators.joins import maybe_broadcast
@@ -30,9 +30,12 @@ from zonecast.operators.oof import oof_encode
 from zonecast.operators.scenarios import event_surge, incident_grid, incident_parameters, \
     explode_scenarios
 from zonecast.operators.validation import validate_submission
-from zonecast.operators.features import categorical_frame
+from zonecast.operators.features import categorical_frame, engineer
 from zonecast.plans.context import context, rounded
-from zonecast.session import cut_lineage
+from zonecast.session import cut_lineage, scratch_dir
+from zonecast.sources import sinks
+from zonecast.sources.readers import read_submission
+from zonecast.streaming.scoring import observation_stream
 from zonecast.schema import CATEGORICAL_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,16 +319,9 @@ def q_zone_kpis(spark, sf):
 def q_executive_summary(spark, sf):
     """A15 KPIs as rows (kpi, key, value): arg-max / arg-min of group means."""
     df = _an(spark, sf)
-    parts = [("peak_hour", "hour", True), ("worst_zone", "geohash", True),
-             ("worst_weather", "Weather", True), ("best_weather", "Weather", False),
-             ("worst_road", "RoadType", True)]
-    out = None
-    for kpi, key, largest in parts:
-        one = A.arg_best(df, key, largest=largest).select(
-            F.lit(kpi).alias("kpi"), F.col(key).cast("string").alias("key"),
-            F.col("m").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    return rounded(A.best_of_each(df, [
+        ("peak_hour", "hour", True), ("worst_zone", "geohash", True), ("worst_weather", "Weather", True),
+        ("best_weather", "Weather", False), ("worst_road", "RoadType", True)]))
 
 
 def q_top_hotspots(spark, sf):
@@ -447,6 +443,86 @@ def q_validate_submission(spark, sf):
     return rounded(validate_submission(sub, expected))
 
 
+# --- persistence, assembly and streams with deterministic members ------------------------
+# The zone mean and median stand in for fitted members, so every step around the models has an oracle.
+
+def _scratch(spark, name: str) -> str:
+    return scratch_dir(spark, name)
+
+
+def q_submission_roundtrip(spark, sf):
+    """K1 then S4: a submission of zone means written as CSV and read back typed."""
+    path = _scratch(spark, "submission-roundtrip")
+    sinks.write_submission(context(spark, sf).score_features, path, "geo_mean_demand")
+    return rounded(read_submission(spark, path))
+
+
+def q_encoder_roundtrip(spark, sf):
+    """K4 then S5: medians and encoder saved, loaded and applied to the scoring rows."""
+    ctx = context(spark, sf)
+    path = _scratch(spark, "encoder-roundtrip")
+    ctx.medians.save(spark, f"{path}/medians")
+    ctx.encoding.save(f"{path}/encoding")
+    enc = ZoneEncoding.load(spark, f"{path}/encoding")
+    clean = cleaning.clean(ctx.score_raw, cleaning.Medians.load(spark, f"{path}/medians"))
+    return rounded(engineer(clean, enc)[0].select(*_ENC_COLS))
+
+
+def q_category_maps_roundtrip(spark, sf):
+    """K4 then S5 and J7: category maps saved, loaded and applied to the scoring rows."""
+    ctx = context(spark, sf)
+    path = _scratch(spark, "category-maps")
+    sinks.write_table(category_table(categorical_frame(ctx.train_clean), CATEGORICAL_FEATURES), path)
+    rows = categorical_frame(ctx.score_clean).select("row_id", *CATEGORICAL_FEATURES)
+    return apply_codes(rows, spark.read.parquet(path), CATEGORICAL_FEATURES)
+
+
+def _fold_members(spark, sf):
+    return oof_encode(assign_folds(_cv_rows(spark, sf), FOLDS, SEED), _holdout_rows(spark, sf), FOLDS)
+
+
+def q_oof_assembly(spark, sf):
+    """One row per validation row with its fold's members and their blend."""
+    val, _ = _fold_members(spark, sf)
+    m = {"cat": F.col("geo_mean_demand"), "lgb": F.col("geo_median_demand")}
+    return rounded(val.select(F.col("row_id").alias("Index"), F.col("demand").alias("demand_true"), "fold",
+                              m["cat"].alias("pred_cat"), m["lgb"].alias("pred_lgb"),
+                              blend(m, {"cat": 0.6, "lgb": 0.4}).alias("pred_ensemble_blend")))
+
+
+def q_holdout_average(spark, sf):
+    """Holdout predictions averaged over the folds."""
+    _, hold = _fold_members(spark, sf)
+    return rounded(hold.groupBy("row_id").agg(F.avg("geo_mean_demand").alias("pred_cat"), F.avg("geo_median_demand").alias("pred_lgb")))
+
+
+def q_fold_metrics_baseline(spark, sf):
+    """A23 per fold: metrics of the fold means and medians on their validation rows."""
+    val, _ = _fold_members(spark, sf)
+    long = val.select("fold", "demand", F.explode(F.array(
+        F.struct(F.lit("zone_mean").alias("model"), F.col("geo_mean_demand").alias("prediction")),
+        F.struct(F.lit("zone_median").alias("model"), F.col("geo_median_demand").alias("prediction")))).alias("m"))
+    return rounded(regression_metrics(long.select("fold", "demand", "m.model", "m.prediction"), keys=["fold", "model"]))
+
+
+def q_stream_encode(spark, sf):
+    """The scoring rows as a stream, cleaned and encoded with the fitted tables, read back from the sink."""
+    ctx = context(spark, sf)
+    rows = observation_stream(spark, sf).where(~F.col("is_train")).drop("is_train")
+    feats = engineer(cleaning.clean(rows, ctx.medians), ctx.encoding)[0].select(*_ENC_COLS)
+    path = _scratch(spark, "stream-encode")
+    query = (feats.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return rounded(spark.read.schema(feats.schema).parquet(f"{path}/data"))
+
+
+def q_dedup_report(spark, sf):
+    """C1's row counts on the fixture with planted copies."""
+    obs = sources.observations(spark, sf)
+    return cleaning.dedup_report(obs.unionByName(obs.where(F.col("row_id") % 29 == 0)))
+
+
 # --- scenarios ------------------------------------------------------------------------
 
 def q_scenario_event(spark, sf):

@@ -42,11 +42,23 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def clear_contexts() -> None:
+    """Forgets all fitted state and frees what it cached."""
+    for ctx in _CTX.values():
+        ctx.close()
+    _CTX.clear()
+
+
 class Context:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def close(self) -> None:
+        for name in ("train_dedup", "train_clean", "labelled_clean"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
     @property
     def obs(self) -> DataFrame:
         return sources.observations(self.spark, self.sf_dir)

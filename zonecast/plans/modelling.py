@@ -64,6 +64,10 @@ def q_cv_metrics(spark, sf):
     return rounded(experiment(spark, sf).cv.metrics)
 
 
+def q_fold_metrics(spark, sf):
+    return rounded(experiment(spark, sf).cv.fold_metrics)
+
+
 def q_oof_table(spark, sf):
     return rounded(oof_table(experiment(spark, sf).cv))
 
@@ -116,16 +120,20 @@ def q_feature_importance(spark, sf):
     return rounded(df)
 
 
+def _with_base_score(e: Experiment, rows: DataFrame) -> DataFrame:
+    """``rows`` with their own score as ``base``, carried along so that no join on a repeatable id is needed."""
+    packed = rows.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    return e.final.score(packed, keep=["__row"]).select("__row.*", F.col("pred_ensemble_blend").alias("base"))
+
+
 def _scenario_scores(e: Experiment, base: DataFrame, scenarios: list[dict]) -> DataFrame:
     """Score base rows and every (row, scenario) variant; delta vs the base."""
-    base_pred = e.final.score(base).select("row_id", F.col("pred_ensemble_blend").alias("base"))
-    sims = apply_overrides(explode_scenarios(base, scenarios))
+    sims = apply_overrides(explode_scenarios(_with_base_score(e, base), scenarios))
     keys = [k for k in scenarios[0] if k not in ("sim_lanes", "sim_weather", "sim_temperature")]
     sim_pred = e.final.score(sims.drop(*[c for c in ("sim_lanes", "sim_weather",
                                                       "sim_temperature") if c in sims.columns]),
-                             keep=keys)
-    out = sim_pred.select("row_id", *keys, F.col("pred_ensemble_blend").alias("sim")) \
-        .join(base_pred, "row_id")
+                             keep=[*keys, "base"])
+    out = sim_pred.select("row_id", *keys, F.col("pred_ensemble_blend").alias("sim"), "base")
     d = pct_delta(F.col("sim"), F.col("base"))
     return out.withColumn("delta_pct", d).withColumn("status", delta_status(d))
 
@@ -146,14 +154,12 @@ def q_scenario_incident_scores(spark, sf):
         F.lit(4).alias("NumberofLanes"), F.lit("Allowed").alias("LargeVehicles"),
         F.lit("No").alias("Landmarks"), F.lit(18.0).alias("Temperature"),
         F.lit("Cloudy").alias("Weather"), F.lit(None).cast("double").alias("demand"))
-    grid = incident_parameters(explode_scenarios(base, incident_grid()))
+    grid = incident_parameters(explode_scenarios(_with_base_score(e, base), incident_grid()))
     sims = grid.withColumns({"NumberofLanes": F.col("sim_lanes"), "Weather": F.col("sim_weather")})
     sim = e.final.score(sims.drop("sim_lanes", "sim_weather"),
-                        keep=["geohash", "incident", "severity", "surge_factor"]).select(
-        "row_id", "geohash", "incident", "severity",
-        (F.col("pred_ensemble_blend") * F.col("surge_factor")).alias("sim"))
-    b = e.final.score(base).select("row_id", F.col("pred_ensemble_blend").alias("base"))
-    out = sim.join(b, "row_id")
+                        keep=["geohash", "incident", "severity", "surge_factor", "base"])
+    out = sim.select("row_id", "geohash", "incident", "severity",
+                     (F.col("pred_ensemble_blend") * F.col("surge_factor")).alias("sim"), "base")
     d = pct_delta(F.col("sim"), F.col("base"))
     return rounded(out.withColumn("delta_pct", d).withColumn("status", delta_status(d)))
 
@@ -182,7 +188,7 @@ def q_submission_csv(spark, sf):
     path = scratch_dir(spark, "submission")
     sinks.write_submission(experiment(spark, sf).scored, path, "pred_ensemble_blend")
     back = read_submission(spark, path)
-    return back.select(F.col("Index").cast("long"), F.col("demand").cast("double"))
+    return back
 
 
 def q_stream_score(spark, sf):

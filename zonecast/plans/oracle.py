@@ -10,6 +10,8 @@ from __future__ import annotations
 from zonecast.sources.adapter import adapter_sql
 
 R = 9  # rounding digits for doubles
+# 60 bits of md5('42:' || row_id): the fold and sample order of seed 42
+_MIX = "CAST(('0x' || substr(md5('42:' || coalesce(CAST(row_id AS VARCHAR), '')), 1, 15)) AS BIGINT)"
 
 
 def _strip(c: str) -> str:
@@ -37,7 +39,7 @@ def _latlon(g: str) -> tuple[str, str]:
     bits = f"array_to_string({digits}, '')"
     lon_bits = f"regexp_replace({bits}, '(.)(.?)', '\\1', 'g')"
     lat_bits = f"regexp_replace({bits}, '(.)(.?)', '\\2', 'g')"
-    valid = f"regexp_full_match(lower({g}), '[0-9b-hjkmnp-z]{{1,12}}')"
+    valid = f"regexp_full_match(lower({g}), '[0-9b-hjkmnp-z]+')"
     lat = (f"CASE WHEN {valid} THEN -90.0 + 180.0 * ({_bits_value(lat_bits)} + 0.5) "
            f"/ pow(2, length({lat_bits})) END")
     lon = (f"CASE WHEN {valid} THEN -180.0 + 360.0 * ({_bits_value(lon_bits)} + 0.5) "
@@ -53,7 +55,7 @@ def _sev(w: str) -> str:
 
 def _block(h: str) -> str:
     return (f"CASE WHEN {h} >= 5 AND {h} < 12 THEN 'Morning' WHEN {h} >= 12 AND {h} < 17 "
-            f"THEN 'Afternoon' WHEN {h} >= 17 AND {h} < 21 THEN 'Evening' ELSE 'Night' END")
+            f"THEN 'Afternoon' WHEN {h} >= 17 AND {h} < 21 THEN 'Evening' WHEN {h} IS NOT NULL THEN 'Night' END")
 
 
 def _clean_select(src: str) -> str:
@@ -78,11 +80,11 @@ med AS (SELECT quantile_cont(Temperature, 0.5) AS t_med,
 ct AS ({_clean_select('tr')}),
 cs AS ({_clean_select("(SELECT * EXCLUDE (is_train) FROM obs WHERE NOT is_train)")}),
 an AS (SELECT *, {_hour('timestamp')} AS hour, {_minute('timestamp')} AS minute,
-         CASE WHEN {_hour('timestamp')} IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS is_peak_hour,
+         CASE WHEN {_hour('timestamp')} IN (7, 8, 9, 17, 18, 19) THEN 1 WHEN {_hour('timestamp')} IS NOT NULL THEN 0 END AS is_peak_hour,
          {LAT} AS latitude, {LON} AS longitude
        FROM ct),
 ans AS (SELECT *, {_hour('timestamp')} AS hour, {_minute('timestamp')} AS minute,
-         CASE WHEN {_hour('timestamp')} IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS is_peak_hour,
+         CASE WHEN {_hour('timestamp')} IN (7, 8, 9, 17, 18, 19) THEN 1 WHEN {_hour('timestamp')} IS NOT NULL THEN 0 END AS is_peak_hour,
          {LAT} AS latitude, {LON} AS longitude
        FROM cs),
 lc AS ({_clean_select("(SELECT DISTINCT * EXCLUDE (is_train) FROM obs)")}),
@@ -176,7 +178,7 @@ CATS = ["RoadType", "LargeVehicles", "Landmarks", "Weather", "time_block",
 
 def _oof() -> str:
     k = 5
-    fold = "CAST(((row_id % 1000003) * 7919 + 42) % 1000003 % 5 AS INTEGER)"
+    fold = f"CAST({_MIX} % 5 AS INTEGER)"
     return f"""
 cv AS (SELECT *, {fold} AS fold FROM lc WHERE day <= 24),
 ho AS (SELECT lc.*, f.fold FROM lc CROSS JOIN range(0, {k}) f(fold) WHERE day > 24),
@@ -288,9 +290,9 @@ def oracle_sql() -> dict[str, str]:
       u AS (SELECT row_id, day, {h} AS hour, {mi} AS minute FROM t)
       SELECT row_id, hour, minute, hour * 60 + minute AS total_minutes,
         {r('sin(2 * pi() * hour / 24.0)', 'hour_sin')}, {r('cos(2 * pi() * hour / 24.0)', 'hour_cos')},
-        CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 ELSE 0 END AS is_peak_hour,
+        CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 WHEN hour IS NOT NULL THEN 0 END AS is_peak_hour,
         CAST(((day % 7) + 7) % 7 AS INTEGER) AS day_of_week,
-        CASE WHEN ((day % 7) + 7) % 7 IN (5, 6) THEN 1 ELSE 0 END AS is_weekend,
+        CASE WHEN ((day % 7) + 7) % 7 IN (5, 6) THEN 1 WHEN day IS NOT NULL THEN 0 END AS is_weekend,
         {_block('hour')} AS time_block FROM u"""
     s["geohash_decode"] = (f"WITH obs AS ({adapter_sql()}), z AS (SELECT DISTINCT "
                            f"{_strip('geohash')} AS geohash FROM obs) "
@@ -429,8 +431,8 @@ def oracle_sql() -> dict[str, str]:
         w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 50 ELSE 1.0 END AS width FROM mm),
         h AS (SELECT CAST(least(floor((demand - lo) / width) + 1, 50) AS INTEGER) AS bin, count(*) AS n
               FROM an CROSS JOIN w WHERE demand IS NOT NULL GROUP BY 1)
-        SELECT bin, {r('lo + (bin - 1) * width', 'bin_lo')}, {r('lo + bin * width', 'bin_hi')}, n
-        FROM h CROSS JOIN w"""
+        SELECT CAST(g.i AS INTEGER) AS bin, {r('lo + (g.i - 1) * width', 'bin_lo')}, {r('lo + g.i * width', 'bin_hi')}, coalesce(n, 0) AS n
+        FROM range(1, 51) g(i) CROSS JOIN w LEFT JOIN h ON h.bin = g.i"""
     s["demand_kde"] = f"""{BASE}, st AS (SELECT min(demand) AS lo, max(demand) AS hi,
           count(demand) AS n, stddev_samp(demand) AS sd FROM an),
         p AS (SELECT lo, hi, n, sd * pow(n, -1.0 / 5.0) AS h, (hi - lo) / 4096 AS width,
@@ -452,8 +454,8 @@ def oracle_sql() -> dict[str, str]:
         FROM t CROSS JOIN range(0, 100) g(i)"""
     s["sample_rows"] = (f"{BASE} SELECT row_id, {r('Temperature', 'Temperature')}, "
                         f"{r('demand', 'demand')} FROM ct "
-                        f"ORDER BY ((row_id % 1000003) * 7919 + 42) % 1000003, row_id LIMIT 1000")
-    s["kfold_assign"] = (f"{BASE} SELECT row_id, CAST(((row_id % 1000003) * 7919 + 42) % 1000003 % 5 "
+                        f"ORDER BY {_MIX}, row_id LIMIT 1000")
+    s["kfold_assign"] = (f"{BASE} SELECT row_id, CAST({_MIX} % 5 "
                          f"AS INTEGER) AS fold FROM lc WHERE day <= 24")
     s["oof_target_encode"] = (f"{BASE}, {_oof()} SELECT row_id, fold, split, "
                               f"{r('geo_mean_demand', 'geo_mean_demand')}, "
@@ -461,6 +463,24 @@ def oracle_sql() -> dict[str, str]:
                               f"{r('geo_median_demand', 'geo_median_demand')}, "
                               f"{r('geo_freq', 'geo_freq')}, geo_rank FROM fenc")
     s["blend"] = _blend_sql()
+    s["submission_roundtrip"] = f"{BASE} SELECT row_id AS Index, {r('geo_mean_demand', 'demand')} FROM ({_encode('cs')}) e"
+    s["encoder_roundtrip"] = s["stream_encode"] = s["target_encode"]
+    s["category_maps_roundtrip"] = s["category_codes_apply"]
+    members = "fenc JOIN lc USING (row_id)"
+    s["oof_assembly"] = (f"{BASE}, {_oof()} SELECT row_id AS Index, {r('demand', 'demand_true')}, fold, {r('geo_mean_demand', 'pred_cat')}, "
+                         f"{r('geo_median_demand', 'pred_lgb')}, {r('0.6 * geo_mean_demand + 0.4 * geo_median_demand', 'pred_ensemble_blend')} "
+                         f"FROM {members} WHERE split = 'val'")
+    s["holdout_average"] = (f"{BASE}, {_oof()} SELECT row_id, {r('avg(geo_mean_demand)', 'pred_cat')}, {r('avg(geo_median_demand)', 'pred_lgb')} "
+                            f"FROM fenc WHERE split = 'holdout' GROUP BY row_id")
+    s["fold_metrics_baseline"] = f"""{BASE}, {_oof()}, v AS (SELECT * FROM {members} WHERE split = 'val'),
+        l AS (SELECT fold, demand, 'zone_mean' AS model, geo_mean_demand AS prediction FROM v
+              UNION ALL SELECT fold, demand, 'zone_median', geo_median_demand FROM v)
+        SELECT fold, model, {r('1 - sum(pow(demand - prediction, 2)) / (var_pop(demand) * count(*))', 'r2')},
+          {r('sqrt(sum(pow(demand - prediction, 2)) / count(*))', 'rmse')}, {r('avg(abs(demand - prediction))', 'mae')}, count(*) AS n
+        FROM l WHERE demand IS NOT NULL AND prediction IS NOT NULL GROUP BY fold, model"""
+    s["dedup_report"] = f"""WITH obs AS ({adapter_sql()}), d AS (SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE row_id % 29 = 0)
+        SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS kept,
+          count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS dropped FROM d"""
     s["regression_metrics"] = f"""{BASE}, e AS ({_encode('an')}),
         l AS (SELECT CASE WHEN day <= 24 THEN 'train' ELSE 'holdout' END AS split, demand,
                 'zone_mean' AS model, geo_mean_demand AS prediction FROM e

@@ -9,15 +9,14 @@ from pyspark.sql import types as T
 
 from zonecast.schema import OBS_SCHEMA
 
-# Text tokens read as missing (pandas' default NA set, case-insensitive subset).
-NA_TOKENS = ["", "NA", "N/A", "NAN", "NULL", "NONE", "<NA>", "-NAN", "#N/A", "N/A N/A",
-             "#NA", "-1.#IND", "1.#IND", "-1.#QNAN", "1.#QNAN", "-NaN", "nan", "n/a"]
-_NA_UPPER = sorted({t.upper() for t in NA_TOKENS})
+# The texts that a CSV reader takes as missing, exactly as written (case and blanks count).
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+             "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def na_to_null(c: Column) -> Column:
-    """NULL for any NA token (after trimming spaces), else the value unchanged."""
-    return F.when(F.upper(F.trim(c)).isin(_NA_UPPER), F.lit(None)).otherwise(c)
+    """NULL for any missing-value token, else the value unchanged."""
+    return F.when(~c.isin(NA_TOKENS), c)
 
 
 def nan_to_null(c: Column) -> Column:
@@ -25,25 +24,26 @@ def nan_to_null(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def read_observations_csv(spark: SparkSession, path: str, with_target: bool = True) -> DataFrame:
-    """CSV with header.  Columns are matched by header *name* (order and
-    extra columns do not matter; an absent column is NULL); every field is read
-    as text, NA tokens become NULL and numbers are coerced with ``try_cast``."""
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("mode", "PERMISSIVE").csv(path))
+def observations_from_text(raw: DataFrame) -> DataFrame:
+    """Typed observations from text columns (batch or stream).  Columns are matched by *name* (order and
+    extra columns do not matter; an absent column is NULL, an absent target is left out);
+    missing-value tokens become NULL and numbers are coerced, integers through double (``48.0``)."""
     present = set(raw.columns)
 
     def text(name: str):
         return na_to_null(F.col(f"`{name}`")) if name in present else F.lit(None).cast("string")
 
-    def num(name: str, kind: str = "double"):
-        v = text(name).try_cast(kind)
-        return nan_to_null(v) if kind == "double" else v
+    def num(name: str):
+        return nan_to_null(text(name).try_cast("double"))
+
+    def whole(name: str, kind: str):
+        exact, d = text(name).try_cast(kind), num(name)
+        return F.coalesce(exact, F.when(d == F.floor(d), d.try_cast(kind)))
 
     out = raw.select(
-        num("Index", "bigint").alias("row_id"),
+        whole("Index", "bigint").alias("row_id"),
         text("geohash").alias("geohash"),
-        num("day", "int").alias("day"),
+        whole("day", "int").alias("day"),
         text("timestamp").alias("timestamp"),
         text("RoadType").alias("RoadType"),
         num("NumberofLanes").alias("NumberofLanes"),
@@ -53,7 +53,31 @@ def read_observations_csv(spark: SparkSession, path: str, with_target: bool = Tr
         text("Weather").alias("Weather"),
         num("demand").alias("demand"),
     )
-    return out if with_target and "demand" in present else out.drop("demand")
+    return out if "demand" in present else out.drop("demand")
+
+
+def _text_csv(spark: SparkSession, path: str) -> DataFrame:
+    # blanks are kept and only the tokens above are missing, so a blank-only category stays a value
+    return (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def read_observations_csv(spark: SparkSession, path: str, with_target: bool = True) -> DataFrame:
+    """CSV with header, see ``observations_from_text``."""
+    out = observations_from_text(_text_csv(spark, path))
+    return out if with_target else out.drop("demand")
+
+
+def stream_observations_csv(spark: SparkSession, path: str, files_per_trigger: int = 100,
+                            columns: list[str] | None = None) -> DataFrame:
+    """S1 as a stream.  A stream's schema is fixed at its start, so the column order comes from the header
+    of the files there (or ``columns`` for a folder that is still empty); a later file with another header
+    is an error, never a silent shift of columns."""
+    columns = columns or _text_csv(spark, path).columns
+    raw = (spark.readStream.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+           .option("header", True).option("enforceSchema", False).option("maxFilesPerTrigger", files_per_trigger)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return observations_from_text(raw)
 
 
 def read_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -79,8 +103,9 @@ def read_optional(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    """Submission / OOF CSV with inferred-free typed columns."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Submission / OOF CSV: ``Index`` long, every other column double; what does not parse is NULL."""
+    raw = _text_csv(spark, path)
+    return raw.select(*[na_to_null(F.col(f"`{c}`")).try_cast("bigint" if c == "Index" else "double").alias(c) for c in raw.columns])
 
 
 def literal_observations(spark: SparkSession, rows: list[dict]) -> DataFrame:

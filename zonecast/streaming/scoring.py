@@ -35,12 +35,12 @@ def observation_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int
 def observation_file_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                             files_per_trigger: int = 100) -> DataFrame:
     """A live feed of observation files (parquet, or CSV with header) landing in
-    ``path``; the schema is fixed up front (no inference on a stream)."""
+    ``path``; the schema is fixed up front (no inference on a stream; CSV columns go by header name)."""
     from zonecast.schema import OBS_SCHEMA
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "csv":
-        reader = reader.option("header", True)
-        return reader.schema(OBS_SCHEMA).csv(path)
+        from zonecast.sources.readers import stream_observations_csv
+        return stream_observations_csv(spark, path, files_per_trigger)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     return reader.schema(OBS_SCHEMA).parquet(path)
 
 
