@@ -177,20 +177,19 @@ def test_components_of_long_chains(spark):
 def brute_chunks(text):
     """Chunk ends by the rolling definition."""
     data, table = (text or "").encode(), substring_dedup.gear().tolist()
-    ends, last, h = [], 0, 0
-    for i, b in enumerate(data):
+    hashes, h = [], 0
+    for b in data:
         h = ((h << 1) + table[b]) & 0xFFFFFFFF
-        end = i + 1
-        inside = end == len(data) or data[end] & 0xC0 != 0x80
-        if end - last >= substring_dedup.MIN and h >> 32 - substring_dedup.MASK_BITS == 0 and inside and end - last <= substring_dedup.MAX:
-            ends.append(end)
-            last = end
-        while len(data[last:end]) > substring_dedup.MAX:
-            cut = last + substring_dedup.MAX
-            while data[cut] & 0xC0 == 0x80:
-                cut -= 1
-            ends.append(cut)
-            last = cut
+        hashes.append(h)
+    ends, last = [], 0
+    while len(data) - last > substring_dedup.MIN:
+        # an end that is no character's start cannot be chosen
+        able = [e for e in range(last + substring_dedup.MIN, len(data) + 1) if e == len(data) or data[e] & 0xC0 != 0x80]
+        cut = next((e for e in able if hashes[e - 1] >> 32 - substring_dedup.MASK_BITS == 0), len(data))
+        if cut - last > substring_dedup.MAX:
+            cut = max((e for e in able if e <= last + substring_dedup.MAX), key=lambda e: (hashes[e - 1], -e))
+        ends.append(cut)
+        last = cut
     if last < len(data):
         ends.append(len(data))
     return ends
@@ -201,7 +200,7 @@ def test_chunk_ends_follow_the_rolling_hash():
 
     from zonecast.llm.common import text_buffer
 
-    texts = ["", None, "short", words(400, 1), "é" * 3000, "a" * 5000, words(50, 2) + " ñandú " * 40, "x" * 33]
+    texts = ["", None, "short", words(400, 1), "é" * 3000, "a" * 5000, words(50, 2) + " ñandú " * 40, "x" * 33, "Heat " * 300, words(9) + " Heat" * 300]
     data, offsets = text_buffer(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]))
     for t, ends in zip(texts, substring_dedup.cut_points(data, offsets)):
         assert ends == brute_chunks(t), (t or "")[:20]
@@ -222,6 +221,12 @@ def test_repeated_passages_are_found_despite_insertions(spark):
         assert len(left[r.doc_id].encode()) == len(texts[r.doc_id]) - r.length
 
 
+def test_repeated_words_are_found_at_any_phase(spark):
+    docs = spark.createDataFrame([document(i, f"{words(20 + i, i, 10 ** 6)} " + "Heat " * 400) for i in range(4)], CLASHING)
+    got = substring_dedup.duplicate_spans(docs).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.length > 1500 for r in got)
+
+
 def test_spans_of_odd_rows(spark):
     docs = odd(spark)
     spans = substring_dedup.duplicate_spans(docs)

@@ -1,8 +1,8 @@
 """Operator 2: substring deduplication by content-defined chunking.
 
 A gear hash rolls over a text's bytes: ``h = (h << 1) + gear[byte]`` modulo 2^32, so it depends on the
-last 32 bytes alone.  A chunk ends where the top bits of the hash are zero, at ``MIN`` bytes
-or more, or at ``MAX``.  An insertion moves only the chunks around it; after the next shared end the chunks of two
+last 32 bytes alone.  A chunk ends where the top bits of the hash are zero, at ``MIN`` bytes or
+more; if that is nowhere up to ``MAX`` bytes, where the hash is greatest.  An insertion moves only the chunks around it; after the next shared end the chunks of two
 texts agree again.  Chunks are known by a 128-bit digest; a chunk that a document of smaller id has
 too is a repeat.  Runs of repeated chunks of ``MIN_RUN`` bytes or more are duplicate spans.
 
@@ -63,17 +63,17 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """For each text the ends of its chunks, in bytes of the text."""
     starts_char = np.ones(len(data) + 1, bool)
     starts_char[:-1] = data & 0xC0 != 0x80
-    found = np.flatnonzero((gear_hashes(data) >> np.uint32(32 - MASK_BITS) == 0) & starts_char[1:]) + 1
+    h = gear_hashes(data)
+    found = np.flatnonzero((h >> np.uint32(32 - MASK_BITS) == 0) & starts_char[1:]) + 1
     for a, z in zip(offsets.tolist(), offsets[1:].tolist()):
         lo, hi = np.searchsorted(found, (a, z + 1)).tolist()
         ends, last, here = [], a, found[lo:hi].tolist()
         while z - last > MIN:
             k = bisect_left(here, last + MIN)
             end = here[k] if k < len(here) else z
-            if end - last > MAX:
-                end = last + MAX
-                while not starts_char[end]:
-                    end -= 1
+            if end - last > MAX:  # as in text that repeats a word: the greatest hash so far, so that its phase decides
+                reach = np.where(starts_char[last + MIN:last + MAX + 1], h[last + MIN - 1:last + MAX], 0)
+                end = last + MIN + int(reach.argmax())
             ends.append(end - a)
             last = end
         if last < z:
