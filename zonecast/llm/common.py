@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,19 @@ def text_buffer(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray
     return data[offsets[0]:offsets[-1]] if len(col) else data[:0], offsets - offsets[0]
 
 
+def portions(it: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts have about ``limit`` bytes (a longer text comes alone), so
+    that work arrays of several times a run's size stay small."""
+    for b in it:
+        col = b.column(b.schema.get_field_index(column))
+        size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            upto = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")), at + 1)
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Integer sums of ``values`` over the segments that ``offsets`` bounds (exact, so a document's
     sum does not depend on the batch it lies in)."""

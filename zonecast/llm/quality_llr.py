@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.common import segment_sums, text_buffer, text_bytes
+from zonecast.llm.common import portions, segment_sums, text_buffer, text_bytes
 
 N_GRAM = 4
 #: log2 of the number of hash buckets.
@@ -69,7 +69,7 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, good = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
-    for b in it:
+    for b in portions(it):
         data, offsets = text_buffer(b)
         bucket, whole = gram_buckets(data, offsets)
         raw += np.bincount(bucket[whole], minlength=1 << BUCKET_BITS)
@@ -124,7 +124,7 @@ def best_threshold(labelled: DataFrame, table: np.ndarray) -> float:
     model = QualityModel(table, 0.0)
 
     def bins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it):
             at = np.floor(score_batch(model, b) / BIN).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(b.schema.get_field_index("good"))], ["bin", "good"])
 
@@ -183,7 +183,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it):
             cols = rule_columns(b)
             s = score_batch(shared.value, b)
             cols |= {"kept": ~cols["base_failed"] & (s >= shared.value.threshold), "score": s}
@@ -197,7 +197,7 @@ def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in portions(it):
             ok = ~rule_columns(b)["base_failed"] & (score_batch(shared.value, b) >= shared.value.threshold)
             yield b.filter(pa.array(ok))
 
