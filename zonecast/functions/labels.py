@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from zonecast.schema import (DEMAND_CLASS_CUTS, DEMAND_CLASS_ELSE, DELTA_HIGH, DELTA_LOW,
+from zonecast.schema import (PEAK_LABELS, DEMAND_CLASS_CUTS, DEMAND_CLASS_ELSE, DELTA_HIGH, DELTA_LOW,
                              RISK_CAP, RISK_SCALE, STATUS_HIGH, STATUS_LOW, STATUS_STABLE)
 
 
@@ -35,7 +35,7 @@ def delta_status(delta: Column) -> Column:
 
 
 def peak_label(is_peak: Column) -> Column:
-    return F.when(is_peak == 1, "Peak Rush Hours").when(is_peak == 0, "Off-Peak Hours")
+    return F.when(is_peak == 1, PEAK_LABELS[1]).when(is_peak == 0, PEAK_LABELS[0])
 
 
 def clip(c: Column, lo: float | None, hi: float | None) -> Column:

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.operators.joins import maybe_broadcast
+from zonecast.operators.ranking import grouped_row_number
 
 NULL_TEXT = "nan"  # a missing category is coded as its text form
 
 
 def category_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, category, code): distinct values per column in code-point
-    order, 0-based.  The window is partitioned by column, so each task holds one
-    column's distinct values (bounded by that column's cardinality)."""
+    order, 0-based, numbered without a task that holds all values of a column."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, category)")
     long = long.withColumn("category", F.coalesce("category", F.lit(NULL_TEXT))).distinct()
-    w = Window.partitionBy("column_name").orderBy("category")
-    return long.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    numbered = grouped_row_number(long, "column_name", [F.col("category").asc()], "code")
+    return numbered.select("column_name", "category", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, table: DataFrame, cols: list[str], n_rows: int | None = None,

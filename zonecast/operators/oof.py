@@ -1,8 +1,7 @@
 """Out-of-fold target encoding (E5) in one pass.
 
-Each training row is exploded into the k - 1 folds that train on it; per-fold
-zone / prefix / global statistics are then ordinary group-bys keyed by
-``fold``.  Validation rows join their own fold's statistics; holdout rows are
+Sums and deviations merge, so rows are aggregated once per own fold and only those partials
+reach the k - 1 folds that train on them; medians read the exploded demand column.  Validation rows join their own fold's statistics; holdout rows are
 encoded once per fold (k copies), as the per-fold models score them.
 """
 
@@ -12,23 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions.geo import geo_prefix
-from zonecast.operators.encoding import (PREFIX_LEVELS, global_stats, prefix_stats, rank_order,
-                                         zone_stats)
+from zonecast.operators.encoding import PREFIX_LEVELS, prefix_stats, rank_order
 from zonecast.operators.folds import explode_training_folds
 from zonecast.operators.joins import maybe_broadcast
+from zonecast.operators.quantiles import exact_quantiles
 from zonecast.operators.ranking import grouped_row_number
 from zonecast.session import cut_lineage, materialize, scratch_dir
 
 
+def _combined(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """Sums of demand over the other folds: the rows are aggregated once per (own fold, key); only those partials
+    are sent to the k - 1 folds that train on them.  ``n``, ``s`` (sum), ``m2`` (squared deviations)."""
+    d = F.col("demand")
+    own = rows.groupBy("fold", *keys).agg(F.count(d).alias("n"), F.sum(d).alias("s"), (F.var_pop(d) * F.count(d)).alias("m2"))
+    out = explode_training_folds(own, k).groupBy("fold", *keys).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m2").alias("within"), F.sum(F.when(F.col("n") > 0, F.col("s") * F.col("s") / F.col("n"))).alias("sq"))
+    between = F.col("sq") - F.col("s") * F.col("s") / F.when(F.col("n") > 0, F.col("n"))
+    return out.select("fold", *keys, "n", "s", (F.col("within") + F.greatest(between, F.lit(0.0))).alias("m2"))
+
+
 def fold_encoders(cv_rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(zones, prefixes, globals) keyed by fold."""
-    ex = explode_training_folds(cv_rows, k)
+    spark = cv_rows.sparkSession
+    slim = cv_rows.select("fold", "geohash", "demand")
+    ex = explode_training_folds(slim, k)  # only the medians read it
+    zoned = F.col("geohash").isNotNull()
+    n = F.col("n")
+    stats = _combined(slim.where(zoned), k, ["geohash"]).select(
+        "fold", "geohash", (F.col("s") / F.when(n > 0, n)).alias("geo_mean_demand"),
+        F.coalesce(F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))), F.lit(0.0)).alias("geo_std_demand"),
+        n.alias("geo_freq"), F.col("s").alias("sum_demand"))
+    median = exact_quantiles(ex.where(zoned), "demand", ["fold", "geohash"], {"geo_median_demand": 0.5})
     # written once: the ranking, its counts and every later join read the finished statistics
-    zones = materialize(zone_stats(ex, ["fold"]), scratch_dir(cv_rows.sparkSession, "fold-zones"))
+    zones = materialize(stats.join(median, ["fold", "geohash"], "left"), scratch_dir(spark, "fold-zones"))
     # rank within a fold, distributed (no single task holds a fold's zone table)
     zones = cut_lineage(grouped_row_number(zones, "fold", rank_order(), "geo_rank"))
-    prefixes = cut_lineage(prefix_stats(ex, ["fold"], partials=zones))
-    glob = global_stats(ex, ["fold"])
+    prefixes = cut_lineage(prefix_stats(slim, ["fold"], partials=zones))
+    whole = _combined(slim, k, []).select("fold", (F.col("s") / F.when(n > 0, n)).alias("global_mean"))
+    glob = whole.join(exact_quantiles(ex, "demand", ["fold"], {"global_median": 0.5}), "fold", "left")
     counts = zones.groupBy("fold").agg(F.count("*").alias("n_zones"),
                                        F.max("geo_freq").alias("max_freq"))
     glob = cut_lineage(glob.join(counts, "fold", "left"))

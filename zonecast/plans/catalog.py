@@ -36,7 +36,7 @@ from zonecast.session import cut_lineage, scratch_dir
 from zonecast.sources import sinks
 from zonecast.sources.readers import read_submission
 from zonecast.streaming.scoring import observation_stream
-from zonecast.schema import CATEGORICAL_FEATURES
+from zonecast.schema import CATEGORICAL_FEATURES, CORR_COLUMNS, CORR_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +47,6 @@ SEED = 42
 EVENTS = [{"event_type": t, "attendance_k": k}
           for t in ["Music Concert", "Sports Game", "City Festival", "Conference"]
           for k in (20, 50, 100)]
-CORR_COLUMNS = ["demand", "hour", "NumberofLanes", "Temperature", "day"]
-CORR_FEATURES = ["demand", "hour", "minute", "total_minutes", "latitude", "longitude",
-                 "NumberofLanes", "Temperature", "weather_severity", "lane_capacity",
-                 "geo_freq", "geo_mean_demand", "geo_density", "geo_rank",
-                 "congestion_capacity_ratio", "temp_weather_interaction"]
 
 
 # --- scans and cleaning ------------------------------------------------------

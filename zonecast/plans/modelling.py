@@ -19,6 +19,7 @@ from zonecast.operators.scenarios import (apply_overrides, explode_scenarios, in
                                           incident_parameters)
 from zonecast.operators.validation import validate_submission
 from zonecast.plans.context import context, rounded
+from zonecast.schema import BASE_REQUEST
 
 # Rounds are a parameter (the reference uses 1000 with patience 50 in CV and
 # 1200 final); the registered queries use a small count so the check stays fast.
@@ -149,11 +150,8 @@ def q_scenario_incident_scores(spark, sf):
     e = experiment(spark, sf)
     zones = zone_map(e.ctx.train_rows).select("geohash")
     base = zones.select(
-        F.xxhash64("geohash").alias("row_id"), "geohash", F.lit(48).alias("day"),
-        F.lit("08:30").alias("timestamp"), F.lit("Highway").alias("RoadType"),
-        F.lit(4).alias("NumberofLanes"), F.lit("Allowed").alias("LargeVehicles"),
-        F.lit("No").alias("Landmarks"), F.lit(18.0).alias("Temperature"),
-        F.lit("Cloudy").alias("Weather"), F.lit(None).cast("double").alias("demand"))
+        F.xxhash64("geohash").alias("row_id"), "geohash", *[F.lit(v).alias(c) for c, v in BASE_REQUEST.items()],
+        F.lit(None).cast("double").alias("demand"))
     grid = incident_parameters(explode_scenarios(_with_base_score(e, base), incident_grid()))
     sims = grid.withColumns({"NumberofLanes": F.col("sim_lanes"), "Weather": F.col("sim_weather")})
     sim = e.final.score(sims.drop("sim_lanes", "sim_weather"),

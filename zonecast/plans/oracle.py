@@ -7,6 +7,7 @@ functions.  Doubles are rounded like the Spark side.
 
 from __future__ import annotations
 
+from zonecast.schema import CORR_COLUMNS, CORR_FEATURES
 from zonecast.sources.adapter import adapter_sql
 
 R = 9  # rounding digits for doubles
@@ -410,13 +411,10 @@ def oracle_sql() -> dict[str, str]:
     s["demand_profile"] = (f"{BASE} SELECT {r('min(demand)', 'min')}, {r('max(demand)', 'max')}, "
                            f"{r('avg(demand)', 'mean')}, {r('stddev_samp(demand)', 'std')}, "
                            f"{r('quantile_cont(demand, 0.5)', 'median')} FROM an")
-    s["correlation"] = f"{BASE} " + _corr(["demand", "hour", "NumberofLanes", "Temperature", "day"],
+    s["correlation"] = f"{BASE} " + _corr(CORR_COLUMNS,
                                           "an", 6)
     s["feature_correlation"] = (f"{BASE}, ft AS ({_feat()}) " + _corr(
-        ["demand", "hour", "minute", "total_minutes", "latitude", "longitude", "NumberofLanes",
-         "Temperature", "weather_severity", "lane_capacity", "geo_freq", "geo_mean_demand",
-         "geo_density", "geo_rank", "congestion_capacity_ratio", "temp_weather_interaction"],
-        "ft", 6))
+        CORR_FEATURES, "ft", 6))
     s["weather_box"] = f"""{BASE}, b AS (SELECT Weather, demand FROM an
           WHERE Weather IS NOT NULL AND demand IS NOT NULL),
         q AS (SELECT Weather, quantile_cont(demand, 0.25) AS q1, quantile_cont(demand, 0.5) AS median,

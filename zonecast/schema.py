@@ -59,6 +59,16 @@ INCIDENT_SURGE_PER_SEVERITY = 0.15
 BLEND_PAIR = {"cat": 0.6, "lgb": 0.4}
 BLEND_TRIO = {"cat": 0.5, "lgb": 0.3, "xgb": 0.2}
 EXPECTED_SUBMISSION_COLUMNS = ["Index", "demand"]
+PEAK_LABELS = {1: "Peak Rush Hours", 0: "Off-Peak Hours"}
+# columns of the small and the large correlation matrix
+CORR_COLUMNS = ["demand", "hour", "NumberofLanes", "Temperature", "day"]
+CORR_FEATURES = ["demand", "hour", "minute", "total_minutes", "latitude", "longitude",
+                 "NumberofLanes", "Temperature", "weather_severity", "lane_capacity",
+                 "geo_freq", "geo_mean_demand", "geo_density", "geo_rank",
+                 "congestion_capacity_ratio", "temp_weather_interaction"]
+# the request form's values, used as the base observation of incident scenarios
+BASE_REQUEST = {"day": 48, "timestamp": "08:30", "RoadType": "Highway", "NumberofLanes": 4, "LargeVehicles": "Allowed",
+                "Landmarks": "No", "Temperature": 18.0, "Weather": "Cloudy"}
 
 CATEGORICAL_FEATURES = ["RoadType", "LargeVehicles", "Landmarks", "Weather",
                         "time_block", "road_lane_interaction", "road_weather"]
