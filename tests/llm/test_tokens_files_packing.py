@@ -30,14 +30,12 @@ def test_encoder_equals_library(plain):
     assert enc.ids(None) == b""
 
 
-def test_encoder_caches_are_bounded(monkeypatch, plain):
-    from zonecast.llm import tokens
-
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
-    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
-    enc = Encoder(PATH)
-    for t in ["alpha beta gamma delta", "epsilon zeta eta theta iota", "alpha zeta kappa lambda mu nu"]:
+def test_encoder_caches_are_bounded(plain):
+    enc = Encoder(PATH, cache=8)
+    texts = ["alpha beta gamma delta", "epsilon zeta eta theta iota", "alpha zeta kappa lambda mu nu", "alpha beta", "Über café naïve", "alpha, beta. gamma!"]
+    for t in texts * 3:
         assert enc.ids(t) == plain(t)
+    assert len(enc.words) <= 8 + 6 and len(enc.pieces) <= 4
 
 
 def test_crc32c_known_values_and_any_length():

@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and that no later step reads, to free the shared folder."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; NULL becomes empty."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -73,6 +81,8 @@ def portions(it: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "
             upto = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")), at + 1)
             yield b.slice(at, upto - at)
             at = upto
+        del b, col
+        pa.default_memory_pool().release_unused()  # workers live on: give a finished batch's memory back
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

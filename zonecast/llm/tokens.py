@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-#: Entries that a worker's caches may hold; they are emptied beyond that.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
+#: Words that a worker keeps (about 300 bytes each with its pieces): a larger cache spares encoding, a
+#: smaller one memory.
+CACHE = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,7 +29,7 @@ class Encoder:
     """``ids(text)``: little-endian unsigned 32-bit token ids, as
     ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -36,6 +37,7 @@ class Encoder:
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        self.most_words, self.most_pieces = cache, cache // 2
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         if self.by_word:
@@ -50,7 +52,7 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= CACHE_PIECES:
+            if len(self.pieces) >= self.most_pieces:
                 self.pieces.clear()
             mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
             ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(mapped))
@@ -72,7 +74,7 @@ class Encoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) >= CACHE_WORDS:
+        if len(known) >= self.most_words:
             known.clear()
             known[""] = b""
         for w in set(words).difference(known):
@@ -80,11 +82,12 @@ class Encoder:
         return b"".join([known[w] for w in words])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
