@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.common import documents, text_bytes, written
+from zonecast.llm.common import discard, documents, text_bytes, written
 from zonecast.llm.components import components
 
 #: Bits of a group's shingle map, groups in a block of a crowded token, members compared at once.
@@ -58,7 +58,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -93,11 +93,11 @@ def class_bounds(percent: int) -> tuple[int, ...]:
 @lru_cache(maxsize=None)
 def class_buckets(c: int, percent: int) -> tuple[int, int]:
     """Buckets of a class, and the largest symmetric difference of two sets that link and of which
-    the smaller has a size of the class.  A fifth more buckets than needed leaves some free to be empty."""
+    the smaller has a size of the class.  An eighth more buckets than needed leaves some free to be empty."""
     top = class_bounds(percent)[c]
     both = top + top * 100 // percent
     apart = (100 - percent) * both // (100 + percent)
-    return apart + 1 + (1 + apart // 5 if apart else 0), apart
+    return apart + 1 + (1 + apart // 8 if apart else 0), apart
 
 
 def matrix_tokens(s: np.ndarray, percent: int) -> np.ndarray:
@@ -321,17 +321,19 @@ def _hits(rows: list[dict], percent: int) -> set[int]:
 def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``; component: least id reachable by links."""
     sig = signatures(docs, w, percent)
-    # 1. one row per set; tokens that two sets or more hold
-    sets = sig.where(F.col("f").isNotNull()).select("f", "tokens", "doc_id")
-    rows = sets.select("f", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("token", "lo")
-    shared = written(shared, "jaccard-shared")
+    meta = written(sig.select("doc_id", "n", "f"), "jaccard-meta")
+    # 1. one document a set; tokens that two sets or more hold
+    rows = _first_of_each(sig, meta).select("f", F.explode("tokens").alias("token"))
+    shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "jaccard-shared")
     cells = written(_match(rows, shared).distinct(), "jaccard-cells")
+    discard(sig)
     # 2. groups of similar sets: those that link with the least set of a token they hold
-    involved = cells.select("f").distinct()
-    some = written(_narrow(sets.select("f", "doc_id"), involved, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id")), "jaccard-involved")
+    lead = cells.groupBy("token").agg(F.min("f").alias("a"), F.max("f").alias("hi")).where("a < hi").select("token", "a")
+    lead = written(cells.join(lead, "token").select("a", F.col("f").alias("b")).distinct(), "jaccard-leads")
+    involved = lead.select(F.col("b").alias("f")).distinct()  # a set leads only where it is a member too
+    some = written(_narrow(meta.select("f", "doc_id"), involved, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id")), "jaccard-involved")
     full = shingle_sets(docs, some, w)
-    stars = compare(cells.select(F.col("lo").alias("a"), F.col("f").alias("b")).where("a <> b").distinct(), full, percent)
+    stars = compare(lead.where("a <> b"), full, percent)
     first = written(stars, "jaccard-stars")
     labels = components(first).select(F.col("v").alias("f"), F.col("root").alias("label"))
     # 3. tokens that several groups hold; open the groups that qualify
@@ -342,15 +344,24 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFr
     second = opened(pairs, full, labels, percent)
     # 4. components of all links
     root = components(first.union(second)).select(F.col("v").alias("f"), "root")
-    rooted = sig.select("doc_id", "n", "f").join(root, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "f").alias("root"))
+    rooted = meta.join(root, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "f").alias("root"))
     least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(least, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _first_of_each(sig: DataFrame, meta: DataFrame) -> DataFrame:
+    """The rows of ``sig`` with shingles, of equal sets only those of the least document id."""
+    first = (meta.where(F.col("f").isNotNull()).groupBy("f").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
+             .where("m > 1").select(F.col("f").alias("g"), "first"))
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = sig.where(F.col("f").isNotNull()).join(F.broadcast(first) if few else first, F.col("f") == F.col("g"), "left")
+    return marked.where(F.col("g").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
+
+
 def _match(rows: DataFrame, shared: DataFrame) -> DataFrame:
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(shared) if few else shared, "token").select("token", "f", "lo")
+    return rows.join(F.broadcast(shared) if few else shared, "token").select("token", "f")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
