@@ -88,6 +88,26 @@ def test_filter_levels_never_fall_short(spark):
     assert len(small.words) * 8 <= 1200 and (small.levels("pair", key.astype(np.uint64)) >= want).all()
 
 
+def test_scores_beyond_the_broadcast_bound(spark, monkeypatch):
+    """A filter above the bound keeps its size: probed in bands of slices it gives the broadcast filter's scores."""
+    monkeypatch.setattr(bloom_lm, "SLICE_TOKENS", 2000)
+    monkeypatch.setattr(bloom_lm, "SCORE_BYTES", 20_000)
+    monkeypatch.setattr(bloom_lm, "BAND_BYTES", 30_000)
+    for docs in (spark.read.parquet(f"{SMALL}/documents.parquet"), odd(spark)):
+        split = bloom_lm.split_rows(docs)
+        model, vocabulary = bloom_lm.fit(split)
+        far, _ = bloom_lm.fit(split, vocabulary, max_filter_bytes=100)
+        assert far.filter is None and (far.sizes.sum() * 8 > 3 * 30_000 or docs.count() < 100)
+        row = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score)
+        want = sorted(map(row, bloom_lm.score(split, model, vocabulary).collect()))
+        got = sorted(map(row, bloom_lm.score(split, far, vocabulary).collect()))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [x for g in got for x in g[3:]] == pytest.approx([x for w in want for x in w[3:]], rel=1e-9)
+        both = bloom_lm.assembled(far.sizes, far.stored.toLocalIterator())
+        unseen = np.random.default_rng(3).integers(0, 1 << 62, 50_000).astype(np.uint64)
+        assert all((both.levels(k, unseen) > 0).mean() < 0.02 for k in bloom_lm.KINDS)
+
+
 def test_codebook_decodes_within_its_step():
     for kind, step in (("pair", bloom_lm.PAIR_STEP), ("word", bloom_lm.WORD_STEP)):
         c = np.unique(np.concatenate([np.arange(1, 50), np.geomspace(50, 10 ** 9, 400).astype(np.int64)]))
