@@ -108,6 +108,28 @@ def test_scores_beyond_the_broadcast_bound(spark, monkeypatch):
         assert all((both.levels(k, unseen) > 0).mean() < 0.02 for k in bloom_lm.KINDS)
 
 
+def test_bigrams_seen_once_are_held(spark, monkeypatch):
+    """The filter holds each counted bigram and each history's followers, those seen once too."""
+    monkeypatch.setattr(bloom_lm, "SLICE_TOKENS", 5000)
+    split = bloom_lm.split_rows(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    h, offsets = bloom_lm.word_hashes([r.text.encode() for r in split.where("not held_out").collect()])
+    pair, c = np.unique(bloom_lm.pairs_of(h, offsets)[1], return_counts=True)
+    first, kinds = np.unique(pair >> np.uint64(28), return_counts=True)
+    f = bloom_lm.fit(split)[0].filter
+    for kind, key, n in (("pair", pair, c), ("kinds", first[kinds > 1], kinds[kinds > 1] - 1)):
+        want, got = np.searchsorted(bloom_lm.BOOKS[kind], n, "right"), f.levels(kind, key)
+        assert (want == 1).sum() > 100 and (got >= want).all() and (got > want).mean() < 0.02
+
+
+def test_a_held_out_bigram_seen_once_scores_as_seen(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(ids[0], "m a b n"), (ids[1], "m a c n"), (ids[2], "o b c p"), (held[0], "x a b"), (held[1], "x b a")] + [(i, "m a o b n p") for i in ids[3:5]]
+    docs = bloom_lm.split_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in bloom_lm.score(docs, *bloom_lm.fit(docs)).collect()}
+    assert got[held[0]] > got[held[1]] + 0.1
+
+
 def test_codebook_decodes_within_its_step():
     for kind, step in (("pair", bloom_lm.PAIR_STEP), ("word", bloom_lm.WORD_STEP)):
         c = np.unique(np.concatenate([np.arange(1, 50), np.geomspace(50, 10 ** 9, 400).astype(np.int64)]))
