@@ -221,6 +221,30 @@ def test_repeated_passages_are_found_despite_insertions(spark):
         assert len(left[r.doc_id].encode()) == len(texts[r.doc_id]) - r.length
 
 
+def test_passages_of_51_words_at_any_offset_are_marked_whole(spark):
+    n, rows, spans = 300, [], {}
+    for i in range(n):
+        passage = words(51, 5000 + i, 10 ** 6)
+        for d in (i, n + i):
+            before = words(5 + (d * 7) % 60, 10 ** 5 + d, 10 ** 6) + " "
+            rows.append(document(d, before + passage + " " + words(10 + d % 40, 2 * 10 ** 5 + d, 10 ** 6)))
+        spans[n + i] = (len(before.encode()), len(passage.encode()))
+    got = {r.doc_id: r for r in substring_dedup.duplicate_spans(spark.createDataFrame(rows, CLASHING)).collect()}
+    assert set(got) == set(spans)
+    for d, (start, length) in spans.items():
+        r = got[d]
+        assert r.start <= start and r.start + r.length >= start + length and r.length < length + 12 and r.first_doc_ids == [d - n]
+
+
+def test_spans_extend_over_several_reaches(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "REACH", 7)
+    passage = "é" * 3 + "ñandú " + words(51, 3, 10 ** 6) + " ü€" * 3
+    docs = spark.createDataFrame([document(i, f"{words(20 + i, i, 10 ** 6)} {passage}{'àâ'[i]} {words(9, 50 + i, 10 ** 6)}") for i in range(2)], CLASHING)
+    (r,) = substring_dedup.duplicate_spans(docs).collect()
+    text = docs.where("doc_id = 1").first().text.encode()
+    assert passage in text[r.start:r.start + r.length].decode()
+
+
 def test_repeated_words_are_found_at_any_phase(spark):
     docs = spark.createDataFrame([document(i, f"{words(20 + i, i, 10 ** 6)} " + "Heat " * 400) for i in range(4)], CLASHING)
     got = substring_dedup.duplicate_spans(docs).collect()

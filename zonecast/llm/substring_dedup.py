@@ -3,11 +3,14 @@
 A gear hash rolls over a text's bytes: ``h = (h << 1) + gear[byte]`` modulo 2^32, so it depends on the
 last 32 bytes alone.  A chunk ends where the top bits of the hash are zero, at ``MIN`` bytes or
 more; if that is nowhere up to ``MAX`` bytes, where the hash is greatest.  An insertion moves only the chunks around it; after the next shared end the chunks of two
-texts agree again.  Chunks are known by a 128-bit digest; a chunk that a document of smaller id has
-too is a repeat.  Runs of repeated chunks of ``MIN_RUN`` bytes or more are duplicate spans.
+texts agree again.  A chunk's anchor is the chunk with as many whole chunks before it as make ``ANCHOR`` bytes; it is
+known by a 128-bit digest, and an anchor that a document of smaller id has too is a repeat.  A run of overlapping or touching
+repeats of one first document is extended to the left and right for as long as its bytes equal those around the anchor's
+first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate spans, unless one of a smaller first document
+has bytes of the run's anchors.  Touching runs of several first documents count by their sum where no span is.
 
-* The minimum equals the hash's window, so no end depends on another text.
-* Only digests, offsets and ids are shuffled.  Each digest's first document is an aggregate with
+* The hash starts anew with each text, so no end depends on another text.
+* Digests, offsets, ids and the bytes around a run's ends are shuffled, texts if the ends exceed the broadcast bound.  Each digest's first document is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
 
@@ -19,6 +22,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonecast.llm.common import documents, text_buffer, written
+from zonecast.llm.common import _batch, documents, text_buffer, written
 
-MIN, MAX, MASK_BITS = 32, 512, 5
+MIN, MAX, MASK_BITS = 8, 64, 4
+#: Least bytes of an anchor; bytes compared at a run's end at first, eight times as many each further round.
+ANCHOR, REACH = 32, 512
 MIN_RUN = 100
 BROADCAST_ROWS = 2_000_000
 NO_ID = (1 << 63) - 1
@@ -48,13 +55,16 @@ def gear(seed: int = 1) -> np.ndarray:
 _GEAR = gear()
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: windows of 1, 2, 4 ... 32 bytes by doubling."""
+def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rolling hash of each text after each byte: windows of 1, 2, 4 ... 32 bytes by doubling."""
     h = _GEAR[data]
     for k in (1, 2, 4, 8, 16):
         if len(h) > k:
             more = h.copy()
             more[k:] += h[:-k] << np.uint32(k)
+            head = offsets[:-1, None] + np.arange(k)  # a text's first k bytes have no window before theirs
+            head = head[head < offsets[1:, None]]
+            more[head] = h[head]
             h = more
     return h
 
@@ -63,7 +73,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
     """For each text the ends of its chunks, in bytes of the text."""
     starts_char = np.ones(len(data) + 1, bool)
     starts_char[:-1] = data & 0xC0 != 0x80
-    h = gear_hashes(data)
+    h = gear_hashes(data, offsets)
     found = np.flatnonzero((h >> np.uint32(32 - MASK_BITS) == 0) & starts_char[1:]) + 1
     for a, z in zip(offsets.tolist(), offsets[1:].tolist()):
         lo, hi = np.searchsorted(found, (a, z + 1)).tolist()
@@ -82,7 +92,7 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, t (text hash), start, length, d1, d2`` of every chunk; the digest is in d1 and d2."""
+    """``doc_id, t (text hash), start, length, d1, d2`` of every chunk's anchor; the digest is in d1 and d2."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -94,39 +104,169 @@ def chunks(docs: DataFrame) -> DataFrame:
                 raw = data.tobytes()
                 count, start, length, digest = [], [], [], []
                 for a, ends in zip(offsets.tolist(), cut_points(data, offsets)):
-                    begin = 0
-                    count.append(len(ends))
+                    n, back, cuts = 0, 0, [0, *ends]
                     for end in ends:
-                        start.append(begin)
-                        length.append(end - begin)
-                        digest.append(xxh3_128_digest(raw[a + begin:a + end]))
-                        begin = end
+                        if end < ANCHOR:
+                            continue
+                        while cuts[back + 1] <= end - ANCHOR:
+                            back += 1
+                        at = cuts[back]
+                        start.append(at)
+                        length.append(end - at)
+                        digest.append(xxh3_128_digest(raw[a + at:a + end]))
+                        n += 1
+                    count.append(n)
                 d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 doc = pa.array(np.repeat(np.arange(b.num_rows), count))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(2).take(doc), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
                                                   pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))],
                                                  names=["doc_id", "t", "start", "length", "d1", "d2"])
 
-    keyed = documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
-    return written(keyed.mapInArrow(rows, "doc_id long, t long, start int, length int, d1 long, d2 long"), "chunks")
+    return written(_keyed(docs).mapInArrow(rows, "doc_id long, t long, start int, length int, d1 long, d2 long"), "chunks")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+
+
+def matched(it: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """For rows ``run, side, own, other``: how many of the bytes next to the end agree, cut between characters, and whether
+    there may be more."""
+    for b in it:
+        own, other = b.column(2).to_pylist(), b.column(3).to_pylist()
+        out, more = [], []
+        for side, x, y in zip(b.column(1).to_pylist(), own, other):
+            if side == 0:  # to the left: from the last byte
+                n = _common(x[::-1], y[::-1])
+            else:
+                n = _common(x, y)
+            go_on = n >= reach
+            n = min(n, reach)
+            if side == 0:
+                while n and x[len(x) - n] & 0xC0 == 0x80:
+                    n -= 1
+            else:
+                while n and n < len(x) and x[n] & 0xC0 == 0x80:
+                    n -= 1
+            out.append(n)
+            more.append(go_on and n > 0)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32()), pa.array(more, pa.bool_())], names=["run", "side", "n", "more"])
+
+
+def _common(x: bytes, y: bytes) -> int:
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
+
+
+def extensions(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``run, side, n``: by how many bytes each of ``ends (run, side, doc_id, t, at, f_id, f_t, f_at)`` can move outwards
+    (side 0: to the left) while the text has the bytes that (f_id, f_t) has at f_at."""
+    keyed = _keyed(docs).select("doc_id", "t", F.col("text").cast("binary").alias("raw"))
+    rounds, reach = [], REACH
+    while True:
+        wide = reach + 4  # the bytes beyond the reach show whether a character ends there
+        own = ends.select("doc_id", "t", "at", "side")
+        places = written(own.union(ends.select("f_id", "f_t", "f_at", "side")).distinct(), "span-places")
+        few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        lo = F.greatest(F.col("at") - wide, F.lit(0))
+        around = F.when(F.col("side") == 0, F.expr("raw").substr(lo + 1, F.col("at") - lo)).otherwise(F.expr("raw").substr(F.col("at") + 1, F.lit(wide)))
+        found = keyed.join(F.broadcast(places) if few else places, ["doc_id", "t"]).select("doc_id", "t", "at", "side", around.alias("raw"))
+        bytes_at = written(found.dropDuplicates(["doc_id", "t", "at", "side"]), "span-bytes")
+        other = bytes_at.select(F.col("doc_id").alias("f_id"), F.col("t").alias("f_t"), F.col("at").alias("f_at"), "side", F.col("raw").alias("other"))
+        pairs = ends.join(bytes_at.withColumnRenamed("raw", "own"), ["doc_id", "t", "at", "side"]).join(other, ["f_id", "f_t", "f_at", "side"])
+        got = written(pairs.select("run", "side", "own", "other").mapInArrow(partial(matched, reach=reach), "run string, side int, n int, more boolean"), "span-ends")
+        rounds.append(got.select("run", "side", "n"))
+        if got.where("more").limit(1).count() == 0:
+            break
+        reach *= 8  # few rounds, however long the texts
+        step = F.when(F.col("side") == 0, -F.col("n")).otherwise(F.col("n"))
+        ends = written(ends.join(got.where("more").select("run", "side", "n"), ["run", "side"]).select(
+            "run", "side", "doc_id", "t", (F.col("at") + step).alias("at"), "f_id", "f_t", (F.col("f_at") + step).alias("f_at")), "span-ends")
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.union(r)
+    return out.groupBy("run", "side").agg(F.sum("n").cast("int").alias("n"))
 
 
 def duplicate_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``doc_id, t, start, length, n_chunks, first_doc_ids``: runs of chunks that documents of smaller id have."""
+    """``doc_id, t, start, length, n_chunks, first_doc_ids``: runs of anchors that documents of smaller id have, extended
+    by the bytes that agree around them."""
     all_chunks = chunks(docs)
     first = all_chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = written(first.select("d1", "d2", "first"), "chunk-firsts")
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = all_chunks.join(F.broadcast(first) if few else first, ["d1", "d2"]).where("doc_id > first")
-    doc = Window.partitionBy("doc_id", "t").orderBy("start", "length")  # one document's chunks
-    breaks = F.when(F.col("start") == F.lag(F.col("start") + F.col("length")).over(doc), 0).otherwise(1)
+    both = written(all_chunks.join(F.broadcast(first) if few else first, ["d1", "d2"]), "chunk-hits")
+    source = both.where("doc_id = first").groupBy("d1", "d2").agg(F.min(F.struct("t", "start")).alias("s"))
     # a row that is repeated brings each of its chunks again
-    once = hits.select("doc_id", "t", "start", "length", "first").distinct()
-    runs = once.withColumn("new", breaks).withColumn("run", F.sum("new").over(doc))
-    return (runs.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"),
-                                                   F.sort_array(F.collect_set("first")).alias("first_doc_ids"))
-            .where(F.col("length") >= min_run)
-            .select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "t", F.col("start").cast("long").alias("start"), "length", "n_chunks", "first_doc_ids"))
+    once = both.where("doc_id > first").select("doc_id", "t", "start", "length", "first", "d1", "d2").distinct()
+    doc = Window.partitionBy("doc_id", "t").orderBy("end", "start")  # one document's anchors
+    breaks = F.when((F.col("start") <= F.lag("end").over(doc)) & (F.col("first") == F.lag("first").over(doc)), 0).otherwise(1)
+    numbered = once.withColumn("end", F.col("start") + F.col("length")).withColumn("new", breaks).withColumn("n", F.sum("new").over(doc))
+    runs = (numbered.groupBy("doc_id", "t", "n").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"),
+        F.min(F.struct("start", "end", "first", "d1", "d2")).alias("l"), F.max(F.struct("end", "start", "first", "d1", "d2")).alias("r")))
+    runs = written(runs.withColumn("run", F.concat_ws(":", "doc_id", "t", "n")), "span-runs")
+    edge = lambda side, c: runs.select("run", F.lit(side).alias("side"), "doc_id", "t", F.col(f"{c}.start").alias("at"), F.col(f"{c}.end").alias("end"),
+                                       F.col(f"{c}.first").alias("f_id"), F.col(f"{c}.d1").alias("d1"), F.col(f"{c}.d2").alias("d2"))
+    size = F.when(F.col("side") == 1, F.col("end") - F.col("at")).otherwise(0)
+    ends = written(edge(0, "l").union(edge(1, "r")).join(source, ["d1", "d2"]).select(
+        "run", "side", "doc_id", "t", (F.col("at") + size).alias("at"), "f_id", F.col("s.t").alias("f_t"), (F.col("s.start") + size).alias("f_at")), "span-ends")
+    moved = extensions(docs, ends).groupBy("run").agg(*[F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).cast("int").alias(c) for i, c in ((0, "by_l"), (1, "by_r"))])
+    by_doc = runs.join(moved, "run").groupBy("doc_id", "t").agg(F.collect_list(F.struct(
+        "first", "start", "end", (F.col("start") - F.col("by_l")).alias("from"), (F.col("end") + F.col("by_r")).alias("to"), "n_chunks")).alias("runs"))
+
+    def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = [(d, t, *span) for d, t, r in zip(*(c.to_pylist() for c in b.columns)) for span in chosen([tuple(x.values()) for x in r], min_run)]
+            yield _batch(out, schema) if out else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("n_chunks", pa.int64()), ("first_doc_ids", pa.list_(pa.int64()))])
+    spans = by_doc.mapInArrow(choose, "doc_id long, t long, start long, length int, n_chunks long, first_doc_ids array<long>")
+    return spans.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+
+
+def chosen(runs: list[tuple], min_run: int) -> list[tuple[int, int, int, list[int]]]:
+    """``start, length, n_chunks, first_doc_ids`` of one document's spans from its ``runs (first, start, end, from, to, n_chunks)``."""
+    held: list[list] = []  # disjoint spans [from, to, n_chunks, firsts], ascending
+    left: list[tuple] = []
+
+    def touched(a: int, z: int) -> tuple[int, int]:
+        """Which held spans [a, z) meets or touches."""
+        lo = bisect_left(held, a, key=lambda h: h[1])
+        hi = lo
+        while hi < len(held) and held[hi][0] <= z:
+            hi += 1
+        return lo, hi
+
+    def hold(a: int, z: int, n: int, firsts: set) -> None:
+        lo, hi = touched(a, z)
+        old = held[lo:hi]
+        held[lo:hi] = [[min([a, *(h[0] for h in old)]), max([z, *(h[1] for h in old)]), n + sum(h[2] for h in old), firsts.union(*(h[3] for h in old))]]
+
+    for first, ours in groupby(sorted(runs), key=lambda r: r[0]):
+        able = []
+        for r in ours:
+            lo, hi = touched(r[1], r[2])
+            if any(h[0] < r[2] and r[1] < h[1] for h in held[lo:hi]):
+                continue  # a smaller first document has it
+            (able if r[4] - r[3] >= min_run else left).append(r)
+        for r in able:
+            hold(r[3], r[4], r[5], {first})
+    joined: list[list] = []
+    for first, a, z, lo, hi, n in sorted(left, key=lambda r: r[3]):
+        at, upto = touched(a, z)
+        if any(h[0] < z and a < h[1] for h in held[at:upto]):
+            continue
+        if joined and lo <= joined[-1][1]:
+            joined[-1] = [joined[-1][0], max(hi, joined[-1][1]), joined[-1][2] + n, joined[-1][3] | {first}]
+        else:
+            joined.append([lo, hi, n, {first}])
+    for a, z, n, firsts in joined:
+        if z - a >= min_run:
+            hold(a, z, n, firsts)
+    return [(a, z - a, n, sorted(firsts)) for a, z, n, firsts in held]
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
