@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.llm import (block_search, bloom_lm, html_layout, jaccard_join, line_spread, mixing, packing, quality_llr, record_files,
-                          substring_dedup)
-from zonecast.llm.common import table
+from zonecast.llm import (block_search, bloom_lm, decontamination, filter_audit, html_layout, jaccard_join, line_spread, mixing, packing,
+                          prefix_trie, quality_llr, record_files, substring_dedup)
+from zonecast.llm.common import table, written
 
 
 def tokenizer_path() -> str:
@@ -64,8 +64,22 @@ def op10_quality_llr(spark: SparkSession, sf: str) -> DataFrame:
     return quality_llr.score(docs, quality_llr.fit(docs, table(spark, sf, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns = written(prefix_trie.turn_keys(table(spark, sf, "conversations")), "trie-turns")
+    return prefix_trie.trie(prefix_trie.shared_heads(turns))
+
+
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return decontamination.report(decontamination.find(docs, table(spark, sf, "benchmark")))
+
+
 QUERIES = (op1_packing, op2_substring_dedup, op3_mixing, op4_block_search, op5_jaccard_join, op6_record_files, op7_html_layout, op8_bloom_lm,
-           op9_line_spread, op10_quality_llr)
+           op9_line_spread, op10_quality_llr, op11_filter_audit, op12_prefix_trie, op13_decontamination)
 
 
 def queries() -> dict:
@@ -73,4 +87,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_block_search": block_search.oracle_sql(), "op5_jaccard_join": jaccard_join.oracle_sql(), "op9_line_spread": line_spread.oracle_sql()}
+    return {"op4_block_search": block_search.oracle_sql(), "op5_jaccard_join": jaccard_join.oracle_sql(), "op9_line_spread": line_spread.oracle_sql(),
+            "op11_filter_audit": filter_audit.oracle_sql(), "op12_prefix_trie": prefix_trie.oracle_sql(),
+            "op13_decontamination": decontamination.oracle_sql()}
