@@ -108,8 +108,8 @@ def brute_turns(rows):
     by = defaultdict(list)
     for c, turn, role, text, *_ in rows:
         if c is not None:
-            by[c].append((turn is not None, turn or 0, role or "", text or ""))
-    return {c: [x[2:] for x in sorted(t)] for c, t in by.items()}
+            by[c].append((turn is not None, turn or 0, hashlib.md5(f"{role or ''}\1{text or ''}".encode()).digest(), role or "", text or ""))
+    return {c: [x[3:] for x in sorted(t)] for c, t in by.items()}
 
 
 def rebuilt(by):

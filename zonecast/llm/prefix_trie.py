@@ -15,10 +15,10 @@ node once.  A parent's smallest member comes the same way, so no join has a pare
 * A first turn, a whole conversation or the root that a third of all conversations share is one row a slab.
 * Ids that end at a node stay in compressed lists, one a slab; SHA-256 runs over the sorted lists as a stream, so a
   node's ids are never held at once.
-* Only 32 bytes a turn shuffle, no texts.  A slab holds the hashes of at most ``SLAB_CONVERSATIONS`` conversations and
+* Some 50 bytes a turn shuffle, no texts.  A slab holds the hashes of at most ``SLAB_CONVERSATIONS`` conversations and
   ``SLAB_TURNS`` turns, or of one longer conversation.
 
-Defined cases: turns are ordered by turn, NULL first, ties by role and text; a NULL role or text is empty; rows without
+Defined cases: turns are ordered by turn, NULL first, ties by the MD5 of role and text; a NULL role or text is empty; rows without
 conv_id belong to no conversation; repeated rows are turns of their own; conversations without turns are members of the
 root alone; an empty table has no nodes; other columns are not read.
 """
@@ -53,9 +53,9 @@ def turn_keys(conversations: DataFrame) -> DataFrame:
     """``conv_id, pos (from 1), h1, h2, bytes`` of every turn: two hashes of its role and text, the text's length."""
     rows = conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    keyed = rows.select("conv_id", "turn", "role", F.col("text"), F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), F.octet_length("role"), "text", "role").alias("h2"),
-                        F.octet_length("text").cast("long").alias("bytes"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    keyed = rows.select("conv_id", "turn", F.unhex(F.md5(F.concat("role", F.lit(chr(1)), "text"))).alias("tie"), F.xxhash64("role", "text").alias("h1"),
+                        F.xxhash64(F.lit(1), F.octet_length("role"), "text", "role").alias("h2"), F.octet_length("text").cast("long").alias("bytes"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "tie")
     return keyed.withColumn("pos", F.row_number().over(order).cast("long")).select("conv_id", "pos", "h1", "h2", "bytes")
 
 
@@ -296,7 +296,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The trie of conversations with shared heads in DuckDB SQL; a path is the joined hashes of its turns."""
     return r"""
-WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(1) || coalesce(text, ''))) AS pos,
                   md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS m, strlen(coalesce(text, '')) AS bytes
            FROM conversations WHERE conv_id IS NOT NULL),
 i AS (SELECT conv_id, conv_id - conv_id % 5 AS base, (list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
