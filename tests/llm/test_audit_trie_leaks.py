@@ -234,7 +234,7 @@ def test_hits_are_verified_when_hashes_collide(monkeypatch):
     texts = [words(12, 1, 3).encode(), words(12, 2, 3).encode(), b"w1 w2"]
     held = decontamination.windows_of(["a", "b", "c"], texts)
     doc = words(400, 3, 3)
-    w = decontamination.words_of(np.frombuffer(doc.encode(), np.uint8), np.array([0, len(doc)]))
+    w = decontamination.words_of(np.frombuffer(doc.encode(), np.uint8), np.array([0, len(doc)]), decontamination.INSIDE)
     got = {(int(i), held.ids[x]) for i, k in zip(*held.find(w)) for x in held.item[held.of[k]:held.of[k + 1]]}
     want = set()
     for name, t in zip("abc", texts):

@@ -1,6 +1,7 @@
 """Operators 7 and 8 and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -112,7 +113,8 @@ def test_bigrams_seen_once_are_held(spark, monkeypatch):
     """The filter holds each counted bigram and each history's followers, those seen once too."""
     monkeypatch.setattr(bloom_lm, "SLICE_TOKENS", 5000)
     split = bloom_lm.split_rows(spark.read.parquet(f"{SMALL}/documents.parquet"))
-    h, offsets = bloom_lm.word_hashes([r.text.encode() for r in split.where("not held_out").collect()])
+    raw = [r.text.encode() for r in split.where("not held_out").collect()]
+    h, offsets = bloom_lm.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     pair, c = np.unique(bloom_lm.pairs_of(h, offsets)[1], return_counts=True)
     first, kinds = np.unique(pair >> np.uint64(28), return_counts=True)
     f = bloom_lm.fit(split)[0].filter
@@ -151,25 +153,69 @@ def test_pair_counts_equal_brute_force(spark):
     for r in split.where("not held_out").collect():
         w = [None, *r.text.encode().lower().split(), None]
         count.update(zip(w, w[1:]))
-    got = bloom_lm.pair_counts(split, 3)
-    assert sorted(r.c for r in got.where("key is not null").collect()) == sorted(c for c in count.values() if c >= bloom_lm.MIN_COUNT)
-    once = {r.level: r.n for r in got.where("key is null").groupBy("level").agg({"c": "sum"}).withColumnRenamed("sum(c)", "n").collect()}
-    assert once == {1: sum(c == 1 for c in count.values()), 2: sum(c == 2 for c in count.values())}
+    merged = list(bloom_lm._merged(iter(bloom_lm._dealt_pairs(split, 3).toArrow().to_batches())))
+    assert sorted(np.concatenate([n for _, _, n in merged]).tolist()) == sorted(count.values())
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(4)
+    texts = ["", " \n", "One oNE\tone\x0btwo", "é É x\x00y", " ".join("".join(rnd.choices("abé0", k=rnd.randrange(1, 9))) for _ in range(3000)), "x" * 70_000 + " y"]
+    raw = [t.encode() for t in texts]
+    h, offsets = bloom_lm.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [[*t.lower().split(), None] for t in raw]
+    assert np.diff(offsets).tolist() == [len(w) for w in want]
+    flat = [x for w in want for x in w]
+    assert len(set(flat)) == len(set(h.tolist())) == len(set(zip(flat, h.tolist())))
+    assert [int(x) for x in h[offsets[1:] - 1]] == [int(bloom_lm.END)] * len(texts)
+
+
+def plain_scores(rows, level):
+    """The model one token at a time; ``level(kind, count)`` is the count that the model sees."""
+    texts = {d: [*(t or "").encode().lower().split(), None] for d, t in rows}
+    train = [w for d, w in texts.items() if zlib.crc32(str(d).encode()) % 10]
+    word, pair = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([None, *w], w))
+    kinds, n, v = Counter(a for a, _ in pair), sum(word.values()), len(word)
+    counts = Counter(pair.values())
+    discount = counts[1] / max(counts[1] + 2 * counts[2], 1)
+    out = {}
+    for d, w in texts.items():
+        total = 0.0
+        for a, b in zip([None, *w], w):
+            ca, cb = level("word", word[a]), level("word", word[b])
+            k = min(ca, 1.0) if ca < 2 else min(1 + level("kinds", kinds[a] - 1), ca)
+            left = min(max(discount * k / max(ca, 1), 1e-4), 1.0) if ca else 1.0
+            c = min(level("pair", pair[a, b]), ca, cb)
+            total += math.log10(max(c - discount, 0) / max(ca, 1) + left * (cb + 0.1) / (n + 0.1 * (v + 1)))
+        out[d] = total, len(w)
+    return out
+
+
+def test_score_equals_a_plain_model(spark):
+    """With the counts' quantisation the scores agree but for wrong answers of the filter; with exact counts within the step."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.score for r in queries.op8_bloom_lm(spark, SMALL).collect()}
+    decoded = lambda kind, c: float(bloom_lm.decoded(kind, np.searchsorted(bloom_lm.BOOKS[kind], c, "right")))
+    quantised, exact = plain_scores(rows, decoded), plain_scores(rows, lambda _, c: float(c))
+    off = [abs(got[d] - s) / n for d, (s, n) in quantised.items()]
+    assert np.median(off) < 0.005 and max(off) < math.log10(bloom_lm.PAIR_STEP)
+    assert all(abs(got[d] - s) / n < math.log10(bloom_lm.PAIR_STEP) for d, (s, n) in exact.items())
 
 
 def test_probabilities_of_a_history_add_up(spark):
-    """With no quantisation error at these counts, P(.|h) over the vocabulary sums to about 1."""
-    text = "a b a b a c a b d e a b"
-    docs = bloom_lm.split_rows(spark.createDataFrame([(i, text) for i in range(11, 14)], "doc_id long, text string"))
+    """Where counts are exact and the discount is not 0, P(.|h) over the vocabulary sums to 1 less the unknown word's share."""
+    rows = [(11, "a b a c a d e"), (12, "a b b e f"), (13, "c a e g h"), (15, "b a d f")]
+    docs = bloom_lm.split_rows(spark.createDataFrame(rows, "doc_id long, text string"))
     model, vocabulary = bloom_lm.fit(docs)
+    assert 0.3 < model.discount < 1
     hashes = np.array([r.h for r in vocabulary.collect()], np.int64).view(np.uint64)
-    for first in hashes:
-        if first == bloom_lm.END:
-            continue
-        h = np.concatenate([[first, x, bloom_lm.END] for x in hashes if x != bloom_lm.END]).astype(np.uint64)
-        known, back = np.unique(h, return_inverse=True)
-        p = 10 ** model.log10(h, np.arange(0, len(h) + 1, 3), known, back)[1::3]
-        assert 0.5 < p.sum() < 1.3
+    unknown = bloom_lm.ALPHA / (model.tokens + bloom_lm.ALPHA * (model.words + 1))
+    for first in hashes[hashes != bloom_lm.END]:
+        total = 0.0
+        for w in hashes:
+            h = np.array([first, w, bloom_lm.END], np.uint64)
+            known, back = np.unique(h, return_inverse=True)
+            total += 10 ** model.log10(h, np.array([0, 3]), known, back)[1]
+        assert total == pytest.approx(1 - unknown, abs=0.02)
 
 
 # ---- 7

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from zonecast.llm.common import portions, ship, text_buffer, written
+from zonecast.llm.words import Words, words_of
 
 WINDOW = 10
 #: Bytes of benchmark words that one broadcast set holds, words of a piece of an item, bytes of text scanned at once.
@@ -35,45 +36,15 @@ BAND_BYTES, PIECE_WORDS, RUN_BYTES = 16 << 20, 1000, 2 << 20
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _lookup() -> np.ndarray:
-    """Each byte's lower case if it belongs to a word, else 0."""
-    out = np.zeros(256, np.uint8)
-    out[0x30:0x3A], out[0x61:0x7B], out[0x80:] = np.arange(0x30, 0x3A), np.arange(0x61, 0x7B), np.arange(0x80, 256)
-    out[0x41:0x5B] = out[0x61:0x7B]
+def _inside() -> np.ndarray:
+    """Whether a byte belongs to a word: digits, letters and anything beyond ASCII."""
+    out = np.zeros(256, bool)
+    for lo, hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+        out[lo:hi] = True
     return out
 
 
-_BYTES = _lookup()
-_POWERS = np.cumprod(np.full(1 << 16, _ODD, np.uint64), dtype=np.uint64)
-
-
-@dataclass(frozen=True)
-class Words:
-    """The words of several texts: ``data`` holds their bytes without what lies between, ``cut`` the n + 1 offsets of words
-    in it, ``first`` the n_texts + 1 offsets of texts in the words, ``start`` and ``stop`` where a word lies in the input."""
-    data: np.ndarray
-    cut: np.ndarray
-    first: np.ndarray
-    start: np.ndarray
-    stop: np.ndarray
-
-    def hashes(self) -> np.ndarray:
-        if not len(self.data):
-            return np.zeros(0, np.uint64)
-        place = np.arange(len(self.data)) - np.repeat(self.cut[:-1], np.diff(self.cut))
-        h = np.add.reduceat((self.data + np.uint64(1)) * _POWERS[place & 0xFFFF], self.cut[:-1])
-        return (h ^ h >> np.uint64(29)) * _MIX
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of the texts that ``offsets`` bounds in ``data``."""
-    low = _BYTES[data]
-    inside = low != 0
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    start = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
-    stop = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-    return Words(low[inside], np.concatenate([[0], np.cumsum(stop - start)]), np.searchsorted(start, offsets), start, stop)
+INSIDE = _inside()
 
 
 def window_hashes(word: np.ndarray, longest: int = WINDOW) -> Iterator[tuple[int, np.ndarray]]:
@@ -140,7 +111,7 @@ class Windows:
 def windows_of(ids: list[str | None], texts: list[bytes]) -> Windows:
     """The windows of pieces of items."""
     offsets = np.cumsum([0, *map(len, texts)])
-    words = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    words = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets, INSIDE)
     size = np.diff(words.first)
     names = np.array(sorted({x for x in ids if x is not None}), object)
     number = {x: k for k, x in enumerate(names)}
@@ -180,7 +151,7 @@ def pieces(benchmark: DataFrame, piece_words: int = PIECE_WORDS) -> DataFrame:
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(it):
-            w = words_of(*text_buffer(b))
+            w = words_of(*text_buffer(b), INSIDE)
             raw, ids, out = w.data.tobytes(), b.column(0).to_pylist(), ([], [])
             for item, lo, hi in zip(ids, w.first.tolist(), w.first[1:].tolist()):
                 for at in range(lo, max(hi - WINDOW, lo) + 1 if hi > lo else lo, piece_words):
@@ -204,7 +175,7 @@ def _scan(rows: DataFrame, windows: Windows) -> DataFrame:
         held, resolved = shared.value, {}
         for b in portions(it, RUN_BYTES):
             data, offsets = text_buffer(b)
-            words = words_of(data, offsets)
+            words = words_of(data, offsets, INSIDE)
             n_words = np.diff(words.first)
             i, w = held.find(words)
             step = np.zeros(len(words.start) + 1, np.int64)
