@@ -1,5 +1,7 @@
 """Operators on small hand tables: quantiles, ranking, cleaning, encoding, blends."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -136,10 +138,15 @@ def test_oof_explode_equals_refit(spark):
             assert got["geo_std_demand"] == pytest.approx(r["geo_std_demand"])
 
 
-def test_fold_balance(spark):
-    df = assign_folds(spark.range(0, 10000).withColumnRenamed("id", "row_id"), 5)
-    sizes = [r["count"] for r in df.groupBy("fold").count().collect()]
-    assert len(sizes) == 5 and all(abs(n - 2000) <= 4 * (10_000 * 0.2 * 0.8) ** 0.5 for n in sizes)  # a random split
+@pytest.mark.parametrize("n,k", [(10_003, 5), (4, 5), (0, 3), (7, 1), (1000, 8)])
+def test_folds_are_blocks_of_the_shuffled_rows(spark, monkeypatch, n, k):
+    from zonecast.operators import folds
+    monkeypatch.setattr(folds, "FEW", 20)  # so that several passes are needed
+    monkeypatch.setattr(folds, "PASS_BITS", 5)
+    got = {r.row_id: r.fold for r in assign_folds(spark.range(n).withColumnRenamed("id", "row_id"), k).collect()}
+    order = sorted(range(n), key=lambda i: int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:15], 16))
+    sizes = [n // k + (f < n % k) for f in range(k)]
+    assert [got[i] for i in order] == [f for f in range(k) for _ in range(sizes[f])]
 
 
 def test_blend_weights():

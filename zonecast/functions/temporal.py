@@ -16,6 +16,11 @@ def hour_of(ts: Column) -> Column:
     return F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(1)).try_cast("int"))
 
 
+def leading_hour(ts: Column) -> Column:
+    """The number before the first ':', or the whole text where there is none (``"7"`` is hour 7); anything else is NULL."""
+    return F.substring_index(ts, ":", 1).try_cast("int")
+
+
 def minute_of(ts: Column) -> Column:
     parts = F.split(ts, ":")
     return F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)).try_cast("int"))

@@ -16,7 +16,7 @@ from zonecast import sources
 from zonecast.functions.attributes import with_interactions, with_road_features, with_weather_features
 from zonecast.functions.geo import geohash_latlon, with_geo_prefixes
 from zonecast.functions.labels import delta_status, demand_class, pct_delta, risk_pct
-from zonecast.functions.temporal import with_time_features
+from zonecast.functions.temporal import leading_hour, with_time_features
 from zonecast.operators import analytics as A
 from zonecast.operators import cleaning
 from zonecast.operators.blend import blend
@@ -35,7 +35,7 @@ from zonecast.plans.context import context, rounded
 from zonecast.session import cut_lineage, scratch_dir
 from zonecast.sources import sinks
 from zonecast.sources.readers import read_submission
-from zonecast.streaming.scoring import observation_stream
+from zonecast.streaming.scoring import observation_stream, require_all_rows
 from zonecast.schema import CATEGORICAL_FEATURES, CORR_COLUMNS, CORR_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,8 +126,8 @@ def q_shape_report(spark, sf):
 # --- row-wise features ---------------------------------------------------------
 
 def q_time_features(spark, sf):
-    df = with_time_features(cleaning.standardize(sources.observations(spark, sf)))
-    return rounded(df.select("row_id", "hour", "minute", "total_minutes", "hour_sin",
+    df = with_time_features(cleaning.standardize(sources.observations(spark, sf))).withColumn("leading_hour", leading_hour(F.col("timestamp")))
+    return rounded(df.select("row_id", "hour", "minute", "leading_hour", "total_minutes", "hour_sin",
                              "hour_cos", "is_peak_hour", "day_of_week", "is_weekend",
                              "time_block"))
 
@@ -509,7 +509,8 @@ def q_stream_encode(spark, sf):
     query = (feats.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint")
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
-    return rounded(spark.read.schema(feats.schema).parquet(f"{path}/data"))
+    fresh = sources.observations(spark, sf).where(~F.col("is_train")).select("is_train")
+    return rounded(require_all_rows(fresh, spark.read.schema(feats.schema).parquet(f"{path}/data")))
 
 
 def q_dedup_report(spark, sf):

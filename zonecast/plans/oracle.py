@@ -13,6 +13,8 @@ from zonecast.sources.adapter import adapter_sql
 R = 9  # rounding digits for doubles
 # 60 bits of md5('42:' || row_id): the fold and sample order of seed 42
 _MIX = "CAST(('0x' || substr(md5('42:' || coalesce(CAST(row_id AS VARCHAR), '')), 1, 15)) AS BIGINT)"
+# the block of five that the shuffled row number __i of __n falls into; the first __n % 5 blocks have one row more
+_BLOCK = "CAST(CASE WHEN __i < (__n // 5 + 1) * (__n % 5) THEN __i // (__n // 5 + 1) ELSE __n % 5 + (__i - (__n // 5 + 1) * (__n % 5)) // (__n // 5) END AS INTEGER)"
 
 
 def _strip(c: str) -> str:
@@ -179,9 +181,9 @@ CATS = ["RoadType", "LargeVehicles", "Landmarks", "Weather", "time_block",
 
 def _oof() -> str:
     k = 5
-    fold = f"CAST({_MIX} % 5 AS INTEGER)"
     return f"""
-cv AS (SELECT *, {fold} AS fold FROM lc WHERE day <= 24),
+cv AS (SELECT * EXCLUDE (__i, __n), {_BLOCK} AS fold FROM (
+    SELECT *, row_number() OVER (ORDER BY {_MIX}, row_id) - 1 AS __i, count(*) OVER () AS __n FROM lc WHERE day <= 24) s),
 ho AS (SELECT lc.*, f.fold FROM lc CROSS JOIN range(0, {k}) f(fold) WHERE day > 24),
 ex AS (SELECT cv.* EXCLUDE (fold), f.fold FROM cv CROSS JOIN range(0, {k}) f(fold)
        WHERE f.fold <> cv.fold),
@@ -288,8 +290,8 @@ def oracle_sql() -> dict[str, str]:
     h, mi = _hour("ts"), _minute("ts")
     s["time_features"] = f"""WITH obs AS ({adapter_sql()}),
       t AS (SELECT row_id, day, {_strip('timestamp')} AS ts FROM obs),
-      u AS (SELECT row_id, day, {h} AS hour, {mi} AS minute FROM t)
-      SELECT row_id, hour, minute, hour * 60 + minute AS total_minutes,
+      u AS (SELECT row_id, day, {h} AS hour, {mi} AS minute, TRY_CAST(split_part(ts, ':', 1) AS INTEGER) AS leading_hour FROM t)
+      SELECT row_id, hour, minute, leading_hour, hour * 60 + minute AS total_minutes,
         {r('sin(2 * pi() * hour / 24.0)', 'hour_sin')}, {r('cos(2 * pi() * hour / 24.0)', 'hour_cos')},
         CASE WHEN hour IN (7, 8, 9, 17, 18, 19) THEN 1 WHEN hour IS NOT NULL THEN 0 END AS is_peak_hour,
         CAST(((day % 7) + 7) % 7 AS INTEGER) AS day_of_week,
@@ -453,8 +455,8 @@ def oracle_sql() -> dict[str, str]:
     s["sample_rows"] = (f"{BASE} SELECT row_id, {r('Temperature', 'Temperature')}, "
                         f"{r('demand', 'demand')} FROM ct "
                         f"ORDER BY {_MIX}, row_id LIMIT 1000")
-    s["kfold_assign"] = (f"{BASE} SELECT row_id, CAST({_MIX} % 5 "
-                         f"AS INTEGER) AS fold FROM lc WHERE day <= 24")
+    s["kfold_assign"] = (f"{BASE} SELECT row_id, {_BLOCK} AS fold FROM (SELECT row_id, row_number() OVER (ORDER BY {_MIX}, row_id) - 1 AS __i, "
+                         f"count(*) OVER () AS __n FROM lc WHERE day <= 24) s")
     s["oof_target_encode"] = (f"{BASE}, {_oof()} SELECT row_id, fold, split, "
                               f"{r('geo_mean_demand', 'geo_mean_demand')}, "
                               f"{r('geo_std_demand', 'geo_std_demand')}, "

@@ -16,22 +16,39 @@ from pyspark.sql import functions as F
 
 from zonecast.operators import cleaning
 from zonecast.session import scratch_dir
-from zonecast.sources.adapter import adapter_sql
+from zonecast.sources.adapter import adapter_sql, observations
+
+
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """The rows of a parquet table as a stream, whether ``path`` is one file, a folder of part files or a partitioned
+    folder.  The schema is the table's; files that arrive later are read as well, and the query's checkpoint
+    keeps which files it has read."""
+    path = path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    if folder:
+        return reader.parquet(path)
+    parent, name = path.rsplit("/", 1)  # a file source takes folders: the one file of its name there
+    return reader.option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(parent)
 
 
 def observation_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Adapter rows as a stream over the events parquet files of ``sf_dir``."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    events = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", "events*.parquet")
-              .option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(sf_dir))
+    """Adapter rows as a stream over the events table of ``sf_dir``."""
     import uuid
     view = f"zc_events_stream_{uuid.uuid4().hex[:8]}"
-    events.createOrReplaceTempView(view)
+    table_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", files_per_trigger).createOrReplaceTempView(view)
     return spark.sql(adapter_sql().replace("FROM events", f"FROM {view}"))
 
 
+def require_all_rows(batch: DataFrame, sink: DataFrame) -> DataFrame:
+    """``sink`` if it holds as many rows as the batch read of what was streamed; anything else is an error."""
+    want, got = batch.count(), sink.count()
+    if want != got:
+        raise RuntimeError(f"the stream wrote {got} rows, the table has {want}")
+    return sink
+
+
 def observation_file_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                             files_per_trigger: int = 100) -> DataFrame:
     """A live feed of observation files (parquet, or CSV with header) landing in
@@ -79,4 +96,5 @@ def score_stream_once(spark: SparkSession, sf_dir: str, ensemble, medians: clean
              .option("checkpointLocation", f"{out}/checkpoint")
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    fresh = observations(spark, sf_dir).where(~F.col("is_train")).select("is_train")
+    return require_all_rows(fresh, spark.read.parquet(f"{out}/data"))
