@@ -1,4 +1,4 @@
-"""Spark ML members on a planted-signal table; determinism; batch = stream."""
+"""Boosted members on a planted-signal table; determinism; batch = stream."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def test_best_rounds_patience():
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    return fit_final(planted(spark), MemberConfig(rounds=15, patience=None))
+    return fit_final(planted(spark), MemberConfig(rounds=6, step=0.2, patience=None))
 
 
 def test_members_beat_global_mean(spark, fitted):
@@ -45,7 +45,7 @@ def test_members_beat_global_mean(spark, fitted):
 
 
 def test_refit_is_deterministic(spark, fitted):
-    again = fit_final(planted(spark), MemberConfig(rounds=15, patience=None))
+    again = fit_final(planted(spark), MemberConfig(rounds=6, step=0.2, patience=None))
     s = planted(spark, 200, seed=1)
     a = {r["row_id"]: r["pred_ensemble_trio"] for r in fitted.score(s).collect()}
     b = {r["row_id"]: r["pred_ensemble_trio"] for r in again.score(s).collect()}
@@ -58,7 +58,7 @@ def test_stream_equals_batch(spark):
     from zonecast.plans.context import context
     from zonecast.streaming.scoring import score_stream_once
     ctx = context(spark, SMALL)
-    fitted = fit_final(ctx.train_clean, MemberConfig(rounds=5, patience=None))
+    fitted = fit_final(ctx.train_clean, MemberConfig(rounds=2, patience=None))
     batch = {r["row_id"]: r["pred_ensemble_blend"] for r in fitted.score(ctx.score_clean).collect()}
     stream = {r["row_id"]: r["pred_ensemble_blend"]
               for r in score_stream_once(spark, SMALL, fitted, ctx.medians).collect()}

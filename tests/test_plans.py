@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from zonecast.ml.members import MemberConfig
+from zonecast.ml.protocol import Members
 from zonecast.plans.context import context
 from zonecast.operators.features import categorical_frame
 from zonecast.plans.training import load_category_codes, retrain_final, run_inference, train_and_evaluate, validate_file
 from zonecast.schema import CATEGORICAL_FEATURES
-from zonecast.session import scratch_dir
+from zonecast.session import published, scratch_dir
 from zonecast.sources.readers import read_observations_csv, read_optional, read_submission
 
 
@@ -23,14 +24,16 @@ def test_train_then_infer(spark):
                                  final_rounds=3)
     assert metrics.count() == 10
     for sub in ["train_medians", "fold_stats/zones", "fold_stats/prefixes", "oof_predictions_csv",
-                "predictions", "models/encoding/zones", "models/member_cat", "category_maps"]:
+                "predictions", "models/manifest-00000001", "category_maps"]:
         assert Path(out, sub).exists(), sub
     oof = read_submission(spark, f"{out}/oof_predictions_csv")
     assert oof.columns == ["Index", "demand_true", "pred_cat", "pred_lgb", "pred_xgb",
                            "pred_ensemble_blend", "pred_ensemble_trio"]
-    for sub in ["fold_metrics", "dedup_report", *[f"fold_models/fold_{f}/member_{m}" for f in range(5) for m in ("cat", "lgb", "xgb")]]:
+    for sub in ["fold_metrics", "dedup_report", "fold_models/bins", "fold_models/trees"]:
         assert Path(out, sub).exists(), sub
     assert spark.read.parquet(f"{out}/fold_metrics").count() == 25
+    assert Members.load(spark, f"{out}/fold_models").models.keys() == {(f, m) for f in range(5) for m in range(3)}
+    first = published(spark, f"{out}/models")
     test = ctx.score_raw.drop("demand")
     checks = {r["check"]: r["status"] for r in
               run_inference(spark, test, out, f"{out}/infer", test.count()).collect()}
@@ -43,6 +46,7 @@ def test_train_then_infer(spark):
     assert codes.count() == test.count()
     # only the final members, anew from the saved medians: the same rows give the same scores
     retrain_final(spark, ctx.obs.drop("is_train"), out, MemberConfig(rounds=3, patience=2), final_rounds=3)
+    assert published(spark, f"{out}/models") != first and Path(out, "models", first, "encoding/zones").exists()
     run_inference(spark, test, out, f"{out}/infer2", test.count())
     both = sub.join(read_submission(spark, f"{out}/infer2/submission").withColumnRenamed("demand", "again"), "Index")
     assert both.where(F.abs(F.col("demand") - F.col("again")) > 1e-9).count() == 0

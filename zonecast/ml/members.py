@@ -1,30 +1,26 @@
-"""Model members (M1-M3), preprocessing pipeline, early stopping (M4).
-
-The reference blends three gradient-boosting libraries.  Here the members are
-Spark ML tree ensembles trained on the cluster:
-  cat - GBTRegressor, depth 7, step 0.05
-  lgb - GBTRegressor, depth 7, step 0.05, 80 % row and feature subsampling
-  xgb - GBTRegressor, depth 7, step 0.05, 80 % row and feature subsampling of its own draw
-Categoricals go through StringIndexer (code-point order, unseen -> extra bucket)
-so the trees split on them as categories; ``maxBins`` covers the largest one.
+"""Model members (M1-M3) and their common inputs.
+
+The reference blends three gradient-boosting libraries.  Here the members are boosted trees of depth 7 and step 0.05,
+grown together on the cluster (``ml.boosting``), each in its library's manner:
+  cat - depth-wise on all rows and features
+  lgb - best-first up to 63 leaves, 80 % of rows and features a tree, 20 rows a leaf at least
+  xgb - depth-wise, 80 % of rows and features a tree, leaves shrunk by one row
+Categories are binned by value in code-point order (unseen values have a bin of their own); one with more values than
+there are bins goes by a hash of its values, so their number has no bound.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonecast.ml.boosting import Spec, best_rounds  # noqa: F401  (part of this module's interface)
 from zonecast.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 MEMBERS = ("cat", "lgb", "xgb")
 SEED = 42
-# Distinct values of a categorical feature that a tree member takes (its split search grows with them).
-MAX_CATEGORIES = 10_000
 
 
 @dataclass
@@ -34,6 +30,11 @@ class MemberConfig:
     max_depth: int = 7
     step: float = 0.05
 
+    def specs(self) -> list[Spec]:
+        common = dict(max_depth=self.max_depth, step=self.step)
+        return [Spec(smoothing=3.0, **common), Spec(leaves=63, rows=0.8, features=0.8, smoothing=0.0, min_rows=20, **common),
+                Spec(rows=0.8, features=0.8, **common)]
+
 
 def model_frame(df: DataFrame, label: str | None = "demand",
                 extra: list[str] | None = None) -> DataFrame:
@@ -47,58 +48,5 @@ def model_frame(df: DataFrame, label: str | None = "demand",
     return df.select(*keep, *num, *cat)
 
 
-def preprocessor() -> Pipeline:
-    idx = StringIndexer(inputCols=CATEGORICAL_FEATURES,
-                        outputCols=[f"{c}_idx" for c in CATEGORICAL_FEATURES],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    vec = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES],
-                          outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[idx, vec])
-
-
 def feature_names() -> list[str]:
     return NUMERIC_FEATURES + CATEGORICAL_FEATURES
-
-
-def max_bins(prep: PipelineModel) -> int:
-    most = max(len(x) for x in prep.stages[0].labelsArray)
-    if most > MAX_CATEGORIES:
-        raise ValueError(f"a categorical feature has {most} values: the tree members take at most {MAX_CATEGORIES}")
-    return max(32, most + 2)
-
-
-def regressor(member: str, cfg: MemberConfig, bins: int, rounds: int | None = None,
-              label: str = "demand"):
-    n = rounds or cfg.rounds
-    common = dict(featuresCol="features", labelCol=label, predictionCol=f"pred_{member}",
-                  maxDepth=cfg.max_depth, maxBins=bins, seed=SEED)
-    if member not in MEMBERS:
-        raise ValueError(f"unknown member {member}")
-    drawn = {} if member == "cat" else {"subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-    # each member draws its own subsamples
-    return GBTRegressor(maxIter=n, stepSize=cfg.step, **(common | {"seed": SEED + MEMBERS.index(member)}), **drawn)
-
-
-def best_rounds(errors: list[float], patience: int | None) -> int:
-    """Rounds kept by early stopping: stop once ``patience`` rounds pass without
-    a new best validation error; keep the best round."""
-    best_i, best = 0, float("inf")
-    for i, e in enumerate(errors):
-        if e < best:
-            best_i, best = i, e
-        elif patience is not None and i - best_i >= patience:
-            break
-    return best_i + 1
-
-
-def fit_member(member: str, train: DataFrame, cfg: MemberConfig, bins: int,
-               validation: DataFrame | None = None, label: str = "demand"):
-    """Fit one member; boosted members with a validation frame are refit with the
-    early-stopped round count (same seed, so the refit is the prefix)."""
-    model = regressor(member, cfg, bins, label=label).fit(train)
-    if validation is not None and cfg.patience is not None:
-        errors = model.evaluateEachIteration(validation, "squared")
-        keep = best_rounds(list(errors), cfg.patience)
-        if keep < cfg.rounds:
-            model = regressor(member, cfg, bins, rounds=keep, label=label).fit(train)
-    return model

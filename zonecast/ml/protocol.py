@@ -3,29 +3,30 @@
 Cross-validation: rows of the training days get a fold; fold statistics come
 from one exploded group-by (E5); each fold trains the three members on its
 training rows (encoded with that fold's statistics), predicts its validation
-rows (out-of-fold, E6) and the holdout rows (averaged over folds, E7).
+rows (out-of-fold, E6) and the holdout rows (averaged over folds, E7).  All folds'
+members grow in the same passes over one table of binned rows.
 Final: statistics and members refit on all training rows, then batch scoring
 with both blends (M8) and the submission checks (V1-V3).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.ml.members import (MEMBERS, MemberConfig, feature_names, fit_member, max_bins,
-                                 model_frame, preprocessor)
+from zonecast.ml import boosting
+from zonecast.ml.boosting import Binner, Boosted
+from zonecast.ml.members import MEMBERS, SEED, MemberConfig, feature_names, model_frame
 from zonecast.operators.blend import blend
 from zonecast.operators.encoding import ZoneEncoding, fit_encoding
 from zonecast.operators.features import finish_features, row_features
 from zonecast.operators.folds import assign_folds
 from zonecast.operators.metrics import regression_metrics
 from zonecast.operators.oof import encode_with_folds, fold_encoders
-from zonecast.schema import BLEND_PAIR, BLEND_TRIO
-from zonecast.session import cut_lineage, materialize, scratch_dir
+from zonecast.schema import BLEND_PAIR, BLEND_TRIO, CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from zonecast.session import materialize, publish, published, scratch_dir, scratch_name, ship
 
 
 def _blends(df: DataFrame) -> DataFrame:
@@ -35,45 +36,68 @@ def _blends(df: DataFrame) -> DataFrame:
         "pred_ensemble_trio": blend(cols, BLEND_TRIO)})
 
 
+PREDICTIONS = [f"pred_{m}" for m in MEMBERS]
+
+
+@dataclass
+class Members:
+    """The bins and the boosted trees of one or more sets (folds) of members, by (set, member)."""
+    binner: Binner
+    models: dict[tuple[int, int], Boosted]
+
+    def predict(self, frame: DataFrame, of: str | None = None) -> DataFrame:
+        """A model frame with the members' predictions (of the set in column ``of``, else of set 0)."""
+        return boosting.predict(frame, self.models, PREDICTIONS, of, self.binner)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        boosting.save_binner(spark, f"{path}/bins", self.binner)
+        boosting.save_trees(spark, f"{path}/trees", self.models)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Members":
+        models: dict[tuple[int, int], Boosted] = {}
+        boosting.load_trees(spark, f"{path}/trees", models)
+        return Members(boosting.load_binner(spark, f"{path}/bins"), models)
+
+
 @dataclass
 class FittedEnsemble:
     encoding: ZoneEncoding
-    prep: PipelineModel
-    members: dict = field(default_factory=dict)
-
-    def pipeline(self, member: str) -> PipelineModel:
-        return PipelineModel(stages=list(self.prep.stages) + [self.members[member]])
+    members: Members
 
     def score(self, cleaned: DataFrame, density_scope: str = "fitted",
               keep: list[str] | None = None) -> DataFrame:
         """M6/M7: features -> three members -> both blends (batch or stream);
         ``keep`` columns of the input ride along (scenario keys, zone...)."""
+        ship(cleaned.sparkSession)
         feats = finish_features(self.encoding.transform(row_features(cleaned, decode=False),
                                                         density_scope))
-        x = self.prep.transform(model_frame(feats, label="demand", extra=keep))
-        for m in MEMBERS:
-            x = self.members[m].transform(x)
-        return _blends(x.drop("features", *[c for c in x.columns if c.endswith("_idx")]))
+        return _blends(self.members.predict(model_frame(feats, label="demand", extra=keep)))
 
     def importance(self, member: str = "cat") -> list[tuple[str, float]]:
-        imp = self.members[member].featureImportances.toArray().tolist()
-        return sorted(zip(feature_names(), imp), key=lambda t: -t[1])
+        """Each feature's share of the gain of all splits."""
+        gain = dict.fromkeys(feature_names(), 0.0)
+        for tree in self.members.models[0, MEMBERS.index(member)].trees:
+            for f, g in zip(tree.feature.tolist(), tree.gain.tolist()):
+                if f >= 0:
+                    gain[self.members.binner.features[f]] += g
+        total = sum(gain.values()) or 1.0
+        return sorted(((f, g / total) for f, g in gain.items()), key=lambda t: -t[1])
 
     def save(self, path: str) -> None:
-        """K4/K5: encoder tables and one PipelineModel per member."""
-        self.encoding.save(f"{path}/encoding")
-        self.prep.write().overwrite().save(f"{path}/prep")
-        for m in MEMBERS:
-            self.members[m].write().overwrite().save(f"{path}/member_{m}")
+        """K4/K5: encoder tables, bins and trees, as a new version below ``path`` that one manifest, written last, names:
+        readers see the version before or this one, whole, and a run that stops leaves the one before."""
+        spark = self.encoding.zones.sparkSession
+        version = scratch_name("version")
+        self.encoding.save(f"{path}/{version}/encoding")
+        self.members.save(spark, f"{path}/{version}/members")
+        publish(spark, path, version)
 
     @staticmethod
     def load(spark, path: str) -> "FittedEnsemble":
-        """Artefacts written by ``save``; a missing one is an error."""
-        from pyspark.ml.regression import GBTRegressionModel
-        enc = ZoneEncoding.load(spark, f"{path}/encoding")
-        prep = PipelineModel.load(f"{path}/prep")
-        return FittedEnsemble(enc, prep, {m: GBTRegressionModel.load(f"{path}/member_{m}")
-                                          for m in MEMBERS})
+        """The version of the artefacts that was published last; a missing one is an error."""
+        at = f"{path}/{published(spark, path)}"
+        return FittedEnsemble(ZoneEncoding.load(spark, f"{at}/encoding"), Members.load(spark, f"{at}/members"))
 
 
 @dataclass
@@ -84,81 +108,52 @@ class CVResult:
     fold_metrics: DataFrame | None = None  # fold, model, r2, rmse, mae, n of each fold's validation rows
 
 
-def _fold_frames(cv: DataFrame, holdout: DataFrame, k: int, encoders: tuple | None = None):
-    """Per-fold (train, validation, holdout) model frames, built lazily.
-
-    Fold statistics come from one exploded aggregation (small output).  The
-    training rows of fold f are the cached row features with fold != f, tagged
-    f and encoded with f's statistics, so the (k - 1)-fold copy of the data is
-    never materialised as a whole."""
+def _binned_folds(cv: DataFrame, holdout: DataFrame, k: int, encoders: tuple | None = None):
+    """The binner, the binned training rows and the binned holdout rows, each once for every fold, encoded with that fold's
+    statistics: 40 bytes a row and fold, so no copy of the rows' features is kept."""
     zones, prefixes, glob = encoders or fold_encoders(cv, k)
     n_z = zones.count()
-    labelled = F.col("demand").isNotNull()       # a row without a label cannot train
     spark = cv.sparkSession
-    cv_rf = materialize(row_features(cv.where(labelled)), scratch_dir(spark, "cv-rows"))
+    labelled = F.col("demand").isNotNull()       # a row without a label cannot train
+    folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    def encode(df: DataFrame, extra: str) -> DataFrame:
+        return model_frame(finish_features(encode_with_folds(df, zones, prefixes, glob, n_z)), extra=["fold", extra])
+
+    rows = materialize(row_features(cv.where(labelled)), scratch_dir(spark, "cv-rows")).withColumnRenamed("fold", "__own").withColumn("fold", folds)
     keyed = holdout.where(labelled).withColumn("__key", F.monotonically_increasing_id())  # written once, so it stays
-    hold_rf = materialize(row_features(keyed), scratch_dir(spark, "cv-holdout"))
-
-    def encode(df: DataFrame) -> DataFrame:
-        return model_frame(finish_features(encode_with_folds(df, zones, prefixes, glob, n_z)),
-                           extra=["fold"] + [c for c in df.columns if c == "__key"])
-
-    def frames(f: int):
-        tr = encode(cv_rf.where(F.col("fold") != f).withColumn("fold", F.lit(f)))
-        va = encode(cv_rf.where(F.col("fold") == f))
-        ho = encode(hold_rf.withColumn("fold", F.lit(f)))
-        return tr, va, ho
-
-    return frames
-
-
-def _fit_fold(f: int, frames, cfg: MemberConfig, save_to: str | None = None):
-    """One fold: fit the preprocessing and the three members on the fold's
-    training rows, predict its validation rows and the holdout rows; with ``save_to`` the
-    fold's preprocessing and members are kept there."""
-    tr_f, va_f, ho_f = frames(f)
-    prep_f = preprocessor().fit(tr_f)
-    bins = max_bins(prep_f)
-    tr = prep_f.transform(tr_f).persist()
-    va = cut_lineage(prep_f.transform(va_f))
-    ho = prep_f.transform(ho_f)
-    if save_to:
-        prep_f.write().overwrite().save(f"{save_to}/fold_{f}/prep")
-    for m in MEMBERS:
-        model = fit_member(m, tr, cfg, bins, validation=va)
-        if save_to:
-            model.write().overwrite().save(f"{save_to}/fold_{f}/member_{m}")
-        va = model.transform(va)
-        ho = model.transform(ho)
-    cols = ["row_id", "demand", "fold"] + [f"pred_{m}" for m in MEMBERS]
-    spark = va.sparkSession
-    out = (materialize(va.select(*cols), scratch_dir(spark, "cv-oof")),
-           materialize(ho.select("__key", *cols), scratch_dir(spark, "cv-holdout-scores")))
-    tr.unpersist()
-    return out
+    held = materialize(row_features(keyed), scratch_dir(spark, "cv-holdout")).withColumn("fold", folds)
+    frame = encode(rows, "__own")
+    binner = Binner.fit(frame, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
+    return (binner, materialize(binner.transform(frame), scratch_dir(spark, "cv-bins")),
+            materialize(binner.transform(encode(held, "__key")), scratch_dir(spark, "cv-holdout-bins")))
+
+
+def _training_rows(binned: DataFrame, own: str | None) -> DataFrame:
+    valid = F.col(own) == F.col("fold") if own else F.lit(False)
+    return binned.select((F.col("fold") if own else F.lit(0)).cast("int").alias("set"), "x", F.col("demand").cast("double").alias("y"), valid.alias("valid"),
+                         F.xxhash64("row_id", "demand").alias("u"))
 
 
 def cross_validate(cv_rows: DataFrame, holdout: DataFrame, cfg: MemberConfig, k: int = 5,
-                   seed: int = 42, parallel_folds: int = 1, encoders: tuple | None = None,
-                   save_to: str | None = None) -> CVResult:
-    """``parallel_folds`` above 1 submits the jobs of that many folds at once (each caches its training
-    rows).  ``encoders``: fold statistics that are already fitted; ``save_to``: keeps every fold's models."""
-    from concurrent.futures import ThreadPoolExecutor
+                   seed: int = 42, encoders: tuple | None = None, save_to: str | None = None) -> CVResult:
+    """``encoders``: fold statistics that are already fitted; ``save_to``: keeps every fold's models, and the state of
+    training, from which a run that was stopped resumes."""
+    spark = cv_rows.sparkSession
+    ship(spark)
     cv = assign_folds(cv_rows, k, seed)
-    frames = _fold_frames(cv, holdout, k, encoders)
-    with ThreadPoolExecutor(max_workers=parallel_folds) as pool:
-        parts = list(pool.map(lambda f: _fit_fold(f, frames, cfg, save_to), range(k)))
-    oof = parts[0][0]
-    hp = parts[0][1]
-    for v, h in parts[1:]:
-        oof = oof.unionByName(v)
-        hp = hp.unionByName(h)
-    spark = cv.sparkSession
+    binner, rows, held = _binned_folds(cv, holdout, k, encoders)
+    models = boosting.boost(_training_rows(rows, "__own"), cfg.specs(), cfg.rounds, cfg.patience, SEED, work=save_to and f"{save_to}/training")
+    members = Members(binner, models)
+    if save_to:
+        members.save(spark, save_to)
+    score = lambda df: boosting.predict(df, models, PREDICTIONS, "fold")
+    oof = score(rows.where(F.col("__own") == F.col("fold"))).select("row_id", "demand", "fold", *PREDICTIONS)
     oof = materialize(_blends(oof), scratch_dir(spark, "oof"))
     # a row is averaged over the folds by its own key, so repeated ids stay apart
-    holdout_mean = materialize(_blends(hp.groupBy("__key").agg(
+    holdout_mean = materialize(_blends(score(held).groupBy("__key").agg(
         F.first("row_id").alias("row_id"), F.first("demand").alias("demand"),
-        *[F.avg(f"pred_{m}").alias(f"pred_{m}") for m in MEMBERS]).drop("__key")), scratch_dir(spark, "holdout"))
+        *[F.avg(c).alias(c) for c in PREDICTIONS]).drop("__key")), scratch_dir(spark, "holdout"))
     by_fold = regression_metrics(_long(oof, "fold"), keys=["fold", "model"])
     return CVResult(oof, holdout_mean, _metrics(oof, holdout_mean), by_fold)
 
@@ -178,18 +173,14 @@ def _metrics(oof: DataFrame, hold: DataFrame) -> DataFrame:
 def fit_final(train_clean: DataFrame, cfg: MemberConfig, final_rounds: int | None = None
               ) -> FittedEnsemble:
     """M5: statistics and members refit on every training row."""
+    spark = train_clean.sparkSession
+    ship(spark)
     enc = fit_encoding(train_clean)
     feats = finish_features(enc.transform(row_features(train_clean, decode=False)))
-    frame = materialize(model_frame(feats.where(F.col("demand").isNotNull())),
-                        scratch_dir(train_clean.sparkSession, "model-frame"))
-    prep = preprocessor().fit(frame)
-    x = prep.transform(frame).persist()
-    final_cfg = MemberConfig(rounds=final_rounds or cfg.rounds, patience=None,
-                             max_depth=cfg.max_depth, step=cfg.step)
-    bins = max_bins(prep)
-    members = {m: fit_member(m, x, final_cfg, bins) for m in MEMBERS}
-    x.unpersist()
-    return FittedEnsemble(enc, prep, members)
+    frame = model_frame(feats.where(F.col("demand").isNotNull()))
+    binner = Binner.fit(frame, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
+    rows = materialize(binner.transform(frame), scratch_dir(spark, "final-bins"))
+    return FittedEnsemble(enc, Members(binner, boosting.boost(_training_rows(rows, None), cfg.specs(), final_rounds or cfg.rounds, None, SEED)))
 
 
 def oof_table(cv: CVResult) -> DataFrame:

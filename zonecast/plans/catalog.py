@@ -27,8 +27,8 @@ from zonecast.operators.folds import assign_folds
 from zonecast.operators.joins import maybe_broadcast
 from zonecast.operators.metrics import regression_metrics
 from zonecast.operators.oof import oof_encode
-from zonecast.operators.scenarios import event_surge, incident_grid, incident_parameters, \
-    explode_scenarios
+from zonecast.operators.scenarios import (OVERRIDES, apply_overrides, event_surge, explode_scenarios, incident_grid,
+                                          incident_parameters)
 from zonecast.operators.validation import validate_submission
 from zonecast.operators.features import categorical_frame, engineer
 from zonecast.plans.context import context, rounded
@@ -36,7 +36,7 @@ from zonecast.session import cut_lineage, scratch_dir
 from zonecast.sources import sinks
 from zonecast.sources.readers import read_submission
 from zonecast.streaming.scoring import observation_stream, require_all_rows
-from zonecast.schema import CATEGORICAL_FEATURES, CORR_COLUMNS, CORR_FEATURES
+from zonecast.schema import BLEND_PAIR, BLEND_TRIO, CATEGORICAL_FEATURES, CORR_COLUMNS, CORR_FEATURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -500,6 +500,64 @@ def q_fold_metrics_baseline(spark, sf):
     return rounded(regression_metrics(long.select("fold", "demand", "m.model", "m.prediction"), keys=["fold", "model"]))
 
 
+def _three(mean, median) -> dict:
+    """Zone mean, median and their middle in place of the three members."""
+    return {"cat": mean, "lgb": median, "xgb": mean * 0.5 + median * 0.5}
+
+
+def q_trio_submission_roundtrip(spark, sf):
+    """K2 then S4: the blend of three members written as the second submission and read back typed."""
+    path = _scratch(spark, "trio-roundtrip")
+    f = context(spark, sf).score_features
+    trio = blend(_three(F.col("geo_mean_demand"), F.col("geo_median_demand")), BLEND_TRIO)
+    sinks.write_submission(f.withColumn("trio", trio), path, "trio")
+    return rounded(read_submission(spark, path))
+
+
+def q_oof_roundtrip(spark, sf):
+    """K3 then S4: the out-of-fold table in its seven columns written as CSV and read back typed."""
+    path = _scratch(spark, "oof-roundtrip")
+    val, _ = _fold_members(spark, sf)
+    m = _three(F.col("geo_mean_demand"), F.col("geo_median_demand"))
+    sinks.write_oof(val.select(F.col("row_id").alias("Index"), F.col("demand").alias("demand_true"), *[c.alias(f"pred_{k}") for k, c in m.items()],
+                               blend({k: m[k] for k in BLEND_PAIR}, BLEND_PAIR).alias("pred_ensemble_blend"),
+                               blend(m, BLEND_TRIO).alias("pred_ensemble_trio")), path)
+    return rounded(read_submission(spark, path))
+
+
+def q_prediction_vectors(spark, sf):
+    """K6: out-of-fold and holdout predictions of the members, one row a model, written by split and read back."""
+    path = _scratch(spark, "prediction-vectors")
+    val, hold = _fold_members(spark, sf)
+    m = {"cat": F.col("geo_mean_demand"), "lgb": F.col("geo_median_demand")}
+    mean = hold.groupBy("row_id").agg(*[F.avg(c).alias(f"m_{k}") for k, c in m.items()])
+    models = lambda cols: F.explode(F.array(*[F.struct(F.lit(k).alias("model"), c.alias("prediction")) for k, c in cols.items()])).alias("p")
+    both = (val.select("row_id", F.lit("oof").alias("split"), "fold", models(m))
+            .unionByName(mean.select("row_id", F.lit("holdout").alias("split"), F.lit(None).cast("int").alias("fold"), models({k: F.col(f"m_{k}") for k in m}))))
+    rows = both.select("row_id", "fold", "p.model", "p.prediction", "split")
+    sinks.write_table(rows, path, ["split"])
+    return rounded(spark.read.schema(rows.schema).parquet(path))
+
+
+def q_scenario_parameters(spark, sf):
+    """Every scoring row under every override, with the features that follow from them."""
+    rows = apply_overrides(explode_scenarios(context(spark, sf).score_clean, OVERRIDES))
+    feats = with_weather_features(with_road_features(rows))
+    return rounded(feats.select("row_id", "scenario", F.col("NumberofLanes").cast("int").alias("NumberofLanes"), "Weather", "Temperature",
+                                "weather_severity", "temp_weather_interaction", "road_lane_interaction"))
+
+
+def q_optional_scan(spark, sf):
+    """Rows of the tables that are there; one that is not has none and is no error."""
+    out = None
+    for name in ("events", "documents", "absent_table"):
+        found = sources.read_optional(spark, f"{sf.rstrip('/')}/{name}.parquet")
+        rows = spark.createDataFrame([], "nothing int") if found is None else found
+        one = rows.agg(F.lit(name).alias("name"), F.lit(found is not None).alias("present"), F.count("*").alias("n_rows"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def q_stream_encode(spark, sf):
     """The scoring rows as a stream, cleaned and encoded with the fitted tables, read back from the sink."""
     ctx = context(spark, sf)

@@ -472,6 +472,27 @@ def oracle_sql() -> dict[str, str]:
                          f"FROM {members} WHERE split = 'val'")
     s["holdout_average"] = (f"{BASE}, {_oof()} SELECT row_id, {r('avg(geo_mean_demand)', 'pred_cat')}, {r('avg(geo_median_demand)', 'pred_lgb')} "
                             f"FROM fenc WHERE split = 'holdout' GROUP BY row_id")
+    mid = "(0.5 * geo_mean_demand + 0.5 * geo_median_demand)"
+    trio = f"0.5 * geo_mean_demand + 0.3 * geo_median_demand + 0.2 * {mid}"
+    s["trio_submission_roundtrip"] = f"{BASE} SELECT row_id AS Index, {r(trio, 'demand')} FROM ({_encode('cs')}) e"
+    s["oof_roundtrip"] = (f"{BASE}, {_oof()} SELECT row_id AS Index, {r('demand', 'demand_true')}, {r('geo_mean_demand', 'pred_cat')}, "
+                          f"{r('geo_median_demand', 'pred_lgb')}, {r(mid, 'pred_xgb')}, "
+                          f"{r('0.6 * geo_mean_demand + 0.4 * geo_median_demand', 'pred_ensemble_blend')}, {r(trio, 'pred_ensemble_trio')} "
+                          f"FROM {members} WHERE split = 'val'")
+    s["prediction_vectors"] = f"""{BASE}, {_oof()}, v AS (
+          SELECT row_id, 'oof' AS split, fold, geo_mean_demand AS c, geo_median_demand AS l FROM fenc WHERE split = 'val'
+          UNION ALL SELECT row_id, 'holdout', NULL, avg(geo_mean_demand), avg(geo_median_demand) FROM fenc WHERE split = 'holdout' GROUP BY row_id)
+        SELECT row_id, split, CAST(fold AS INTEGER) AS fold, 'cat' AS model, {r('c', 'prediction')} FROM v
+        UNION ALL SELECT row_id, split, CAST(fold AS INTEGER), 'lgb', {rd('l')} FROM v"""
+    s["scenario_parameters"] = f"""{BASE}, o(scenario, lanes, weather, temperature) AS (VALUES
+          ('lanes_1', 1, NULL, NULL), ('snow', NULL, 'Snowy', NULL), ('heat', NULL, NULL, 40.0)),
+        x AS (SELECT row_id, RoadType, scenario, coalesce(o.lanes, NumberofLanes) AS lanes, coalesce(o.weather, cs.Weather) AS Weather,
+                coalesce(o.temperature, cs.Temperature) AS Temperature FROM cs CROSS JOIN o)
+        SELECT row_id, scenario, CAST(lanes AS INTEGER) AS NumberofLanes, Weather, {r('Temperature', 'Temperature')},
+          {_sev('Weather')} AS weather_severity, {r('Temperature * ' + _sev('Weather'), 'temp_weather_interaction')},
+          RoadType || '_' || CAST(CAST(lanes AS INTEGER) AS VARCHAR) AS road_lane_interaction FROM x"""
+    s["optional_scan"] = """SELECT 'events' AS name, true AS present, count(*) AS n_rows FROM events
+        UNION ALL SELECT 'documents', true, count(*) FROM documents UNION ALL SELECT 'absent_table', false, 0"""
     s["fold_metrics_baseline"] = f"""{BASE}, {_oof()}, v AS (SELECT * FROM {members} WHERE split = 'val'),
         l AS (SELECT fold, demand, 'zone_mean' AS model, geo_mean_demand AS prediction FROM v
               UNION ALL SELECT fold, demand, 'zone_median', geo_median_demand FROM v)

@@ -33,7 +33,7 @@ from zonecast.sources.readers import read_observations, read_submission
 
 def train_and_evaluate(spark: SparkSession, train: DataFrame, out: str, cfg: MemberConfig,
                        train_days=(48,), holdout_days=(49,), final_rounds: int | None = None,
-                       k: int = 5, seed: int = 42, parallel_folds: int = 1) -> DataFrame:
+                       k: int = 5, seed: int = 42) -> DataFrame:
     """Returns the cross-validation metrics table; writes medians, fold
     statistics, category maps, OOF CSV, predictions and final models."""
     # one dedup shuffle, written once; later passes read only the columns they use
@@ -46,7 +46,7 @@ def train_and_evaluate(spark: SparkSession, train: DataFrame, out: str, cfg: Mem
     sinks.write_table(zones, f"{out}/fold_stats/zones", ["fold"])
     sinks.write_table(prefixes, f"{out}/fold_stats/prefixes", ["fold"])
     sinks.write_table(glob, f"{out}/fold_stats/globals")
-    cv = cross_validate(cv_rows, hold, cfg, k, seed, parallel_folds, encoders, f"{out}/fold_models")
+    cv = cross_validate(cv_rows, hold, cfg, k, seed, encoders, f"{out}/fold_models")
     sinks.write_table(cleaning.dedup_report(train), f"{out}/dedup_report")
     sinks.write_table(cv.fold_metrics, f"{out}/fold_metrics")
     sinks.write_oof(oof_table(cv), f"{out}/oof_predictions_csv")
@@ -81,8 +81,8 @@ def run_inference(spark: SparkSession, test: DataFrame, models: str, out: str,
 
 
 def retrain_final(spark: SparkSession, train: DataFrame, out: str, cfg: MemberConfig, final_rounds: int | None = None) -> None:
-    """Only the final members, on all training rows cleaned with the medians saved below ``out``; the
-    encoder, members and category maps there are replaced."""
+    """Only the final members, on all training rows cleaned with the medians saved below ``out``; the encoder and members are
+    published as a new version, then the category maps are replaced."""
     medians = cleaning.Medians.load(spark, f"{out}/train_medians")
     clean = materialize(cleaning.clean(cleaning.dedup(train), medians), scratch_dir(spark, "final-train"))
     final = fit_final(clean, cfg, final_rounds)
@@ -114,8 +114,6 @@ def _main() -> None:
     ap.add_argument("--final-rounds", type=int, default=1200)
     ap.add_argument("--patience", type=int, default=50)
     ap.add_argument("--expected-rows", type=int)
-    ap.add_argument("--parallel-folds", type=int,
-                    default=1, help="folds trained at once")
     ap.add_argument("--submission", help="file or folder to validate")
     ap.add_argument("--split-day", type=int,
                     help="train/validate on days <= N, hold out days > N "
@@ -131,8 +129,7 @@ def _main() -> None:
             days = dict(train_days=lambda d: d <= n, holdout_days=lambda d: d > n)
         m = train_and_evaluate(spark, read_observations(spark, a.train, fmt), a.out,
                                MemberConfig(rounds=a.rounds, patience=a.patience),
-                               final_rounds=a.final_rounds, parallel_folds=a.parallel_folds,
-                               **days)
+                               final_rounds=a.final_rounds, **days)
     elif a.mode == "final":
         retrain_final(spark, read_observations(spark, a.train, fmt), a.out, MemberConfig(rounds=a.rounds, patience=a.patience), a.final_rounds)
         return

@@ -66,6 +66,50 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of a session whose cluster does not have it installed."""
+    import shutil
+    from pathlib import Path
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        at = Path(__file__).resolve().parent
+        if at.is_dir():
+            folder = tempfile.mkdtemp()
+            spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{at.name}", "zip", at.parent, at.name))
+
+
+def scratch_name(name: str) -> str:
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Names ``version`` as the one to read below ``path``: a small table of its own, greater in number than those before."""
+    n = max(_manifests(spark, path, whole=False), default=0) + 1
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{path}/manifest-{n:08d}")
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The version that was published last below ``path``; none is an error."""
+    found = _manifests(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no published version in {path}")
+    return spark.read.schema("version string").parquet(f"{path}/manifest-{max(found):08d}").first()["version"]
+
+
+def _manifests(spark: SparkSession, path: str, whole: bool = True) -> list[int]:
+    """Numbers of the manifests below ``path``: with ``whole``, those that were written to the end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    done = lambda f: not whole or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+    return [int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("manifest-") and done(f)]
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
