@@ -4,12 +4,15 @@ A gear hash rolls over a text's bytes: ``h = (h << 1) + gear[byte]`` modulo 2^32
 last 32 bytes alone.  A chunk ends where the top bits of the hash are zero, at ``MIN`` bytes or
 more; if that is nowhere up to ``MAX`` bytes, where the hash is greatest.  An insertion moves only the chunks around it; after the next shared end the chunks of two
 texts agree again.  A chunk's anchor is the chunk with as many whole chunks before it as make ``ANCHOR`` bytes; it is
-known by a 128-bit digest, and an anchor that a document of smaller id has too is a repeat.  A run of overlapping or touching
-repeats of one first document is extended to the left and right for as long as its bytes equal those around the anchor's
+known by a 64-bit digest.  Of every ``WINDOW`` consecutive anchors the one of least digest is stored, so two texts that share
+``WINDOW`` consecutive anchors (some 140 bytes) store one of them both, and two that share fewer often do; a stored
+anchor that a document of smaller id has too is a repeat.  Repeats of one first document are one run where they overlap or touch, or
+where the digest of all bytes from one to the next is that of the first document at the same distance.  A run is
+extended to the left and right for as long as its bytes equal those around its
 first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate spans, unless one of a smaller first document
-has bytes of the run's anchors.  Touching runs of several first documents count by their sum where no span is.
+has bytes of the run's anchors.  Touching runs of several first documents count by their sum where no span is.  An anchor has
+fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.
 
-* The hash starts anew with each text, so no end depends on another text.
 * Digests, offsets, ids and the bytes around a run's ends are shuffled, texts if the ends exceed the broadcast bound.  Each digest's first document is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
@@ -29,15 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from zonecast.llm.common import _batch, documents, text_buffer, written
+from zonecast.llm.common import _batch, batches, discard, documents, text_buffer, written
 
-MIN, MAX, MASK_BITS = 8, 64, 4
+MIN, MAX, MASK_BITS, WINDOW = 8, 64, 4, 4
 #: Least bytes of an anchor; bytes compared at a run's end at first, eight times as many each further round.
-ANCHOR, REACH = 32, 512
+ANCHOR, REACH = 32, 64
 MIN_RUN = 100
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -91,38 +93,88 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
         yield ends
 
 
+def least(digests: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The places of the least digest of every ``window`` consecutive ones (of all, if fewer), ascending."""
+    if len(digests) <= window:
+        return np.array([digests.argmin()]) if len(digests) else np.zeros(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(digests, window).argmin(axis=1) + np.arange(len(digests) - window + 1))
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, t (text hash), start, length, d1, d2`` of every chunk's anchor; the digest is in d1 and d2."""
+    """``doc_id, t (text hash), start, length, d, link`` of every stored anchor; ``link`` is the digest of the bytes from the stored
+    anchor before on, NULL for a text's first."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest as digest
 
         for big in it:
             for lo in range(0, big.num_rows, 2000):
                 b = big.slice(lo, 2000)
                 data, offsets = text_buffer(b)
                 raw = data.tobytes()
-                count, start, length, digest = [], [], [], []
+                count, start, length, d, link = [], [], [], [], []
                 for a, ends in zip(offsets.tolist(), cut_points(data, offsets)):
-                    n, back, cuts = 0, 0, [0, *ends]
+                    back, cuts, spans = 0, [0, *ends], []
                     for end in ends:
                         if end < ANCHOR:
                             continue
                         while cuts[back + 1] <= end - ANCHOR:
                             back += 1
-                        at = cuts[back]
-                        start.append(at)
-                        length.append(end - at)
-                        digest.append(xxh3_128_digest(raw[a + at:a + end]))
-                        n += 1
-                    count.append(n)
-                d = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+                        spans.append((a + cuts[back], a + end))
+                    own = np.array([digest(raw[x:z]) for x, z in spans], np.uint64)
+                    kept, before = least(own).tolist(), None
+                    for i in kept:
+                        x, z = spans[i]
+                        start.append(x - a)
+                        length.append(z - x)
+                        link.append(None if before is None else digest(raw[before:z]) - (1 << 63))
+                        before = x
+                    d.append(own[kept].view(np.int64))
+                    count.append(len(kept))
                 doc = pa.array(np.repeat(np.arange(b.num_rows), count))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(2).take(doc), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
-                                                  pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))],
-                                                 names=["doc_id", "t", "start", "length", "d1", "d2"])
+                                                  pa.array(np.concatenate(d) if d else np.zeros(0, np.int64)), pa.array(link, pa.int64())],
+                                                 names=["doc_id", "t", "start", "length", "d", "link"])
+
+    return written(_keyed(docs).mapInArrow(rows, "doc_id long, t long, start int, length int, d long, link long"), "chunks")
+
 
-    return written(_keyed(docs).mapInArrow(rows, "doc_id long, t long, start int, length int, d1 long, d2 long"), "chunks")
+RUNS = pa.schema([("run", pa.string()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_chunks", pa.int64()),
+                  ("first", pa.int64()), ("f_t", pa.int64()), ("f_from", pa.int32()), ("f_to", pa.int32())])
+
+
+def runs_of(hits: DataFrame) -> DataFrame:
+    """``RUNS``: the repeated anchors ``hits (doc_id, t, start, length, link, f)`` of each text in runs."""
+
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs() -> Iterator[tuple]:
+            open_, last, n = None, None, 0
+            for b in it:
+                for doc, t, start, length, link, f_id, f_t, f_start, f_link in zip(*(c.to_pylist() for c in b.columns)):
+                    if (doc, t, start) == last:
+                        continue  # a row that is repeated brings each of its anchors again
+                    same = last is not None and (doc, t) == last[:2]
+                    last = doc, t, start
+                    linked = same and open_[5:7] == [f_id, f_t] and (start <= open_[3] or link == f_link is not None and start - f_start == open_[3] - open_[8])
+                    if linked:
+                        open_[3], open_[4], open_[8] = start + length, open_[4] + 1, f_start + length
+                        continue
+                    if open_:
+                        yield closed(open_, n)
+                    n = n + 1 if same else 0
+                    open_ = [doc, t, start, start + length, 1, f_id, f_t, f_start, f_start + length]
+            if open_:
+                yield closed(open_, n)
+
+        def closed(r: list, n: int) -> tuple:
+            return f"{r[0]}:{r[1]}:{n}", *r
+
+        yield from batches(runs(), RUNS)
+
+    flat = hits.select("doc_id", "t", "start", "length", "link", "f.doc_id", "f.t", "f.start", "f.link").toDF(
+        "doc_id", "t", "start", "length", "link", "f_id", "f_t", "f_start", "f_link")
+    return flat.repartition("doc_id", "t").sortWithinPartitions("doc_id", "t", "start").mapInArrow(
+        rows, "run string, doc_id long, t long, start int, end int, n_chunks long, first long, f_t long, f_from int, f_to int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -194,25 +246,15 @@ def duplicate_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``doc_id, t, start, length, n_chunks, first_doc_ids``: runs of anchors that documents of smaller id have, extended
     by the bytes that agree around them."""
     all_chunks = chunks(docs)
-    first = all_chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = written(first.select("d1", "d2", "first"), "chunk-firsts")
+    first = all_chunks.groupBy("d").agg(F.min(F.struct("doc_id", "t", "start", "link")).alias("f"), F.max("doc_id").alias("last"))
+    first = written(first.where("f.doc_id < last").select("d", "f"), "chunk-firsts")
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = written(all_chunks.join(F.broadcast(first) if few else first, ["d1", "d2"]), "chunk-hits")
-    source = both.where("doc_id = first").groupBy("d1", "d2").agg(F.min(F.struct("t", "start")).alias("s"))
-    # a row that is repeated brings each of its chunks again
-    once = both.where("doc_id > first").select("doc_id", "t", "start", "length", "first", "d1", "d2").distinct()
-    doc = Window.partitionBy("doc_id", "t").orderBy("end", "start")  # one document's anchors
-    breaks = F.when((F.col("start") <= F.lag("end").over(doc)) & (F.col("first") == F.lag("first").over(doc)), 0).otherwise(1)
-    numbered = once.withColumn("end", F.col("start") + F.col("length")).withColumn("new", breaks).withColumn("n", F.sum("new").over(doc))
-    runs = (numbered.groupBy("doc_id", "t", "n").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"),
-        F.min(F.struct("start", "end", "first", "d1", "d2")).alias("l"), F.max(F.struct("end", "start", "first", "d1", "d2")).alias("r")))
-    runs = written(runs.withColumn("run", F.concat_ws(":", "doc_id", "t", "n")), "span-runs")
-    edge = lambda side, c: runs.select("run", F.lit(side).alias("side"), "doc_id", "t", F.col(f"{c}.start").alias("at"), F.col(f"{c}.end").alias("end"),
-                                       F.col(f"{c}.first").alias("f_id"), F.col(f"{c}.d1").alias("d1"), F.col(f"{c}.d2").alias("d2"))
-    size = F.when(F.col("side") == 1, F.col("end") - F.col("at")).otherwise(0)
-    ends = written(edge(0, "l").union(edge(1, "r")).join(source, ["d1", "d2"]).select(
-        "run", "side", "doc_id", "t", (F.col("at") + size).alias("at"), "f_id", F.col("s.t").alias("f_t"), (F.col("s.start") + size).alias("f_at")), "span-ends")
+    hits = all_chunks.join(F.broadcast(first) if few else first, "d").where("doc_id > f.doc_id")
+    runs = written(runs_of(hits), "span-runs")
+    discard(all_chunks)
+    edge = lambda side, at, f_at: runs.select("run", F.lit(side).alias("side"), "doc_id", "t", F.col(at).alias("at"), F.col("first").alias("f_id"), "f_t",
+                                              F.col(f_at).alias("f_at"))
+    ends = edge(0, "start", "f_from").union(edge(1, "end", "f_to"))
     moved = extensions(docs, ends).groupBy("run").agg(*[F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).cast("int").alias(c) for i, c in ((0, "by_l"), (1, "by_r"))])
     by_doc = runs.join(moved, "run").groupBy("doc_id", "t").agg(F.collect_list(F.struct(
         "first", "start", "end", (F.col("start") - F.col("by_l")).alias("from"), (F.col("end") + F.col("by_r")).alias("to"), "n_chunks")).alias("runs"))
