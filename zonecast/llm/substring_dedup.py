@@ -5,15 +5,15 @@ last 32 bytes alone.  A chunk ends where the top bits of the hash are zero, at `
 more; if that is nowhere up to ``MAX`` bytes, where the hash is greatest.  An insertion moves only the chunks around it; after the next shared end the chunks of two
 texts agree again.  A chunk's anchor is the chunk with as many whole chunks before it as make ``ANCHOR`` bytes; it is
 known by a 64-bit digest.  Of every ``WINDOW`` consecutive anchors the one of least digest is stored, so two texts that share
-``WINDOW`` consecutive anchors (some 140 bytes) store one of them both, and two that share fewer often do; a stored
+``WINDOW`` consecutive anchors (as pieces of some 260 bytes do) store one of them both, and two that share fewer often do; a stored
 anchor that a document of smaller id has too is a repeat.  Repeats of one first document are one run where they overlap or touch, or
 where the digest of all bytes from one to the next is that of the first document at the same distance.  A run is
 extended to the left and right for as long as its bytes equal those around its
-first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate spans, unless one of a smaller first document
-has bytes of the run's anchors.  Touching runs of several first documents count by their sum where no span is.  An anchor has
-fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.
+first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate spans, joined where they overlap or touch.  Touching runs of several first documents count by their sum where no span is.  An anchor has
+fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.  Not marked: the end of a piece that the
+run's first document lacks, unless an anchor stored for that end too says who has it; shared pieces of less than some 260 bytes that have no stored anchor in common.
 
-* Digests, offsets, ids and the bytes around a run's ends are shuffled, texts if the ends exceed the broadcast bound.  Each digest's first document is an aggregate with
+* Digests, offsets, ids and the bytes around a run's ends are shuffled, texts if the ends exceed the broadcast bound.  Each digest's first place is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
 
@@ -288,14 +288,11 @@ def chosen(runs: list[tuple], min_run: int) -> list[tuple[int, int, int, list[in
         held[lo:hi] = [[min([a, *(h[0] for h in old)]), max([z, *(h[1] for h in old)]), n + sum(h[2] for h in old), firsts.union(*(h[3] for h in old))]]
 
     for first, ours in groupby(sorted(runs), key=lambda r: r[0]):
-        able = []
         for r in ours:
-            lo, hi = touched(r[1], r[2])
-            if any(h[0] < r[2] and r[1] < h[1] for h in held[lo:hi]):
-                continue  # a smaller first document has it
-            (able if r[4] - r[3] >= min_run else left).append(r)
-        for r in able:
-            hold(r[3], r[4], r[5], {first})
+            if r[4] - r[3] >= min_run:
+                hold(r[3], r[4], r[5], {first})
+            else:
+                left.append(r)
     joined: list[list] = []
     for first, a, z, lo, hi, n in sorted(left, key=lambda r: r[3]):
         at, upto = touched(a, z)
