@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.session import scratch_dir
+from zonecast.session import scratch_dir, ship
 
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return:
 #: exactly what ``bytes.split()`` yields.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the workers of a session whose cluster does not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        at = Path(__file__).resolve().parents[1]
-        if at.is_dir():
-            zipped = shutil.make_archive(f"{tempfile.mkdtemp()}/{at.name}", "zip", at.parent, at.name)
-            spark.sparkContext.addPyFile(zipped)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
