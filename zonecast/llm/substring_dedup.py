@@ -13,7 +13,7 @@ first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate sp
 fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.  Not marked: the end of a piece that the
 run's first document lacks, unless an anchor stored for that end too says who has it; shared pieces of less than some 260 bytes that have no stored anchor in common.
 
-* Digests, offsets, ids and the bytes around a run's ends are shuffled, texts if the ends exceed the broadcast bound.  Each digest's first place is an aggregate with
+* Digests, offsets, ids and the bytes around a run's ends are shuffled at every size, texts if the ends exceed the broadcast bound.  Each digest's first place is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
 
@@ -248,8 +248,8 @@ def duplicate_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     all_chunks = chunks(docs)
     first = all_chunks.groupBy("d").agg(F.min(F.struct("doc_id", "t", "start", "link")).alias("f"), F.max("doc_id").alias("last"))
     first = written(first.where("f.doc_id < last").select("d", "f"), "chunk-firsts")
-    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = all_chunks.join(F.broadcast(first) if few else first, "d").where("doc_id > f.doc_id")
+    # digests grow with the texts: sorted and merged at every size, hot ones split by AQE
+    hits = all_chunks.join(first.hint("merge"), "d").where("doc_id > f.doc_id")
     runs = written(runs_of(hits), "span-runs")
     discard(all_chunks)
     edge = lambda side, at, f_at: runs.select("run", F.lit(side).alias("side"), "doc_id", "t", F.col(at).alias("at"), F.col("first").alias("f_id"), "f_t",
