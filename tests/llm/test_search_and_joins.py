@@ -263,10 +263,9 @@ def test_spans_of_odd_rows(spark):
     assert substring_dedup.duplicate_spans(none(spark)).collect() == []
 
 
-def test_spans_without_broadcast(spark, monkeypatch):
-    want = sorted(map(str, substring_dedup.duplicate_spans(odd(spark)).collect()))
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
-    assert sorted(map(str, substring_dedup.duplicate_spans(odd(spark)).collect())) == want
+def test_span_plan_broadcasts_nothing(spark):
+    plan = substring_dedup.duplicate_spans(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_repeats_of_260_bytes_are_covered(spark):

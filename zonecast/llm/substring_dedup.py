@@ -13,7 +13,7 @@ first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate sp
 fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.  Not marked: the end of a piece that the
 run's first document lacks, unless an anchor stored for that end too says who has it; shared pieces of less than some 260 bytes that have no stored anchor in common.
 
-* Digests, offsets, ids and the bytes around a run's ends are shuffled at every size, texts if the ends exceed the broadcast bound.  Each digest's first place is an aggregate with
+* Digests, offsets, ids, the bytes around a run's ends and, a round of extension, the texts are shuffled: the same plan at every size, nothing is broadcast.  Each digest's first place is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
 
@@ -36,10 +36,9 @@ from pyspark.sql import functions as F
 from zonecast.llm.common import _batch, batches, discard, documents, text_buffer, written
 
 MIN, MAX, MASK_BITS, WINDOW = 8, 64, 4, 4
-#: Least bytes of an anchor; bytes compared at a run's end at first, eight times as many each further round.
+#: Least bytes of an anchor; bytes compared at a run's end at first, 64 times as many each further round.
 ANCHOR, REACH = 32, 64
 MIN_RUN = 100
-BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -221,20 +220,19 @@ def extensions(docs: DataFrame, ends: DataFrame) -> DataFrame:
         wide = reach + 4  # the bytes beyond the reach show whether a character ends there
         own = ends.select("doc_id", "t", "at", "side")
         places = written(own.union(ends.select("f_id", "f_t", "f_at", "side")).distinct(), "span-places")
-        few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         lo = F.greatest(F.col("at") - wide, F.lit(0))
         around = F.when(F.col("side") == 0, F.expr("raw").substr(lo + 1, F.col("at") - lo)).otherwise(F.expr("raw").substr(F.col("at") + 1, F.lit(wide)))
-        found = keyed.join(F.broadcast(places) if few else places, ["doc_id", "t"]).select("doc_id", "t", "at", "side", around.alias("raw"))
+        found = keyed.join(places.hint("merge"), ["doc_id", "t"]).select("doc_id", "t", "at", "side", around.alias("raw"))
         bytes_at = written(found.dropDuplicates(["doc_id", "t", "at", "side"]), "span-bytes")
         other = bytes_at.select(F.col("doc_id").alias("f_id"), F.col("t").alias("f_t"), F.col("at").alias("f_at"), "side", F.col("raw").alias("other"))
-        pairs = ends.join(bytes_at.withColumnRenamed("raw", "own"), ["doc_id", "t", "at", "side"]).join(other, ["f_id", "f_t", "f_at", "side"])
+        pairs = ends.join(bytes_at.withColumnRenamed("raw", "own").hint("merge"), ["doc_id", "t", "at", "side"]).join(other.hint("merge"), ["f_id", "f_t", "f_at", "side"])
         got = written(pairs.select("run", "side", "own", "other").mapInArrow(partial(matched, reach=reach), "run string, side int, n int, more boolean"), "span-ends")
         rounds.append(got.select("run", "side", "n"))
         if got.where("more").limit(1).count() == 0:
             break
-        reach *= 8  # few rounds, however long the texts
+        reach *= 64  # few rounds, however long the texts
         step = F.when(F.col("side") == 0, -F.col("n")).otherwise(F.col("n"))
-        ends = written(ends.join(got.where("more").select("run", "side", "n"), ["run", "side"]).select(
+        ends = written(ends.join(got.where("more").select("run", "side", "n").hint("merge"), ["run", "side"]).select(
             "run", "side", "doc_id", "t", (F.col("at") + step).alias("at"), "f_id", "f_t", (F.col("f_at") + step).alias("f_at")), "span-ends")
     out = rounds[0]
     for r in rounds[1:]:
@@ -256,7 +254,7 @@ def duplicate_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                                               F.col(f_at).alias("f_at"))
     ends = edge(0, "start", "f_from").union(edge(1, "end", "f_to"))
     moved = extensions(docs, ends).groupBy("run").agg(*[F.sum(F.when(F.col("side") == i, F.col("n")).otherwise(0)).cast("int").alias(c) for i, c in ((0, "by_l"), (1, "by_r"))])
-    by_doc = runs.join(moved, "run").groupBy("doc_id", "t").agg(F.collect_list(F.struct(
+    by_doc = runs.join(moved.hint("merge"), "run").groupBy("doc_id", "t").agg(F.collect_list(F.struct(
         "first", "start", "end", (F.col("start") - F.col("by_l")).alias("from"), (F.col("end") + F.col("by_r")).alias("to"), "n_chunks")).alias("runs"))
 
     def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
