@@ -13,7 +13,7 @@ first occurrence; runs that then have ``MIN_RUN`` bytes or more are duplicate sp
 fewer bytes than ``MIN_RUN``, so two digests that are equal by chance make no span.  Not marked: the end of a piece that the
 run's first document lacks, unless an anchor stored for that end too says who has it; shared pieces of less than some 260 bytes that have no stored anchor in common.
 
-* Digests, offsets, ids, the bytes around a run's ends and, a round of extension, the texts are shuffled: the same plan at every size, nothing is broadcast.  Each digest's first place is an aggregate with
+* Digests, offsets, ids, the bytes around a run's ends and, a round of extension, the compressed texts are shuffled: the same plan at every size, nothing is broadcast.  Each digest's first place is an aggregate with
   map-side combine, so a passage that a third of all documents hold is one row a task.
 * Ends lie between characters, so removed spans leave valid text.
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.llm.common import _batch, batches, discard, documents, text_buffer, written
+from zonecast.llm.common import _batch, batches, discard, documents, text_buffer, text_bytes, written
 
 MIN, MAX, MASK_BITS, WINDOW = 8, 64, 4, 4
 #: Least bytes of an anchor; bytes compared at a run's end at first, 64 times as many each further round.
@@ -180,6 +180,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return documents(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("t"))
 
 
+def packed_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle to their run ends: it moves whole texts, so their bytes decide what it costs."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in it:
+        packed = [pack.compress(x) for x in text_bytes(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "t", "packed"])
+
+
+def bytes_around(it: Iterator[pa.RecordBatch], wide: int) -> Iterator[pa.RecordBatch]:
+    """For rows ``doc_id, t, packed, at, side`` a row a place: the ``wide`` bytes before it (side 0) or from it on."""
+    import zstandard
+
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("side", pa.int32()), ("raw", pa.binary())])
+
+    def rows() -> Iterator[tuple]:
+        unpack = zstandard.ZstdDecompressor()
+        for b in it:
+            for i in range(b.num_rows):
+                doc, t, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), unpack.decompress(b.column(2)[i].as_py())
+                for at, side in zip(b.column(3)[i].as_py(), b.column(4)[i].as_py()):
+                    yield doc, t, at, side, raw[max(at - wide, 0):at] if side == 0 else raw[at:at + wide]
+
+    yield from batches(rows(), schema, max(64, (4 << 20) // wide))
+
+
 def matched(it: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """For rows ``run, side, own, other``: how many of the bytes next to the end agree, cut between characters, and whether
     there may be more."""
@@ -214,19 +241,20 @@ def _common(x: bytes, y: bytes) -> int:
 def extensions(docs: DataFrame, ends: DataFrame) -> DataFrame:
     """``run, side, n``: by how many bytes each of ``ends (run, side, doc_id, t, at, f_id, f_t, f_at)`` can move outwards
     (side 0: to the left) while the text has the bytes that (f_id, f_t) has at f_at."""
-    keyed = _keyed(docs).select("doc_id", "t", F.col("text").cast("binary").alias("raw"))
+    keyed = _keyed(docs).mapInArrow(packed_texts, "doc_id long, t long, packed binary")
     rounds, reach = [], REACH
     while True:
-        wide = reach + 4  # the bytes beyond the reach show whether a character ends there
         own = ends.select("doc_id", "t", "at", "side")
-        places = written(own.union(ends.select("f_id", "f_t", "f_at", "side")).distinct(), "span-places")
-        lo = F.greatest(F.col("at") - wide, F.lit(0))
-        around = F.when(F.col("side") == 0, F.expr("raw").substr(lo + 1, F.col("at") - lo)).otherwise(F.expr("raw").substr(F.col("at") + 1, F.lit(wide)))
-        found = keyed.join(places.hint("merge"), ["doc_id", "t"]).select("doc_id", "t", "at", "side", around.alias("raw"))
-        bytes_at = written(found.dropDuplicates(["doc_id", "t", "at", "side"]), "span-bytes")
+        places = own.union(ends.select("f_id", "f_t", "f_at", "side")).distinct()
+        places = places.groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"), F.collect_list("side").alias("side"))  # bounded by a text's length
+        wide = reach + 4  # the bytes beyond the reach show whether a character ends there
+        found = keyed.join(places.hint("merge"), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+        bytes_at = written(found.select("doc_id", "t", "packed", "at", "side").mapInArrow(
+            partial(bytes_around, wide=wide), "doc_id long, t long, at int, side int, raw binary"), "span-bytes")
         other = bytes_at.select(F.col("doc_id").alias("f_id"), F.col("t").alias("f_t"), F.col("at").alias("f_at"), "side", F.col("raw").alias("other"))
         pairs = ends.join(bytes_at.withColumnRenamed("raw", "own").hint("merge"), ["doc_id", "t", "at", "side"]).join(other.hint("merge"), ["f_id", "f_t", "f_at", "side"])
         got = written(pairs.select("run", "side", "own", "other").mapInArrow(partial(matched, reach=reach), "run string, side int, n int, more boolean"), "span-ends")
+        discard(bytes_at)
         rounds.append(got.select("run", "side", "n"))
         if got.where("more").limit(1).count() == 0:
             break
