@@ -71,7 +71,48 @@ def test_blocks_are_skipped_by_their_bounds():
     rows = [near.view(Watched), *[f.view(Watched) for f in far]]
     ids = [np.array([1, 2]), *[np.array([10 * k, 10 * k + 1]) for k in range(1, 6)]]
     got = list(block_search.search_shard(ids, rows, np.array([99]), np.array([[1, 1]]), 2))
-    assert got == [(99, 1, 18), (99, 2, 17)] and len(seen) == 1
+    assert got == [(0, 1, 18), (0, 2, 17)] and len(seen) == 1
+
+
+def test_repeated_queries_are_asked_once_and_vectors_of_one_id_apart(spark):
+    rows = [(i, [float(i % 5), float(i % 3)]) for i in range(40)] + [(0, [0.0, 0.0]), (20, [1.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = table.where("vec_id % 20 = 0")
+    got = sorted(tuple(r) for r in block_search.top_k(table, asked.union(asked)).collect())
+    ok = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q, w in {(q, tuple(w)) for q, w in ok if q % 20 == 0}:
+        best = sorted(((-int(v @ np.array(w)), i) for i, v in ok if i != q))[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert len(got) == 30 and got == sorted(want)
+    con_ = duckdb.connect()
+    con_.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con_.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    sql = block_search.oracle_sql(every=20)
+    assert sorted(con_.execute(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall()) == got
+
+
+def test_index_prunes_clustered_vectors():
+    """On vectors in clusters, as embeddings of topics are, most blocks are never scored."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(0, 300, (40, 16))
+    rows = [np.floor(c + rnd.normal(0, 20, (64, 16))).astype(np.int64) for c in centres]
+    ids = [np.arange(64) + 64 * k for k in range(40)]
+    scored = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            scored.append(1)
+            return np.asarray(self) @ other
+
+    q = np.stack([r[0] for r in rows])
+    got = list(block_search.search_shard(ids, [r.view(Watched) for r in rows], np.arange(40) * 64, q, 10))
+    all_ids, all_rows = np.concatenate(ids), np.concatenate(rows)
+    for j in range(40):
+        s = all_rows @ q[j]
+        best = [i for i in np.lexsort((all_ids, -s)) if all_ids[i] != j * 64][:10]
+        assert [(i, s_) for n, i, s_ in got if n == j] == [(int(all_ids[i]), int(s[i])) for i in best]
+    assert len(scored) < 40 * 40 / 4
 
 
 # ---- 5

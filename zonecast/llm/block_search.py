@@ -13,7 +13,8 @@ below the query's k-th score.  Shards give their k best, and a last ranking merg
 Ties go to the smaller id: a block whose bound equals the k-th score is skipped only if its smallest
 id is greater than the k-th's.  Defined cases: vectors that are NULL, hold NULL or non-finite components,
 or have a NULL id take no part; so do those of another length than most others' (the most frequent,
-the longest on a tie); repeated ids each take a rank; a query meets every row but those of its own id.
+the longest on a tie); repeated ids each take a rank; a query meets every row but those of its own id; a query row that
+is repeated is asked once, and two different vectors of one query id are two queries with ranks of their own.
 """
 
 from __future__ import annotations
@@ -83,12 +84,12 @@ def blocks(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def search_shard(ids: list[np.ndarray], rows: list[np.ndarray], q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's k best in a shard, and how they were found is exact."""
+    """(number of the query, vector id, score) of each query's k best in a shard, and how they were found is exact."""
     top = np.stack([r.max(0) for r in rows])
     low = np.stack([r.min(0) for r in rows])
     first = np.array([i.min() for i in ids])
     bounds = np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T
-    for own, weights, bound in zip(q_ids.tolist(), q, bounds):
+    for number, (own, weights, bound) in enumerate(zip(q_ids.tolist(), q, bounds)):
         best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in np.lexsort((first, -bound)).tolist():
             if len(best_s) == k and bound[at] <= best_s[-1]:
@@ -101,24 +102,26 @@ def search_shard(ids: list[np.ndarray], rows: list[np.ndarray], q_ids: np.ndarra
             keep = np.lexsort((i, -s))[:k]
             best_s, best_i = s[keep], i[keep]
         for s, i in zip(best_s.tolist(), best_i.tolist()):
-            yield own, i, s
+            yield number, i, s
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score`` of each row of ``queries`` (same columns) against all of ``table``."""
+    """``query_id, rank, vec_id, score`` of each distinct row of ``queries`` (same columns) against all of ``table``."""
     vectors = written(integer_vectors(table, id_col, vec_col), "search-vectors")
     sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).limit(1).collect()
     dims = sizes[0]["d"] if sizes else 1
     vectors = vectors.where(F.size("v") == dims)
     index = blocks(vectors, dims)
-    asked = integer_vectors(queries, id_col, vec_col).where(F.size("v") == dims)
+    asked = integer_vectors(queries, id_col, vec_col).where(F.size("v") == dims).distinct()
     packs = max(1, -(-asked.count() // QUERIES))
-    shards = [r["shard"] for r in index.select("shard").distinct().collect()]  # one a SHARD of rows
+    last = index.agg(F.max("shard")).first()[0] or 0  # shards are numbered from 0, one a SHARD of rows
     number = F.pmod(F.xxhash64("id", "v"), F.lit(packs)).cast("int")
-    ask = asked.select("id", "v", number.alias("pack")).withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.expr("array()").cast("array<int>")))
-    side = ask.select("shard", "pack", F.struct("id", "v").alias("q"), F.lit(None).cast("struct<ids:binary,rows:binary>").alias("b"))
+    # tells several vectors of one id apart
+    key = F.unhex(F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")))
+    ask = asked.select("id", "v", key.alias("key"), number.alias("pack")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    side = ask.select("shard", "pack", F.struct("id", "v", "key").alias("q"), F.lit(None).cast("struct<ids:binary,rows:binary>").alias("b"))
     held = index.withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).select(
-        "shard", "pack", F.lit(None).cast("struct<id:bigint,v:array<bigint>>").alias("q"), F.struct("ids", "rows").alias("b"))
+        "shard", "pack", F.lit(None).cast("struct<id:bigint,v:array<bigint>,key:binary>").alias("q"), F.struct("ids", "rows").alias("b"))
     tasks = side.union(held).groupBy("shard", "pack").agg(F.collect_list("q").alias("q"), F.collect_list("b").alias("b"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +132,12 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
                     ids = [np.frombuffer(x["ids"], np.int64) for x in bs]
                     rows = [np.frombuffer(x["rows"], np.int64).reshape(-1, dims) for x in bs]
                     q_ids, q = np.array([x["id"] for x in qs], np.int64), np.array([x["v"] for x in qs], np.int64)
-                    yield from batches(search_shard(ids, rows, q_ids, q, k), found)
+                    keys = [x["key"] for x in qs]
+                    yield from batches(((int(q_ids[j]), keys[j], i, s) for j, i, s in search_shard(ids, rows, q_ids, q, k)), found)
 
-    found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    local = tasks.select("q", "b").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = pa.schema([("query_id", pa.int64()), ("key", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    local = tasks.select("q", "b").mapInArrow(run, "query_id long, key binary, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -142,7 +146,7 @@ def oracle_sql(table: str = "embeddings", every: int = 100, k: int = K) -> str:
     return f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM {table}
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % {every} = 0) q JOIN e c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}"""
