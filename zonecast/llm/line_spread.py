@@ -7,7 +7,8 @@ document of the smallest id that has it and goes from all others.
 
 * A line's key is 64 bits of xxhash and 32 of CRC over the line without surrounding blanks.
 * Sketches merge map-side, so a line that a third of all rows hold is one row a task.
-* Document texts move only in the last join, which gives each document the positions to drop.
+* Document texts move only in the last join, which gives each document the positions to drop; work is
+  linear in the lines of a text, however many it has.
 
 Defined cases: blank lines are never boilerplate; a NULL site counts for no line; a NULL text
 stays NULL; documents with a NULL id are never the one that keeps a line; repeated rows are
@@ -31,9 +32,10 @@ BROADCAST_ROWS = 500_000
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     text = F.col("text").cast("string")
     line = F.trim(F.col("line"), F.lit(" \t\r"))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                        F.col(f"`{site}`").cast("string").alias("site"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-            .where(line != "")
+    # a text is hashed and split once, below the explosion: none is carried along with each of its lines
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
+                        F.col(f"`{site}`").cast("string").alias("site"), F.split(text, "\n", -1).alias("lines"))
+    return (split.select("doc_id", "text_hash", "site", F.posexplode("lines").alias("pos", "line")).where(line != "")
             .select("doc_id", "text_hash", "site", "pos", F.xxhash64(line).alias("k1"), F.crc32(line).alias("k2")))
 
 
@@ -66,8 +68,14 @@ def removable(docs: DataFrame, boilerplate: DataFrame, site: str = "source") ->
 
 
 def _kept_text(text: Column, gone: Column) -> Column:
-    left = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.concat_ws("\n", left))
+    """The lines between removed positions, slice by slice: linear in the lines of a text."""
+    at = F.array_sort(gone)
+    parts = F.struct(F.split(text, "\n", -1).alias("lines"), F.concat(F.array(F.lit(-1)), at).alias("after"),
+                     F.concat(at, F.array(F.lit((1 << 31) - 1))).alias("upto"))
+    # an array of one, so that the lambda's variable holds what is computed once
+    slices = lambda p: F.flatten(F.transform(p["upto"], lambda z, i: F.slice(p["lines"], p["after"][i] + 2, z - p["after"][i] - 1)))
+    left = F.transform(F.array(parts), lambda p: F.concat_ws("\n", slices(p)))[0]
+    return F.when(gone.isNull(), text).otherwise(left)
 
 
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
