@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -241,7 +242,42 @@ def test_mix_odd_rows(spark):
     assert mixing.mix(none(spark)).collect() == [] and mixing.mixed_documents(none(spark)).collect() == []
 
 
-def test_too_many_leaves_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_LEAVES", 2)
-    with pytest.raises(ValueError):
-        mixing.mix(odd(spark))
+def test_more_leaves_than_the_bound_share_some(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 7 + 1)), f"l{i % 5}" if i % 4 else None, f"host{i}.example") for i in range(600)],
+                                 "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 50)
+    monkeypatch.setattr(mixing, "SHARED_SOURCES", 8)
+    monkeypatch.setattr(mixing, "SHARED_LANGS", 2)
+    everything = mixed(mixing.mix(docs, weights={}, max_epochs=1, share=1.0))
+    assert [(d, n, k) for d, _, _, n, k in everything] == sorted(((i, i % 7 + 1, i % 7 + 1) for i in range(600)), key=str)
+    total = 700
+    for weights in ({}, {("other", "l1"): 3.0}, {("other", None, "host4.example"): 50.0}):
+        part = mixed(mixing.mix(docs, total=total, weights=weights, max_epochs=1))
+        assert sum(r[4] for r in part) == total and all(r[1][2] == f"host{r[0]}.example" for r in part)
+    got = Counter()
+    for _, leaf, _, _, taken in mixed(mixing.mix(docs, total=total, weights={("other", "l1"): 3.0}, max_epochs=1)):
+        got[leaf[1]] += taken
+    # six branches in all: l1 weighs 3, the four other languages and NULL 1 each
+    assert got["l1"] == 700 * 3 // 8 and got[None] in (87, 88)
+    shut = mixed(mixing.mix(docs, total=10 ** 6, weights={("other", "l2"): 0.0}, max_epochs=1))
+    assert shut and not any(r[1][1] == "l2" for r in shut)
+
+
+def test_mixed_documents_tell_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "src1"), (1, "x y", "en", "src9"), (2, None, "en", "src1"), (2, "d e", "en", "src1")],
+                                 "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_documents(docs, total=100, weights={("books",): 0.0}, max_epochs=1).collect()
+    assert sorted(r.text for r in got) == ["a b c", "d e"]
+
+
+def test_lines_of_long_texts_in_linear_time(spark):
+    def seconds(n):
+        text = "\n".join(f"shared line {i}" for i in range(n))
+        docs = spark.createDataFrame([(d, text + f"\nown {d}", f"site{d}") for d in range(9)], "doc_id long, text string, source string")
+        began = time.monotonic()
+        rows = line_spread.remove_boilerplate(docs, min_sites=8).collect()
+        assert sorted((r.doc_id, r.text, r.n_removed_lines) for r in rows) == [(d, f"{text}\nown 0" if d == 0 else f"own {d}", n if d else 0) for d in range(9)]
+        return time.monotonic() - began
+
+    seconds(100)
+    assert seconds(64_000) < 60  # with work by the square of the lines it took minutes
