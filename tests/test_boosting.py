@@ -134,3 +134,38 @@ def test_prediction_keeps_other_columns(spark):
     models = boost(df, [Spec(max_depth=1)], 1)
     got = boosting.predict(df.selectExpr("*", "7 AS tag"), models, ["pred_a"])
     assert got.columns == ["set", "y", "valid", "u", "tag", "pred_a"] and got.where("tag = 7 and pred_a is not null").count() == 100
+
+
+def test_state_carries_every_round_and_drops_the_one_before(spark):
+    """A pass adds no earlier trees on the fly: the predictions in the state are those of all trees so far."""
+    x, y, df = table(spark, 300)
+    work = scratch_dir(spark, "state")
+    specs = [Spec(max_depth=2, rows=0.8), Spec(max_depth=3, leaves=3)]
+    models = boost(df, specs, 6, save_every=3, work=work)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(work)
+    kept = sorted(f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+    assert kept == ["blocks-3", "blocks-5", "trees-3"]  # no pass needs the state of the last round
+    seen = 0
+    for b in spark.read.schema(boosting.STATE).parquet(f"{work}/blocks-5").toArrow().to_batches():
+        for s, _, bx, by, _, p in boosting._blocks_of(b, 2):
+            seen += len(by)
+            for m in range(2):
+                five = boosting.Boosted(models[s, m].base, models[s, m].trees[:5], [])
+                assert p[m] == pytest.approx(five.predict(np.ascontiguousarray(bx.T)), abs=1e-12)
+    assert seen == 600
+
+
+def test_places_by_rows_and_by_features_follow_the_splits():
+    rng = np.random.default_rng(4)
+    t = Tree.empty(3)
+    for i in (0, 1, 2, 4, 5):
+        t.feature[i], t.bin[i] = rng.integers(3), rng.integers(200)
+    x = rng.integers(0, 256, (500, 3)).astype(np.uint8)
+    for depth in range(4):
+        want = []
+        for row in x:
+            at = 0
+            for _ in range(depth):
+                at = 2 * at + 1 + int(row[t.feature[at]] > t.bin[at]) if t.feature[at] >= 0 else at
+            want.append(at)
+        assert t.places(x, depth).tolist() == t.places(np.ascontiguousarray(x.T).T, depth).tolist() == want
