@@ -263,6 +263,24 @@ def test_more_leaves_than_the_bound_share_some(spark, monkeypatch):
     assert shut and not any(r[1][1] == "l2" for r in shut)
 
 
+@pytest.mark.parametrize("bound", [20, 100_000])
+def test_budgets_in_tables_equal_the_tree_whatever_the_number_of_leaves(spark, monkeypatch, bound):
+    """Steep leaf sizes take several rounds of filling; the bound only says how budgets are joined."""
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + 3 * (i % 11 == 0) * i)), f"l{i % 5}" if i % 4 else None, f"host{i // 2}.example" if i % 9 else None)
+                                  for i in range(240)], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(mixing, "MAX_LEAVES", bound)
+    weights = {("other", "l1"): 3.0, ("other", "l2"): 0.0, ("other", None, "host4.example"): 50.0, ("other", "l3", None): 0.5}
+    size = Counter()
+    for r in docs.collect():
+        size["other", r.lang, r.source] += len(r.text.split())
+    for total in (37, 1500, 10 ** 9):
+        want = {k: v for k, v in mixing.budgets(sorted(size.items(), key=str), total, weights, 2).items() if v}
+        got = Counter()
+        for _, leaf, _, _, taken in mixed(mixing.mix(docs, total=total, weights=weights)):
+            got[leaf] += taken
+        assert got == want
+
+
 def test_mixed_documents_tell_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "src1"), (1, "x y", "en", "src9"), (2, None, "en", "src1"), (2, "d e", "en", "src1")],
                                  "doc_id long, text string, lang string, source string")

@@ -10,9 +10,10 @@ seeded epochs (a new order each epoch) and takes the prefix of exactly its budge
 * A leaf's prefix is cut in two levels: token sums of ``CELLS`` hash ranges a leaf, then an ordered
   sum inside the one range that the budget ends in.  A leaf with a third of all rows is split
   over its ranges.
-* The tree has one leaf a (domain, language, source).  Where there are more than ``MAX_LEAVES``, as when sources are hosts,
-  the languages and sources that ``weights`` does not name share ``SHARED_LANGS`` and ``SHARED_SOURCES`` leaves by hash; a
-  shared leaf weighs what its members weigh together, and its documents are drawn from all of them in one order.
+* The tree has one leaf a (domain, language, source), however many there are: languages and sources (hosts, say) stay in
+  tables, and all branches of a level are shared out together.  A round fills the children that would exceed their cap and
+  shares the rest anew, a sum a branch; by Newton's method on a concave function the rounds grow with the logarithm of the
+  budget and the children.
 
 Defined cases: a NULL language or source is a leaf of its own; a NULL text has no tokens and is
 never taken; documents of one order key (repeated ids) are taken or left together; an
@@ -28,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonecast.llm.common import WORD, written
+from zonecast.operators.ranking import grouped_row_number
 
 CELLS = 4096
+#: Leaves whose budgets are sent to every executor; more are joined by a shuffle, with the same rows.
 MAX_LEAVES = 100_000
+#: Of the time when leaves beyond a bound were shared; nothing reads them.
 SHARED_LANGS, SHARED_SOURCES = 64, 256
 
 #: Sources of the production mixture: the domain of source number n is DOMAINS[n // 5].
@@ -50,7 +54,7 @@ def shares(budget: int, weights: list[float], caps: list[int]) -> list[int]:
     """``budget`` (at most the sum of ``caps``) split in proportion to ``weights`` under ``caps``.
 
     Children that would exceed their cap are filled, and the rest is shared anew among the
-    others; whole tokens left by rounding go to the largest remainders, ties to the first."""
+    others; whole tokens left by rounding go to the largest remainders, ties to the lighter and then the first."""
     out, active = [0] * len(caps), [i for i, c in enumerate(caps) if c > 0 and weights[i] > 0]
     left = budget
     while active:
@@ -68,14 +72,14 @@ def shares(budget: int, weights: list[float], caps: list[int]) -> list[int]:
         for i in active:
             out[i] = min(caps[i], int(exact[i]))
         rest = budget - sum(out)
-        for i in sorted(active, key=lambda i: (-(exact[i] - int(exact[i])), i)):
+        for i in sorted(active, key=lambda i: (-(exact[i] - int(exact[i])), weights[i], i)):
             if rest > 0 and out[i] < caps[i]:
                 out[i], rest = out[i] + 1, rest - 1
     return out
 
 
 def budgets(leaves: Iterable[tuple[tuple, int]], total: int, weights: dict, max_epochs: int) -> dict[tuple, int]:
-    """Tokens by leaf path.  ``leaves``: (path, tokens); a weight of 0 shuts a branch out."""
+    """Tokens by leaf path.  ``leaves``: (path, tokens); a weight of 0 shuts a branch out.  ``mix`` does the same in tables."""
     cap: dict[tuple, int] = {}
     children: dict[tuple, list[tuple]] = {}
     for path, tokens in leaves:
@@ -102,24 +106,70 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def _shared(column: str, named: list, n: int) -> Column:
-    """The column where it is NULL or named by a weight, else one of ``n`` shared names by hash."""
-    c = F.col(column)
-    own = c.isNull() | c.isin([x for x in named if x is not None])
-    return F.when(own, c).otherwise(F.concat(F.lit("\0shared "), F.pmod(F.crc32(c), F.lit(n)).cast("string")))
-
-
-def _shared_weights(sums: list) -> dict[tuple, float]:
-    """A shared leaf or branch weighs as many as its members, each of which weighs 1."""
-    out: dict[tuple, float] = {}
-    langs: dict[tuple, set] = {}
-    for r in sums:
-        branch, leaf = (r["domain"], r["leaf_lang"]), (r["domain"], r["leaf_lang"], r["leaf_source"])
-        if (r["leaf_source"] or "").startswith("\0shared "):
-            out[leaf] = float(r["members"])
-        if (r["leaf_lang"] or "").startswith("\0shared "):
-            langs.setdefault(branch, set()).update(r["langs"])
-    return out | {branch: float(len(x)) for branch, x in langs.items()}
+PATH = ["domain", "lang", "source"]
+
+
+def _key(columns: list[str]) -> Column:
+    """A path as one text, NULL told from any text."""
+    parts = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns]
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def _weighted(nodes: DataFrame, weights: dict, depth: int) -> DataFrame:
+    """``nodes`` with ``w<depth>``, the weight of their path's first ``depth`` parts."""
+    named = [(*p, float(w)) for p, w in weights.items() if len(p) == depth]
+    if not named:
+        return nodes.withColumn(f"w{depth}", F.lit(1.0))
+    schema = ", ".join(f"{c} string" for c in PATH[:depth]) + ", w double"
+    table = nodes.sparkSession.createDataFrame(named, schema).select(_key(PATH[:depth]).alias("__key"), F.col("w").alias("__w"))
+    out = nodes.withColumn("__key", _key(PATH[:depth])).join(F.broadcast(table), "__key", "left")  # one row a weight
+    return out.withColumn(f"w{depth}", F.coalesce("__w", F.lit(1.0))).drop("__key", "__w")
+
+
+def _shared_out(children: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``shares`` for every branch at once.  ``children``: ``up, key, name, w, cap``, ``budgets``: ``up, budget``; returns
+    ``key, budget`` of the children that can take any."""
+    able = children.where("cap > 0 and w > 0")
+    weight = lambda c: F.coalesce(F.sum(c.cast("decimal(28,12)")), F.lit(0)).cast("double")  # noqa: E731  (exact in any order)
+    exact = F.col("left") * F.col("w") / F.nullif(F.col("total"), F.lit(0.0))
+    full = F.coalesce(exact >= F.col("cap"), F.lit(True))
+    state = able.groupBy("up").agg(weight(F.col("w")).alias("total")).join(budgets, "up")
+    state = written(state.select("up", "budget", F.col("budget").alias("left"), "total", F.lit(0).cast("long").alias("n")), "mix-shares")
+    while True:
+        after = able.join(state, "up").withColumn("full", full).groupBy("up", "budget").agg(
+            (F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0))).alias("left"),
+            weight(F.when(~F.col("full"), F.col("w"))).alias("total"), F.count_if("full").alias("n"), F.max("n").alias("before"))
+        after = written(after, "mix-shares")
+        state = after.drop("before")
+        if after.where("n > before").isEmpty():
+            break
+    given = able.join(state, "up").select("up", "key", "name", "w", "cap", "budget", full.alias("full"), exact.alias("exact"))
+    given = written(given.withColumn("given", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.floor("exact")))), "mix-given")
+    rests = given.groupBy("up", "budget").agg((F.col("budget") - F.sum("given")).alias("rest")).where("rest > 0").drop("budget")
+    part = given.where("not full and given < cap").join(rests, "up").withColumn("over", F.col("exact") - F.floor("exact"))
+    order = [F.col("over").desc(), F.col("w").asc(), F.col("name").asc_nulls_last(), F.col("key").asc()]
+    more = grouped_row_number(part, "up", order, "place").where("place <= rest").select("key", F.lit(1).alias("one"))
+    return given.join(more, "key", "left").select("key", (F.col("given") + F.coalesce("one", F.lit(0))).cast("long").alias("budget"))
+
+
+def _leaf_budgets(sums: DataFrame, total: int | None, share: float, weights: dict, max_epochs: int) -> DataFrame:
+    """``domain, lang, source, tokens, budget`` of the leaves that are given any: ``budgets`` in tables."""
+    for depth in (1, 2, 3):
+        sums = _weighted(sums, weights, depth)
+    cap = F.when((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.col("tokens") * max_epochs).otherwise(0)
+    leaves = written(sums.select(*PATH, "tokens", "w1", "w2", _key(PATH[:2]).alias("up"), _key(PATH).alias("key"), F.col("source").alias("name"),
+                                 F.col("w3").alias("w"), cap.alias("cap")), "mix-tree")
+    branches = written(leaves.groupBy("domain", "w1", _key(PATH[:1]).alias("up"), F.col("up").alias("key"), F.col("lang").alias("name"), F.col("w2").alias("w"))
+                       .agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")), "mix-branches")
+    domains = branches.groupBy("domain", "up", "w1").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).orderBy("domain").collect()  # DOMAINS and other
+    if total is None:
+        total = int(share * sum(r["tokens"] for r in domains))
+    caps = [r["cap"] for r in domains]
+    first = zip([r["up"] for r in domains], shares(min(total, sum(caps)), [r["w1"] for r in domains], caps))
+    given = leaves.sparkSession.createDataFrame(list(first), "up string, budget long")
+    for children in (branches, leaves):
+        given = _shared_out(children, given).withColumnRenamed("key", "up")
+    return leaves.drop("up").withColumnRenamed("key", "up").join(given.where("budget > 0"), "up").select(*PATH, "tokens", "budget")
 
 
 def mix(docs: DataFrame, total: int | None = None, weights: dict | None = None, max_epochs: int = 2, seed: int = 7,
@@ -127,32 +177,20 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict | None = None,
     """``doc_id, domain, lang, source, epoch, tokens, taken``: a row per document and epoch that a leaf's
     budget reaches.  ``taken`` is less than ``tokens`` only where a budget ends inside a document.
     ``total`` defaults to ``share`` of all tokens."""
-    spark = docs.sparkSession
     weights = WEIGHTS if weights is None else weights
     src = F.col("source").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of(src).alias("domain"), F.col("lang").cast("string").alias("lang"),
                        src.alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     rows = written(rows.where(F.col("tokens") > 0), "mix-counts")
     sums = written(rows.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens")), "mix-leaves")
-    place, weights = {"leaf_lang": F.col("lang"), "leaf_source": F.col("source")}, dict(weights)
-    crowded = sums.limit(MAX_LEAVES + 1).count() > MAX_LEAVES
-    if crowded:
-        place = {"leaf_lang": _shared("lang", [p[1] for p in weights if len(p) > 1], SHARED_LANGS),
-                 "leaf_source": _shared("source", [p[2] for p in weights if len(p) > 2], SHARED_SOURCES)}
-    path, keys = ["domain", "leaf_lang", "leaf_source"], ["domain", "lang", "source"]
-    sums = sums.withColumns(place).groupBy(*path).agg(F.sum("tokens").alias("tokens"), F.collect_set("lang").alias("langs"), F.count("*").alias("members")).collect()
-    leaves = [(tuple(r[k] for k in path), r["tokens"]) for r in sums]
-    if crowded:
-        weights |= _shared_weights(sums)
-    if total is None:
-        total = int(share * sum(n for _, n in leaves))
-    given, size = budgets(leaves, total, weights, max_epochs), dict(leaves)
-    plan = [(*leaf, *divmod(b, size[leaf])) for leaf, b in given.items() if b > 0]
-    schema = "domain string, leaf_lang string, leaf_source string, whole long, rest long"
-    plan = F.broadcast(spark.createDataFrame(plan, schema))  # one row a leaf, at most MAX_LEAVES
+    path = keys = PATH
+    plan = _leaf_budgets(sums, total, share, dict(weights), max_epochs)
+    plan = written(plan.select(*path, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")), "mix-plan")
+    n_leaves = plan.count()
     p = plan.select(*[F.col(k).alias(f"p_{k}") for k in path], "whole", "rest")
+    p = F.broadcast(p) if n_leaves <= MAX_LEAVES else p
     on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in path]
-    placed = rows.withColumns(place).join(p, on).drop(*[f"p_{k}" for k in path])
+    placed = rows.join(p, on).drop(*[f"p_{k}" for k in path])
     full = (placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
             .select("doc_id", *keys, "epoch", "tokens", F.col("tokens").alias("taken")))
     last = (placed.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("key", _order(seed, F.col("epoch"), F.col("doc_id")))
@@ -162,7 +200,7 @@ def mix(docs: DataFrame, total: int | None = None, weights: dict | None = None,
     cells = cells.withColumn("before", before).where("before < rest").select(
         *[F.col(k).alias(f"p_{k}") for k in path], F.col("cell").alias("p_cell"), "before", (F.col("before") + F.col("n") <= F.col("rest")).alias("inside"))
     # at most CELLS rows a leaf
-    cells = F.broadcast(cells) if len(given) * CELLS <= 2_000_000 else cells
+    cells = F.broadcast(cells) if n_leaves * CELLS <= 2_000_000 else cells
     reached = last.join(cells, [*on, F.col("cell") == F.col("p_cell")])
     inside = reached.where("inside").select("doc_id", *keys, "epoch", "tokens", F.col("tokens").alias("taken"))
     upto = F.sum("tokens").over(Window.partitionBy(*path, "cell").orderBy("key")) + F.col("before")
