@@ -169,3 +169,30 @@ def test_places_by_rows_and_by_features_follow_the_splits():
                 at = 2 * at + 1 + int(row[t.feature[at]] > t.bin[at]) if t.feature[at] >= 0 else at
             want.append(at)
         assert t.places(x, depth).tolist() == t.places(np.ascontiguousarray(x.T).T, depth).tolist() == want
+
+
+def test_a_pass_reads_bins_and_residuals_alone(spark, monkeypatch):
+    """Labels, hashes and predictions are read once a round, not once a level."""
+    _, _, df = table(spark, 300)
+    read, run = [], boosting._run
+    monkeypatch.setattr(boosting, "_run", lambda state, p: read.append((p.level, sorted(p.rows(state).columns))) or run(state, p))
+    boost(df, [Spec(max_depth=3, rows=0.8)], 2, patience=5)
+    assert {(0, "e"), (1, "g"), (2, "g")} <= {(level, c) for level, cols in read for c in cols}
+    assert not {"y", "u", "p"} & {c for _, cols in read for c in cols}
+    assert read[-1] == (0, ["e", "set"])  # after the last tree only errors are missing
+
+
+@pytest.mark.parametrize("greatest", [100, boosting.NEAR - 1, boosting.NEAR, (1 << 31) - 1])
+def test_rows_and_residuals_added_at_once_are_exact(greatest):
+    rng = np.random.default_rng(5)
+    n = boosting.BLOCK
+    x, base = rng.integers(0, 4, (3, n)).astype(np.uint8), rng.integers(0, 2, n) * boosting.BINS
+    for g in (rng.integers(-greatest, greatest, n, endpoint=True), np.full(n, greatest), np.full(n, -greatest)):
+        h = np.zeros((3, 2, 2 * boosting.BINS))
+        boosting._add(h, x, base, g.astype(np.int32), [0, 2])
+        boosting._add(h, x, base, g.astype(np.int32), [0, 2])
+        for f in (0, 2):
+            for place in range(2 * boosting.BINS):
+                mine = base + x[f] == place
+                assert (h[f, 0, place], h[f, 1, place]) == (2 * mine.sum(), 2 * int(g[mine].sum()))
+        assert not h[1].any()
