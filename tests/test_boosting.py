@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonecast.ml import boosting
 from zonecast.ml.boosting import Binner, Spec, Tree, best_first, boost
@@ -116,6 +117,38 @@ def test_bins_of_numbers_and_categories(spark):
     assert boosting.load_binner(spark, path) == binner
 
 
+def test_scoring_rows_of_one_file_are_dealt_to_many_tasks(spark, tmp_path):
+    """One file of one row group leaves reading to one task; the members' work must not stay there."""
+    from zonecast.operators.cleaning import Medians
+    from zonecast.plans import modelling
+
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(id % 30, id % 24)")
+    spark.range(3000).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 200).alias("user_id"), F.lit("view").alias("event_type"),
+                             (F.col("id") % 90).cast("double").alias("value"), F.lit("{}").alias("props")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+
+    class Counting:
+        """Names the task that each row is scored in."""
+        def score(self, rows, features=True):
+            return rows.select("row_id", *[F.spark_partition_id().cast("double").alias(c) for c in
+                                           ("pred_cat", "pred_lgb", "pred_xgb", "pred_ensemble_blend", "pred_ensemble_trio")])
+
+    e = modelling.experiment(spark, str(tmp_path))
+    e.final, e.ctx.medians = Counting(), Medians(17.5, 3)
+    got = modelling.q_score_trio(spark, str(tmp_path)).groupBy("demand").count().collect()
+    n, want = sum(r["count"] for r in got), e.ctx.score_raw.count()
+    assert n == want > 500 and len(got) > 4 and max(r["count"] for r in got) < n / 4
+
+
+def test_predictions_without_the_features_are_the_same(spark):
+    df = spark.createDataFrame([(i, float(i % 50), f"v{i % 5}") for i in range(400)], "row_id long, a double, b string")
+    binner = Binner.fit(df, ["a"], ["b"])
+    binned = binner.transform(df.withColumn("y", F.col("a") * 2))
+    models = boost(binned.selectExpr("0 AS set", "x", "y", "false AS valid", "row_id AS u"), [Spec(max_depth=3)], 2)
+    whole, lean = (boosting.predict(df, models, ["p"], binner=binner, features=f) for f in (True, False))
+    assert whole.columns == ["row_id", "a", "b", "p"] and lean.columns == ["row_id", "p"]
+    assert sorted(lean.collect()) == sorted(whole.select("row_id", "p").collect()) and lean.count() == 400
+
+
 def test_a_version_that_was_not_published_is_not_read(spark):
     path = scratch_dir(spark, "versions")
     with pytest.raises(FileNotFoundError):

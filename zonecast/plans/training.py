@@ -26,7 +26,7 @@ from zonecast.operators.folds import assign_folds
 from zonecast.operators.oof import fold_encoders
 from zonecast.operators.validation import require_valid, validate_submission
 from zonecast.schema import CATEGORICAL_FEATURES
-from zonecast.session import materialize, scratch_dir
+from zonecast.session import materialize, scratch_dir, spread
 from zonecast.sources import sinks
 from zonecast.sources.readers import read_observations, read_submission
 
@@ -71,7 +71,7 @@ def run_inference(spark: SparkSession, test: DataFrame, models: str, out: str,
     medians = cleaning.Medians.load(spark, f"{models}/train_medians")
     ens = FittedEnsemble.load(spark, f"{models}/models")
     # the two columns that both submissions need, scored once
-    scored = materialize(ens.score(cleaning.clean(test, medians)).select("row_id", "pred_ensemble_blend", "pred_ensemble_trio"),
+    scored = materialize(ens.score(cleaning.clean(spread(test), medians), features=False).select("row_id", "pred_ensemble_blend", "pred_ensemble_trio"),
                          scratch_dir(spark, "inference-scores"))
     sinks.write_submission(scored, f"{out}/submission", "pred_ensemble_blend")
     sinks.write_submission(scored, f"{out}/submission_trio", "pred_ensemble_trio")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonecast.operators import cleaning
-from zonecast.session import scratch_dir
+from zonecast.session import scratch_dir, spread
 from zonecast.sources.adapter import adapter_sql, observations
 
 
@@ -82,7 +82,7 @@ def scored_stream(spark: SparkSession, sf_dir: str, ensemble, medians: cleaning.
                   ) -> DataFrame:
     obs = observation_stream(spark, sf_dir)
     fresh = obs.where(~F.col("is_train")).drop("is_train")
-    scored = ensemble.score(cleaning.clean(fresh, medians), density_scope="fitted")
+    scored = ensemble.score(cleaning.clean(spread(fresh), medians), density_scope="fitted")
     return scored.select("row_id", "day", "pred_cat", "pred_lgb", "pred_xgb", "pred_ensemble_blend",
                          "pred_ensemble_trio")
 
