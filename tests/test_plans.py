@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from zonecast.ml.members import MemberConfig
 from zonecast.ml.protocol import Members
-from zonecast.plans.context import context
+from zonecast.operators import cleaning
+from zonecast.plans.context import KEPT_PARTITIONS, Context, context
 from zonecast.operators.features import categorical_frame
 from zonecast.plans.training import load_category_codes, retrain_final, run_inference, train_and_evaluate, validate_file
 from zonecast.schema import CATEGORICAL_FEATURES
@@ -77,3 +78,21 @@ def test_csv_columns_by_header_name(spark, tmp_path):
     r = read_observations_csv(spark, str(p)).first()
     assert r["row_id"] == 7 and r["demand"] == 0.25 and r["day"] == 48
     assert r["geohash"] == "qp02z1" and r["Temperature"] is None
+
+
+def test_training_rows_are_kept_in_few_partitions(spark):
+    """The fits pass over them some dozens of times, so a session's many shuffle partitions are not carried along."""
+    most = KEPT_PARTITIONS * spark.sparkContext.defaultParallelism
+    names = {"spark.sql.shuffle.partitions": str(most + 40), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    ctx = Context(spark, SMALL)
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        want = cleaning.clean_train(ctx.train_raw)[0]
+        assert ctx.train_dedup.rdd.getNumPartitions() <= most and ctx.train_clean.rdd.getNumPartitions() <= most
+        assert not want.exceptAll(ctx.train_clean).count() and not ctx.train_clean.exceptAll(want).count()
+    finally:
+        ctx.close()
+        for k, v in before.items():
+            spark.conf.set(k, v)
