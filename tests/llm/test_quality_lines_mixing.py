@@ -299,3 +299,17 @@ def test_lines_of_long_texts_in_linear_time(spark):
 
     seconds(100)
     assert seconds(64_000) < 60  # with work by the square of the lines it took minutes
+
+
+def test_quality_arrays_stay_small(monkeypatch):
+    """A worker's arrays of some 30 bytes a byte of text are made for a megabyte at a time; the counts are those of the whole."""
+    import pyarrow as pa
+
+    texts = [words(4000, i) if i % 9 else None for i in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 == 0 for i in range(150)])], ["text", "good"])
+    whole, plain = [], quality_llr.gram_buckets
+    monkeypatch.setattr(quality_llr, "gram_buckets", lambda data, offsets: whole.append(len(data)) or plain(data, offsets))
+    counts = [b.to_pydict() for b in quality_llr._count(iter([batch]))]
+    assert sum(whole) == sum(len(t.encode()) for t in texts if t) > 2 << 20 and max(whole) <= 1 << 20
+    monkeypatch.setattr(quality_llr, "PORTION", 1 << 30)
+    assert counts == [b.to_pydict() for b in quality_llr._count(iter([batch]))]

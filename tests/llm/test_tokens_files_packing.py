@@ -210,3 +210,23 @@ def test_queries_equal_the_operators(spark, plain):
     assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start:4 * (r.start + r.length)]) for r in rows)
     assert sum(r.length for r in rows) == sum(len(x) // 4 for x in ids.values())
     assert queries.op6_record_files(spark, SMALL).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_workers_keep_words_only_if_asked(spark, keep):
+    """Other stages share the workers' memory; the pieces are the same either way."""
+    import pyarrow as pa
+
+    from zonecast.llm import tokens
+
+    cache = 12_345 + keep
+    docs = spark.createDataFrame([(i, f"alpha beta {i} gamma", f"s{i % 3}") for i in range(200)], "doc_id long, text string, source string").repartition(8)
+
+    def held(it):
+        for _ in it:
+            yield pa.RecordBatch.from_arrays([pa.array([(PATH, cache) in tokens._ENCODERS])], ["held"])
+
+    got = packing.pack(docs, PATH, cache=cache, keep=keep)
+    assert got.agg({"length": "sum"}).first()[0] == got.dropDuplicates(["doc_id"]).agg({"doc_tokens": "sum"}).first()[0]
+    found = {r["held"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "held boolean").collect()}
+    assert (True in found) == keep

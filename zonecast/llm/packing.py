@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from zonecast.llm.common import documents, written
-from zonecast.llm.tokens import CACHE, encoder
+from zonecast.llm.tokens import CACHE, encoder, forget
 
 WINDOW = 4096
 #: Weights are integers that add up to about UNIT; 2^16 keeps credits exact below 10^13 tokens.
@@ -43,10 +43,17 @@ TOKENS = "seg long, doc_id long, queue string, n long, before long, width int, i
 PIECES = "doc_id long, queue string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, cache: int = CACHE) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, end_id: int = 2, cache: int = CACHE, keep: bool = True) -> DataFrame:
     """Each document's ids (with the end id), its task's number and the tokens of its queue before it there."""
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(it)
+        finally:
+            if not keep:
+                forget()
+
+    def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, seg = encoder(tokenizer, cache), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         narrow = enc.tok.get_vocab_size() <= 1 << 16
         held: dict[str, int] = {}
@@ -126,14 +133,15 @@ def integer_weights(totals: dict[str, int], targets: dict[str, float] | None) ->
     return {q: max(1, round(v / whole * UNIT)) for q, v in raw.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, targets: dict[str, float] | None = None, cache: int = CACHE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, targets: dict[str, float] | None = None, cache: int = CACHE,
+         keep: bool = True) -> DataFrame:
     """The pieces of all documents: ``doc_id, queue, start, length, doc_tokens, sequence_id, offset, ids``.
 
     ``targets``: proportion of each source in a window (default: its share of all tokens).  Sources
     that it does not name are served a sliver a round, so they are packed as well.  ``cache``: words that
-    a worker keeps encoded."""
+    a worker keeps encoded, from task to task unless ``keep`` is False."""
     spark = docs.sparkSession
-    tokens = encode(docs, tokenizer, end_id, cache)
+    tokens = encode(docs, tokenizer, end_id, cache, keep)
     sums = tokens.groupBy("queue", "seg").agg(F.sum("n").alias("n"))
     base = sums.select(F.col("queue").alias("q"), F.col("seg").alias("g"),
                        (F.sum("n").over(Window.partitionBy("queue").orderBy("seg")) - F.col("n")).alias("base"))

@@ -36,6 +36,8 @@ BUCKET_BITS = 16
 #: Fixed-point unit of a log ratio, and width of a threshold bin.
 UNIT, BIN = 1 << 20, 0.01
 SAMPLE = 200_000
+#: Bytes of text at once: the work arrays take some 30 times that in a worker.
+PORTION = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 
 _SPACE = np.zeros(256, bool)
@@ -69,7 +71,7 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, good = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
-    for b in portions(it):
+    for b in portions(it, PORTION):
         data, offsets = text_buffer(b)
         bucket, whole = gram_buckets(data, offsets)
         raw += np.bincount(bucket[whole], minlength=1 << BUCKET_BITS)
@@ -124,7 +126,7 @@ def best_threshold(labelled: DataFrame, table: np.ndarray) -> float:
     model = QualityModel(table, 0.0)
 
     def bins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(it):
+        for b in portions(it, PORTION):
             at = np.floor(score_batch(model, b) / BIN).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column(b.schema.get_field_index("good"))], ["bin", "good"])
 
@@ -183,7 +185,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(it):
+        for b in portions(it, PORTION):
             cols = rule_columns(b)
             s = score_batch(shared.value, b)
             cols |= {"kept": ~cols["base_failed"] & (s >= shared.value.threshold), "score": s}
@@ -197,7 +199,7 @@ def keep(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(it):
+        for b in portions(it, PORTION):
             ok = ~rule_columns(b)["base_failed"] & (score_batch(shared.value, b) >= shared.value.threshold)
             yield b.filter(pa.array(ok))
 

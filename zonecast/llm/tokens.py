@@ -91,3 +91,8 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
         _ENCODERS.clear()
         _ENCODERS[path, cache] = Encoder(path, cache)
     return _ENCODERS[path, cache]
+
+
+def forget() -> None:
+    """Frees this worker's encoder."""
+    _ENCODERS.clear()
