@@ -229,3 +229,53 @@ def test_rows_and_residuals_added_at_once_are_exact(greatest):
                 mine = base + x[f] == place
                 assert (h[f, 0, place], h[f, 1, place]) == (2 * mine.sum(), 2 * int(g[mine].sum()))
         assert not h[1].any()
+
+
+def same_trees(got, want, x):
+    assert got.keys() == want.keys()
+    for sm, b in want.items():
+        mine = got[sm]
+        assert mine.base == b.base and len(mine.trees) == len(b.trees) and mine.errors[:len(b.errors)] == pytest.approx(b.errors)
+        for t, u in zip(mine.trees, b.trees):
+            for c in ("feature", "bin", "value", "gain"):
+                assert (getattr(t, c) == getattr(u, c)).all()
+        assert (mine.predict(x) == b.predict(x)).all()
+
+
+def test_trees_grown_in_one_task_are_those_of_the_passes(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 20, (900, 5)).astype(np.uint8)
+    y = np.sin(x[:, 0]) + (x[:, 1] > x[:, 2]) + rng.random(900)
+    rows = [(s, bytearray(x[i].tobytes()), float(y[i]), i % 5 == s and s < 2, i * 7919) for i in range(900) for s in range(3)]
+    df = spark.createDataFrame(rows + rows[:40], "set int, x binary, y double, valid boolean, u long").repartition(7)
+    specs = [Spec(max_depth=5, smoothing=3.0), Spec(max_depth=5, leaves=6, rows=0.8, features=0.6, smoothing=0.0, min_rows=20, step=0.5), Spec(max_depth=2, rows=0.7, step=1.0)]
+    want = boost(df, specs, 9, patience=3)
+    monkeypatch.setattr(boosting, "_run", lambda *a: pytest.fail("a pass over the table"))
+    same_trees(boosting.train(df, specs, 9, patience=3), want, x)
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "BLOCK", 64)  # many blocks
+    same_trees(boosting.boost_held(df, specs, 9, patience=3, save_every=2), want, x)
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "HELD_ROWS", 900)  # the first set has more rows
+    monkeypatch.setattr(boosting, "boost_held", lambda *a, **k: pytest.fail("a set beyond the bound in one task"))
+    same_trees(boosting.train(df, specs, 3), boost(df, specs, 3), x)
+
+
+def test_training_in_one_task_resumes(spark, monkeypatch):
+    x, _, df = table(spark, 300)
+    specs = [Spec(max_depth=2, rows=0.8, features=0.7), Spec(max_depth=2, leaves=3)]
+    want, work, save, grown = boost(df, specs, 5, patience=50), scratch_dir(spark, "resume"), boosting.save_trees, []
+
+    def stopping(spark, path, models):
+        save(spark, path, models)
+        if path.endswith("held-4"):
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(boosting, "save_trees", stopping)
+    with pytest.raises(RuntimeError, match="lost"):
+        boosting.boost_held(df, specs, 5, patience=50, save_every=2, work=work)
+    monkeypatch.undo()
+    tree = boosting._Held.__init__
+    monkeypatch.setattr(boosting._Held, "__init__", lambda self, *a: grown.append(a[2]) or tree(self, *a))
+    same_trees(boosting.boost_held(df, specs, 5, patience=50, save_every=2, work=work), want, x)
+    assert grown == [5]  # the last round alone
