@@ -279,3 +279,21 @@ def test_training_in_one_task_resumes(spark, monkeypatch):
     monkeypatch.setattr(boosting._Held, "__init__", lambda self, *a: grown.append(a[2]) or tree(self, *a))
     same_trees(boosting.boost_held(df, specs, 5, patience=50, save_every=2, work=work), want, x)
     assert grown == [5]  # the last round alone
+
+
+def test_registered_model_queries_train_at_the_reference_length(monkeypatch):
+    """1000 rounds with patience 50 in cross-validation, 1200 final ones, three members of depth 7 each."""
+    from types import SimpleNamespace
+
+    from zonecast.ml.members import MemberConfig
+    from zonecast.plans import modelling
+
+    seen = []
+    monkeypatch.setattr(modelling, "context", lambda spark, sf: SimpleNamespace(labelled_clean=SimpleNamespace(where=lambda c: c), train_clean="rows"))
+    monkeypatch.setattr(modelling, "F", SimpleNamespace(col=lambda c: 0))
+    monkeypatch.setattr(modelling, "cross_validate", lambda rows, holdout, cfg: seen.append(cfg))
+    monkeypatch.setattr(modelling, "fit_final", lambda rows, cfg, rounds: seen.append((cfg, rounds)))
+    e = modelling.Experiment(None, "none")
+    e.cv, e.final
+    assert seen == [MemberConfig(rounds=1000, patience=50), (MemberConfig(rounds=1000, patience=50), 1200)] == [MemberConfig(), (MemberConfig(), 1200)]
+    assert [s.max_depth for s in MemberConfig().specs()] == [7, 7, 7]
