@@ -1,6 +1,8 @@
 """Operators 2, 4 and 5 against brute force."""
 
+import os
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -177,6 +179,35 @@ def test_jaccard_without_broadcasts(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs, 4, 85).collect()), key=str) == brute_components(rows, 4, 85)
 
 
+def test_jaccard_by_bands_leaves_no_shuffle_and_no_large_table_behind(spark, monkeypatch):
+    """A band of tokens and sets at a time, and each step's shuffle files and tables go with it; the components are the same."""
+    monkeypatch.setattr(jaccard_join, "BAND_SHINGLES", 0)
+    monkeypatch.setattr(jaccard_join, "BANDS", 3)
+    made, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    rows = near_copies(random.Random(5))
+    docs = spark.createDataFrame([document(*r) for r in rows], CLASHING).repartition(5)
+    folders = lambda name: {f.rsplit("/", 1)[0] for n, df in made if n == name for f in df.inputFiles()}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {f.getName() for f in common_files(disk)}
+    write(docs.groupBy("text").count(), "shuffled")
+    for _ in range(50):  # files go in the background
+        left = [f.getName() for f in common_files(disk) if f.getName().startswith("shuffle") and f.getName() not in before]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs, 4, 85).collect()), key=str) == brute_components(rows, 4, 85)
+    assert sum(n == "jaccard-cells" for n, _ in made) == 3
+    gone = [f.removeprefix("file:") for n in ("jaccard-sets", "jaccard-cells", "jaccard-shared", "jaccard-leads", "jaccard-open-cells") for f in folders(n)]
+    assert gone and not any(os.path.exists(f.replace("//", "/")) for f in gone)
+
+
+def common_files(disk):
+    files = disk.getAllFiles()
+    return [files.apply(i) for i in range(files.size())]
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(none(spark)).collect() == []
     assert jaccard_join.keep_one(none(spark)).collect() == []

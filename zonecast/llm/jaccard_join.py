@@ -27,7 +27,7 @@ repeated rows are members like any other; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,8 @@ from zonecast.llm.components import components
 #: Bits of a group's shingle map, groups in a block of a crowded token, members compared at once.
 MAP_BITS, BLOCK, MEMBERS = 2048, 256, 512
 BROADCAST_ROWS = 2_000_000
+#: Shingles of a table from which on its tokens and its sets are matched a band at a time, and the number of bands: one band's shuffle lies on the disks at once.
+BAND_SHINGLES, BANDS = 30_000_000, 4
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -211,11 +213,16 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                   for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = sets.select(F.col("f").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
+    left = _sets_of(pairs, sets, "a").withColumnRenamed("s", "sa")
+    right = _sets_of(pairs, sets, "b").withColumnRenamed("s", "sb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
+def _sets_of(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """The sets that stand on one side of ``pairs``: the others need not be shuffled to meet them."""
+    return _narrow(sets.select(F.col("f").alias(side), "s"), pairs.select(side).distinct(), side)
+
+
 def group_unions(sets: DataFrame, labels: DataFrame) -> DataFrame:
     """``label, least, most, held, every``: sizes of the smallest and largest member, and the bit maps of the
     members' union and of what all of them share."""
@@ -277,7 +284,12 @@ def _room(own, label, least, most, held, every, i, j, percent) -> Iterator[tuple
 def opened(pairs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The pairs of groups that a link joins: members of the smaller group are queries to blocks of
     the larger one, opened where its union holds enough of the query."""
-    members = sets.join(labels, "f", "left").select(F.coalesce("label", "f").alias("label"), "s", F.xxhash64("f").alias("h"))
+    # a root is no vertex of ``labels`` and has its own label; sets of groups in no pair are not shuffled
+    wanted = pairs.select(F.col("a").alias("label")).union(pairs.select(F.col("b").alias("label"))).distinct()
+    of = labels.select("f", "label").join(wanted, "label", "left_semi").select("f", "label").union(wanted.select(F.col("label").alias("f"), "label"))
+    of = written(of, "jaccard-wanted")
+    few = of.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = sets.join(F.broadcast(of) if few else of, "f").select("label", "s", F.xxhash64("f").alias("h"))
     count = members.groupBy("label").agg(F.count("*").alias("m"))
     ca = count.select(F.col("label").alias("a"), F.col("m").alias("ma"))
     cb = count.select(F.col("label").alias("b"), F.col("m").alias("mb"))
@@ -324,8 +336,9 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFr
     meta = written(sig.select("doc_id", "n", "f"), "jaccard-meta")
     # 1. one document a set; tokens that two sets or more hold
     rows = _first_of_each(sig, meta).select("f", F.explode("tokens").alias("token"))
-    shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "jaccard-shared")
-    cells = written(_match(rows, shared).distinct(), "jaccard-cells")
+    bands = BANDS if (meta.agg(F.sum("n")).first()[0] or 0) > BAND_SHINGLES else 1
+    parts = [_cells(_band(rows, "token", i, bands)) for i in range(bands)]
+    cells = reduce(DataFrame.union, parts)
     discard(sig)
     # 2. groups of similar sets: those that link with the least set of a token they hold
     lead = cells.groupBy("token").agg(F.min("f").alias("a"), F.max("f").alias("hi")).where("a < hi").select("token", "a")
@@ -333,17 +346,20 @@ def jaccard_components(docs: DataFrame, w: int = 5, percent: int = 80) -> DataFr
     involved = lead.select(F.col("b").alias("f")).distinct()  # a set leads only where it is a member too
     some = written(_narrow(meta.select("f", "doc_id"), involved, "f").groupBy("f").agg(F.min("doc_id").alias("doc_id")), "jaccard-involved")
     full = shingle_sets(docs, some, w)
-    stars = compare(lead.where("a <> b"), full, percent)
-    first = written(stars, "jaccard-stars")
+    stars = [written(compare(_band(lead.where("a <> b"), "a", i, bands), full, percent), "jaccard-stars") for i in range(bands)]
+    first = reduce(DataFrame.union, stars)
+    discard(lead, some)
     labels = components(first).select(F.col("v").alias("f"), F.col("root").alias("label"))
     # 3. tokens that several groups hold; open the groups that qualify
     named = _labelled(cells.select("token", "f"), labels).select("token", "label").distinct()
     several = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     open_cells = written(named.join(several, "token", "left_semi"), "jaccard-open-cells")
+    discard(*parts)
     pairs = written(qualifying(open_cells, group_unions(full, labels), percent), "jaccard-pairs")
     second = opened(pairs, full, labels, percent)
     # 4. components of all links
     root = components(first.union(second)).select(F.col("v").alias("f"), "root")
+    discard(full, open_cells, pairs, *stars)
     rooted = meta.join(root, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "f").alias("root"))
     least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(least, "root", "left")
@@ -359,6 +375,18 @@ def _first_of_each(sig: DataFrame, meta: DataFrame) -> DataFrame:
     return marked.where(F.col("g").isNull() | F.col("doc_id").eqNullSafe(F.col("first")))
 
 
+def _band(rows: DataFrame, key: str, i: int, bands: int) -> DataFrame:
+    return rows.where(F.pmod(key, F.lit(bands)) == i) if bands > 1 else rows
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The distinct ``token, f`` of ``rows`` whose token two rows or more hold."""
+    shared = written(rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "jaccard-shared")
+    cells = written(_match(rows, shared).distinct(), "jaccard-cells")
+    discard(shared)
+    return cells
+
+
 def _match(rows: DataFrame, shared: DataFrame) -> DataFrame:
     few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(shared) if few else shared, "token").select("token", "f")
