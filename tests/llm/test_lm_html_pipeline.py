@@ -1,6 +1,7 @@
 """Operators 7 and 8 and the pipeline."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -109,6 +110,32 @@ def test_scores_beyond_the_broadcast_bound(spark, monkeypatch):
         assert all((both.levels(k, unseen) > 0).mean() < 0.02 for k in bloom_lm.KINDS)
 
 
+def test_shares_are_scored_one_after_the_other_beyond_the_bounds(spark, monkeypatch):
+    """Only one share's runs of texts and keys lie in the shared folder at once, and none after the last."""
+    split = bloom_lm.split_rows(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    model, vocabulary = bloom_lm.fit(split)
+    far, _ = bloom_lm.fit(split, vocabulary, max_filter_bytes=100)
+    monkeypatch.setattr(bloom_lm, "SHARES", 3)
+    made, write = [], bloom_lm.written
+
+    def writing(df, name):
+        out = write(df, name)
+        at = out.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "").replace("//", "/")
+        made.append((name, at, out.count()))
+        assert sum(n == "lm-runs" and os.path.exists(f) for n, f, _ in made) <= 1
+        return out
+
+    monkeypatch.setattr(bloom_lm, "written", writing)
+    row = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    want = sorted(map(row, bloom_lm.score(split, model, vocabulary).collect()))
+    assert len(made) == 1  # within the bounds all at once
+    assert sorted(map(row, bloom_lm.score(split, far, vocabulary, max_words=0).collect())) == want
+    runs = [f for n, f, _ in made if n == "lm-runs"]
+    scores = [c for n, _, c in made[1:] if n == "lm-scores"]
+    assert len(runs) == len(scores) == 3 and not any(map(os.path.exists, runs))
+    assert sum(scores) == len(want) and max(scores) < len(want) / 2
+
+
 def test_bigrams_seen_once_are_held(spark, monkeypatch):
     """The filter holds each counted bigram and each history's followers, those seen once too."""
     monkeypatch.setattr(bloom_lm, "SLICE_TOKENS", 5000)
